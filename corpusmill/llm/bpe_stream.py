@@ -16,6 +16,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -122,22 +123,31 @@ class Transducer:
         return out
 
     def _advance(self, data: bytes) -> None:
-        tail, lasts = self.tail + data, self.lasts
-        ids, fit, longest, strings = self.vocab.ids, self.borders.fit, self.vocab.longest, self.vocab.strings
-        for end in range(len(self.tail) + 1, len(tail) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(tail[start:end])
-                if token is not None and ((last := lasts[start]) == -1 or fit(last, token)) and (last != -1 or start == 0) and self._own(token):
+        done, tail, lasts = len(self.tail), self.tail + data, self.lasts
+        merged, known, fit = self.vocab.merged, self.borders.known, self.borders.fit
+        lengths_by_end, few = self.vocab.lengths_by_end, (2, 1)
+        for end in range(done + 1, len(tail) + 1):
+            for length in lengths_by_end.get(tail[end - 3 : end], few) if end > 2 else few:
+                start = end - length
+                if start < 0:
+                    continue
+                token = merged.get(tail[start:end])
+                if token is None:
+                    continue
+                last = lasts[start]
+                if last < 0:
+                    fits = start == 0
+                else:
+                    fits = known.get(last << 32 | token)
+                    if fits is None:
+                        fits = fit(last, token)
+                if fits:
                     lasts.append(token)
                     break
             else:
-                raise AssertionError(f"no token fits at {self.base + end} ({strings.get(lasts[-1])!r})")
+                raise AssertionError(f"no token fits at {self.base + end}")
         self.tail = tail
 
-    def _own(self, token: int) -> bool:
-        """Tokens that no merge makes (other than bytes) never come out of merging."""
-        return token in self.vocab.born
-
     def _back(self, place: int) -> list[int]:
         out = []
         while place > 0:
@@ -196,17 +206,13 @@ class Encoder:
         self.memo = Memo(self._piece)
 
     def _piece(self, piece: bytes | str) -> bytes:
-        data = piece_utf8(piece)
-        whole = self.vocab.ids.get(data)
-        if len(data) == 1:
-            return np.array([whole], "<u4").tobytes()
-        out = self.transducer.feed(data)
-        return np.array(out + self.transducer.finish(), "<u4").tobytes()
+        out = self.transducer.feed(piece_utf8(piece)) + self.transducer.finish()
+        return pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> bytes:
         out = []
         for k, part in enumerate(self.vocab.segments(text)):
-            out.append(np.array([self.vocab.special[part]], "<u4").tobytes() if k % 2 else b"".join(map(self.memo.__getitem__, pieces(part))))
+            out.append(pack("<I", self.vocab.special[part]) if k % 2 else b"".join(map(self.memo.__getitem__, pieces(part))))
         return b"".join(out)
 
 

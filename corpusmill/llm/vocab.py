@@ -60,7 +60,15 @@ class Vocabulary:
             self.merges.setdefault((a, b), (rank, whole))
             self.parts.setdefault(whole, (a, b))
             self.born.setdefault(whole, rank)
-        self.longest = max(map(len, self.ids))
+        #: Tokens that merging can give: bytes and what merges make.
+        self.merged = {b: i for b, i in self.ids.items() if i in self.born}
+        self.longest = max(map(len, self.merged))
+        #: By the last three bytes: how long tokens with that end are, longest first.
+        ends: dict[bytes, set[int]] = {}
+        for token in self.merged:
+            if len(token) > 2:
+                ends.setdefault(token[-3:], {2, 1}).add(len(token))
+        self.lengths_by_end = {end: tuple(sorted(x, reverse=True)) for end, x in ends.items()}
         size = max(self.strings) + 1
         self.flat_strings = np.frombuffer(b"".join(self.strings.get(i, b"") for i in range(size)), np.uint8), np.cumsum([0, *(len(self.strings.get(i, b"")) for i in range(size))])
         self._special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
