@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.shipping import ship
+
 #: Bytes of text that one numpy slice holds (a longer single text is a slice of its own).
 SLICE_BYTES = 1 << 20
 
@@ -50,6 +52,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
 
     struct = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,6 +69,7 @@ def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     struct = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):
