@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe_count, bpe_stream, licenses, media, ppm
+from corpusmill.llm import bpe_count, bpe_stream, bwt_merge, licenses, media, ppm, suffix_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,13 +28,21 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.train_and_identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.dedup_words(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_merge.dedup_bytes(documents(spark, sf_dir))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_media_columns, op2_bpe_roundtrip, op4_language_id, op7_token_counts, op10_license_scan)}
+QUERIES: dict[str, Query] = {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 ORACLE_SQL: dict[str, str] = {}
