@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe_count, bpe_stream, bwt_merge, licenses, media, ppm, suffix_tree
+from corpusmill.llm import bpe_count, bpe_stream, bwt_merge, licenses, media, ngram_join, ppm, suffix_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(documents(spark, sf_dir), ngram_join.Join(words=3, num=90, den=100))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.train_and_identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
