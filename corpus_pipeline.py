@@ -1,18 +1,70 @@
-"""A corpus pipeline of the training-data operators; each stage's result is written and read again as the next one's input."""
+"""A corpus pipeline of the training-data operators; each stage's result is written and read again as the next one's input.
+
+Language ID drops texts without a language; the n-gram join keeps the smallest id of each group of near copies; suffix
+dedup takes out bytes that an earlier text has too, and drops texts of which nothing but white space is left by that;
+decontamination drops texts that hold a benchmark item; the last stage encodes and decodes what remains.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.llm import bpe_stream, bwt_merge, decontam, ngram_join, ppm
+from corpusmill.llm.lineage import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts whose language stays undetermined: null texts and texts without a letter."""
+    keep = [F.col(c).alias(f"own_{c}") for c in COLUMNS[1:]]
+    found = ppm.identify(docs, ppm.train(docs, ~ppm.held_out()), "doc_id", "text", *keep)
+    return found.where(F.col("lang_pred") != ppm.UNKNOWN).select("doc_id", *[F.col(f"own_{c}").alias(c) for c in COLUMNS[1:]])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One text of each group of texts with five-word shingle similarity of 0.8 or more: its smallest id."""
+    groups = ngram_join.similar_groups(docs, ngram_join.Join(words=5, num=80, den=100))
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 100-byte strings that stand earlier."""
+    done = bwt_merge.dedup_bytes(docs, keep_text=True).select("doc_id", "n_removed", "kept")
+    rest = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
+    left = done.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S")).select("doc_id", F.col("kept").alias("text"))
+    return left.join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in which no benchmark item stands."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.clean(docs, benchmark, "doc_id", "text", *[F.col(c) for c in COLUMNS[2:]]).select(*COLUMNS)
+
+
+def bpe_roundtrip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe_stream.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicates),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("bpe_roundtrip", bpe_roundtrip),
+]
+#: SQL has no byte-context models, merges or windows of hashes; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
