@@ -27,55 +27,99 @@ RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_s
 
 
 class Shard:
-    """The transform of some strings: sorted suffixes and the symbol before each; 0 ends a string, bytes count from 1."""
+    """The transform of some strings: sorted suffixes, the symbol before each, and the row of the suffix one longer.
+
+    Symbols are bytes plus one, 0 ends a string; UTF-8 has no byte above 0xF4, so a symbol is a byte too. Ends are
+    ordered by their strings.
+    """
+
+    #: Bytes of the first ranking; the number of a string that ends within them follows.
+    LEAD = 5
 
     def __init__(self, strings: list[bytes]) -> None:
         lengths = np.array([len(s) for s in strings], np.int64)
         ends = np.cumsum(lengths + 1) - 1
         self.owner = np.repeat(np.arange(len(strings)), lengths + 1)
         self.place = np.arange(len(self.owner)) - (ends - lengths)[self.owner]
-        text = np.zeros(len(self.owner), np.int64)
-        text[self.place < lengths[self.owner]] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-        key = np.where(text == 0, self.owner, text + len(strings))
-        rank, reach = np.unique(key, return_inverse=True)[1].astype(np.int64), 1
-        while rank.max(initial=0) < len(rank) - 1:
-            later = np.zeros(len(rank), np.int64)
+        n = len(self.owner)
+        left = lengths[self.owner] - self.place  # bytes up to the end
+        text = np.zeros(n + self.LEAD, np.uint64)
+        text[:n][left > 0] = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64) + np.uint64(1)
+        key = np.zeros(n, np.uint64)
+        for k in range(self.LEAD):
+            key = key << np.uint64(8) | np.where(left > k, text[k : k + n], 0).astype(np.uint64)
+        key = key << np.uint64(24) | np.where(left < self.LEAD, self.owner + 1, 0).astype(np.uint64)
+        rank, reach = _dense(key), self.LEAD
+        while rank.max(initial=0) < n - 1:
+            later = np.zeros(n, np.int64)
             later[:-reach] = rank[reach:] + 1
-            rank = np.unique(rank * (len(rank) + 2) + later, return_inverse=True)[1].astype(np.int64)
+            rank = _dense(rank * (n + 2) + later)
             reach *= 2
         self.suffixes = np.argsort(rank)
         self.strings = len(strings)
-        before = self.suffixes - 1
-        self.symbols = np.where(self.place[self.suffixes] > 0, text[before], 0).astype(np.int16)
+        whole = self.place[self.suffixes] == 0
+        self.symbols = np.where(whole, 0, text[self.suffixes - 1]).astype(np.uint8)
+        self.longer = np.where(whole, 0, rank[self.suffixes - 1]).astype(np.int32)
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    by = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.r_[False, by[1:] != by[:-1]])
+    return out
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the merged transform: its shard, its row there, and the common prefix with the row above (at most depth)."""
-    sizes = [len(s.suffixes) for s in shards]
+    sizes = np.array([len(s.suffixes) for s in shards])
+    base = np.cumsum(sizes) - sizes
     symbols = np.concatenate([s.symbols for s in shards])
-    base = np.cumsum([0, *sizes[:-1]])
-    ends = sum(s.strings for s in shards)
-    source = np.repeat(np.arange(len(shards), dtype=np.int32), sizes)
-    common = np.full(len(source), -1, np.int16)
+    longer = np.concatenate([s.longer + np.int32(b) for s, b in zip(shards, base, strict=True)])
     # Rows of string ends come first, shard by shard, and stay there.
-    end_rows = np.repeat(np.arange(len(shards), dtype=np.int32), [s.strings for s in shards])
-    klass = np.zeros(len(source), np.int32)
+    fixed = np.concatenate([np.arange(b, b + s.strings, dtype=np.int32) for s, b in zip(shards, base, strict=True)])
+    ends = len(fixed)
+    rows = np.arange(len(symbols), dtype=np.int32)  # the interleave: shard after shard at first
+    common = np.full(len(rows), depth, np.int16)
+    parted = np.zeros(len(rows), bool)
+    klass = np.zeros(len(rows), np.int32)
+    fresh = np.ones(len(rows), bool)
     for t in range(1, depth + 1):
-        rows = np.argsort(source, kind="stable")
-        merged = np.empty_like(symbols)
-        merged[rows] = symbols
+        merged = symbols[rows]
         order = np.argsort(merged, kind="stable")[ends:]
-        source = np.concatenate([end_rows, source[order]])
-        prefix, symbol = klass[order], merged[order]
-        fresh = np.ones(len(source), bool)
-        fresh[ends + 1 :] = (symbol[1:] != symbol[:-1]) | (prefix[1:] != prefix[:-1])
-        common[fresh & (common < 0)] = t - 1
-        klass = np.cumsum(fresh, dtype=np.int32)
-    common[common < 0] = depth
-    rows = np.argsort(source, kind="stable")
-    inner = np.empty(len(source), np.int64)
-    inner[rows] = np.concatenate([np.arange(n) for n in sizes])
-    return source, inner, common
+        symbol, prefix = merged[order], klass[order]
+        rows[ends:] = longer[rows[order]]
+        rows[:ends] = fixed
+        np.not_equal(symbol[1:], symbol[:-1], out=fresh[ends + 1 :])
+        fresh[ends + 1 :] |= prefix[1:] != prefix[:-1]
+        common[fresh & ~parted] = t - 1
+        parted |= fresh
+        np.cumsum(fresh, out=klass)
+    shard = np.searchsorted(base, rows, side="right") - 1
+    return shard, rows - base[shard], common
+
+
+def repeated_intervals(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (numbered shard after shard) that share `depth` bytes with another, and their interval's number.
+
+    The refinement of `merge`, without blocks that are settled: a row parted from both neighbours keeps its place, and
+    so do all that lead to it, so only rows in intervals of two and more go on to the next pass.
+    """
+    base = np.cumsum([0, *(len(s.suffixes) for s in shards)])
+    symbols = np.concatenate([s.symbols for s in shards])
+    longer = np.concatenate([s.longer + np.int32(b) for s, b in zip(shards, base, strict=False)])
+    rows, klass = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    for _ in range(depth):
+        symbol = symbols.take(rows)
+        order = np.argsort(symbol, kind="stable")
+        order = order[np.count_nonzero(symbol == 0) :]
+        symbol, prefix = symbol.take(order), klass.take(order)
+        fresh = np.ones(len(order) + 1, bool)
+        fresh[1:-1] = (symbol[1:] != symbol[:-1]) | (prefix[1:] != prefix[:-1])
+        open_ = ~(fresh[:-1] & fresh[1:])
+        rows = longer.take(rows.take(order[open_]))
+        klass = np.cumsum(fresh[:-1][open_], dtype=np.int32)
+    return rows, klass - 1
 
 
 def byte_index(window: int, shard_bytes: int = SHARD_BYTES):
@@ -91,15 +135,12 @@ def byte_index(window: int, shard_bytes: int = SHARD_BYTES):
             shards.append(Shard(bodies[at:end]))
             firsts.append(at)
             at = end
-        source, inner, common = merge(shards, window)
-        interval = np.cumsum(common < window) - 1
-        base = np.cumsum([0, *(len(s.suffixes) for s in shards)])[:-1]
-        suffix = np.concatenate([s.suffixes for s in shards])[base[source] + inner]
-        owner = np.concatenate([s.owner + f for s, f in zip(shards, firsts, strict=True)])[base[source] + suffix]
-        place = np.concatenate([s.place for s in shards])[base[source] + suffix]
-        lengths = np.array([len(b) for b in bodies], np.int64)
-        full = place + window <= lengths[owner]
-        owner, place, interval = owner[full], place[full], interval[full]
+        rows, interval = repeated_intervals(shards, window)
+        base = np.cumsum([0, *(len(s.suffixes) for s in shards)])
+        shard = np.searchsorted(base, rows, side="right") - 1
+        suffix = np.concatenate([s.suffixes for s in shards])[rows] + base[shard]
+        owner = np.concatenate([s.owner + f for s, f in zip(shards, firsts, strict=True)])[suffix]
+        place = np.concatenate([s.place for s in shards])[suffix]
         at = start[owner] + place
         by = np.lexsort((at, doc[owner]))
         new = np.ones(len(by), bool)

@@ -2,8 +2,8 @@
 
 Units are words or bytes, a window is W units. Only suffixes that start at *anchors* can be needed: in each window the
 anchor is the leftmost of its k-grams with the smallest hash, so equal windows have equal anchors at equal offsets, and
-every repeat of W units shares an anchor's gram and its place. An anchor's *context* is what windows around it can
-reach: W - k units before and W units from it on, within the text.
+every repeat of W units shares an anchor's gram and its place. An anchor's *context* is what the windows that chose it
+span, so each window is in one context only.
 
 1. A scan emits anchors; within an Arrow batch, equal contexts are merged at once (the first stays, the rest is covered).
 2. Anchors are dealt out by gram. Grams of one anchor go. Members of a class of equal contexts after the first are
@@ -34,7 +34,7 @@ NULL_ID = (1 << 63) - 1
 #: Contexts of one gram beyond which it is split by whole windows.
 MANY_CONTEXTS = 10_000
 #: Units of context that one index holds.
-INDEX_UNITS = 1 << 20
+INDEX_UNITS = 1 << 19
 
 ANCHOR_SCHEMA = "gram long, ctx long, doc long, th int, pos int, l short, r short, hi int"
 MARK_SCHEMA = "gram long, doc long, th int, pos int, l short, r short, hi int, classes int"
@@ -86,13 +86,14 @@ def anchors_of(flat: np.ndarray, offs: np.ndarray, spec: Spec) -> dict[str, np.n
     _, down = powers(BASES[1], len(sums))
     grams = (sums[k:] - sums[:-k]) * down[: len(sums) - k]
     best = _sliding_min((grams & ~PLACE_MASK) | np.arange(len(grams), dtype=np.uint64), window - k + 1)
-    at = (best[in_one_text(first, window)] & PLACE_MASK).astype(np.int64)
-    if not len(at):
+    begin = np.flatnonzero(in_one_text(first, window))
+    if not len(begin):
         return none
-    at = at[np.r_[True, at[1:] != at[:-1]]]
+    at = (best[begin] & PLACE_MASK).astype(np.int64)
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    at, low, high = at[new], begin[new], begin[np.r_[new[1:] - 1, len(begin) - 1]]
     row = np.searchsorted(first, at, side="right") - 1
-    left = np.minimum(at - first[row], window - k)
-    right = np.minimum(first[row + 1] - at, window)
+    left, right = at - low, high + window - at
     ctx = span_hashes(sums, at - left, at + right, BASES[1]) ^ (left * 257 + right).astype(np.uint64)
     return {"row": row, "pos": at - first[row], "gram": signed(mix(grams[at])), "ctx": signed(ctx), "l": left, "r": right}
 
