@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.operators.segment import fixed_chunks
+from corpusmill.plans.oracles import ORACLE_SQL
+from corpusmill.plans.queries import QUERIES
+
 Query = Callable[[SparkSession, str], DataFrame]
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-length chunks of all documents, counted by language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.avg(F.length("text")).alias("avg_chars"))
-
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+    found = fixed_chunks(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    return found.groupBy("lang").agg(F.count("*").alias("chunks"), F.round(F.avg(F.length("content")), 2).alias("avg_chars"))
