@@ -31,7 +31,10 @@ def entity_tags(text: Column, limit: int = K.MAX_ENTITIES) -> Column:
 
 def typed_entities(text: Column) -> Column:
     """Distinct (type, value) in the order of the types and of their places."""
-    parts = [F.transform(find_all(F.coalesce(text, F.lit("")), p), lambda v, k=kind: F.struct(F.lit(k).alias("type"), F.trim(v).alias("value"))) for kind, p in K.TYPED_ENTITIES]
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(find_all(F.coalesce(text, F.lit("")), pattern), lambda v: F.struct(F.lit(kind).alias("type"), F.trim(v).alias("value")))
+
+    parts = [of(kind, pattern) for kind, pattern in K.TYPED_ENTITIES]
     return F.array_distinct(F.flatten(F.array(*parts)))
 
 
@@ -96,7 +99,7 @@ def backlink(doc_id: Column, chunk_id: Column, ref_ids: Column, pages: Column) -
         F.lit("source_refs_v1").alias("kind"),
         doc_id.alias("doc_id"),
         chunk_id.alias("chunk_id"),
-        F.try_element_at(ref_ids, F.lit(1)).alias("primary_ref"),
+        F.get(ref_ids, 0).alias("primary_ref"),
         dedupe_ci(ref_ids).alias("source_ref_ids"),
         F.struct(F.array_min(pages).alias("start"), F.array_max(pages).alias("end")).alias("page_span"),
         F.size(ref_ids).alias("source_ref_count"),

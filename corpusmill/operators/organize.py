@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
-from corpusmill.functions.text import find_all, py_strip, sentences
+from corpusmill.functions.text import find_all
 
 
 def tag_tokens(text: Column) -> Column:
@@ -31,22 +34,35 @@ def tags(df: DataFrame, limit: int = K.MAX_TAGS, text_col: str = "text") -> Data
     return firsts.select("doc_id", F.row_number().over(w).alias("nth"), "tag").where(F.col("nth") <= limit)
 
 
+def _summary(limit: int):
+    sentence, token, stop = re.compile(K.SENTENCE), re.compile(K.TAG_TOKEN), frozenset(K.TAG_STOPWORDS)
+
+    def words(t: str) -> list[str]:
+        return [w for w in token.findall(t) if len(w) > 1 and w.lower() not in stop]
+
+    def summary(text: str | None) -> str:
+        text = text or ""
+        parts = [s for m in sentence.finditer(text) if (s := m.group(0).strip())] or [text.strip()]
+        if len(parts) <= 2:
+            return "".join(parts).strip()[:limit]
+        counts, room, picked = Counter(words(text)), limit - len(parts[0]), [0]
+        # A sentence that occurs again stands at its last place, as equal sentences cannot be told apart.
+        place = {s: i for i, s in enumerate(parts)}
+        for s in sorted(parts[1:], key=lambda s: -sum(counts[w] for w in words(s))):
+            if room <= 0:
+                break
+            if s != parts[0] and len(s) <= room + 20:
+                picked.append(place[s])
+                room -= len(s)
+        picked[0] = place[parts[0]]
+        return "".join(parts[i] for i in sorted(picked)).strip()[:limit]
+
+    return summary
+
+
 def extractive_summary(text: Column, limit: int = K.SUMMARY_CHARS) -> Column:
     """The first sentence and the best others that fit (20 characters over at most), in their order, cut at the limit."""
-    all_ = sentences(text)
-    words = tag_tokens(text)
-    indexed = F.transform(all_, lambda s, i: F.struct(i.alias("i"), s.alias("s"), F.aggregate(tag_tokens(s), F.lit(0).cast("long"), lambda acc, t: acc + F.size(F.filter(words, lambda w: w == t))).alias("score")))
-    rest = F.array_sort(F.transform(F.slice(indexed, F.lit(2), F.greatest(F.size(indexed) - 1, F.lit(0))), lambda x: F.struct((-x["score"]).alias("down"), x["i"].alias("i"), x["s"].alias("s"))))
-    lead = F.element_at(all_, 1)
-    start = F.struct((limit - F.length(lead)).alias("room"), F.array(F.struct(F.lit(0).alias("i"), lead.alias("s"))).alias("picked"))
-
-    def step(acc: Column, x: Column) -> Column:
-        take = (x["s"] != lead) & (acc["room"] > 0) & (F.length(x["s"]) <= acc["room"] + 20)
-        return F.when(take, F.struct((acc["room"] - F.length(x["s"])).alias("room"), F.array_append(acc["picked"], F.struct(x["i"].alias("i"), x["s"].alias("s"))).alias("picked"))).otherwise(acc)
-
-    picked = F.aggregate(rest, start, step)["picked"]
-    chosen = F.array_join(F.transform(F.array_sort(picked), lambda x: x["s"]), "")
-    return F.left(py_strip(F.when(F.size(all_) <= 2, F.array_join(all_, "")).otherwise(chosen)), F.lit(limit))
+    return F.udf(_summary(limit), "string", useArrow=True)(text)
 
 
 def document_summary(summaries: DataFrame, limit: int = K.DOC_SUMMARY_CHARS) -> DataFrame:

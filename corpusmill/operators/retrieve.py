@@ -107,7 +107,12 @@ def lexical_boost(question: Column, text: Column, chunk_type: Column) -> Column:
 def char_tfidf(df: DataFrame, low: int = 1, high: int = 4) -> DataFrame:
     """doc_id, gram, w: sublinear tf times smooth idf over character n-grams, each document to length 1."""
     t = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s\s+", " ")
-    grams = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i, n=n: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+
+    def grams_of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
+        return F.when(F.length(t) >= n, F.transform(places, lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    grams = [grams_of(n) for n in range(low, high + 1)]
     counts = df.select("doc_id", F.explode(F.flatten(F.array(*grams))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("c"))
     spread = counts.groupBy("gram").agg(F.count("*").alias("df"))
     total = df.agg(F.count("*").alias("docs"))

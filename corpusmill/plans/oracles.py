@@ -229,15 +229,15 @@ BY_SIZE = ", ".join(fixed(s, str(s)) for s in (256, 512, 1024)) + ", sized AS ("
 
 TARGET = "CASE WHEN length(text) <= 0 THEN 550 WHEN length(text) < 3000 THEN 300 WHEN length(text) < 10000 THEN 450 WHEN length(text) < 50000 THEN 650 WHEN length(text) < 200000 THEN 850 ELSE 1100 END"
 TAG = f"""
-tt AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS at FROM (SELECT doc_id, list_filter(regexp_extract_all(text, {q(K.TAG_TOKEN)}), lambda z: length(z) >= 2 AND NOT {among('lower(z)', K.TAG_STOPWORDS)}) AS t FROM documents)),
-tn AS (SELECT doc_id, term, count(*) AS n, min(at) AS at FROM tt GROUP BY 1, 2),
-tr AS (SELECT *, row_number() OVER w AS place, lead(term) OVER w AS nxt, lead(n) OVER w AS nxt_n FROM tn WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, at)),
+tt AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, list_filter(regexp_extract_all(text, {q(K.TAG_TOKEN)}), lambda z: length(z) >= 2 AND NOT {among('lower(z)', K.TAG_STOPWORDS)}) AS t FROM documents)),
+tn AS (SELECT doc_id, term, count(*) AS n, min(pos) AS pos FROM tt GROUP BY 1, 2),
+tr AS (SELECT *, row_number() OVER w AS place, lead(term) OVER w AS nxt, lead(n) OVER w AS nxt_n FROM tn WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, pos)),
 tp AS (SELECT doc_id, term || nxt AS tag, max(n + nxt_n) AS score, min(place) AS place, 0 AS single FROM tr WHERE nxt IS NOT NULL AND length(term || nxt) <= {K.BIGRAM_CHARS} GROUP BY 1, 2
        UNION ALL SELECT doc_id, term, n, place, 1 FROM tr),
 tq AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag ORDER BY single, score DESC, place) AS again FROM tp),
 tz AS (SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY single, score DESC, place) AS nth FROM tq WHERE again = 1)"""
 
-_TURNS = "asked AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'), said AS (SELECT conv_id, turn AS at, text FROM conversations WHERE role = 'assistant')"
+_TURNS = "asked AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'), said AS (SELECT conv_id, turn AS answer_turn, text FROM conversations WHERE role = 'assistant')"
 _TERMS = f"list_distinct(list_filter(list_transform(regexp_extract_all(question, {q(K.QUERY_TERM)}), lambda t: {compact('t')}), lambda t: length(t) >= 2))"
 _COUNTS = "list_transform(list_distinct({t}), lambda z: len(list_filter({t}, lambda y: y = z))::DOUBLE)"
 
@@ -282,7 +282,7 @@ SELECT doc_id, count(*) AS original_count, count(*) FILTER (fate IN ('keep', 'fl
     "flatten_tables": f"WITH {BLOCKS} SELECT doc_id, raw, {flat_table('text')} AS flat FROM blocks WHERE block_type = 'table'",
     "sentences": f"SELECT doc_id, len(s) AS n, list_max(list_transform(s, lambda z: length(z))) AS longest FROM (SELECT doc_id, CASE WHEN len(f) > 0 THEN f ELSE [trim(text, ' ' || chr(10))] END AS s FROM (SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(text, {q(K.SENTENCE)}), lambda z: trim(z)), lambda z: z <> '') AS f FROM documents))",
     "token_counts": f"SELECT doc_id, {n_tokens('text')} AS n FROM documents",
-    "metric_text": f"WITH {BLOCKS} SELECT doc_id, raw, array_to_string(list_transform(list_distinct(flatten([{', '.join(f'regexp_extract_all(text, {q(p)})' for p in K.METRIC_TERMS)}])), lambda z: replace(replace({norm('z')}, '≥', '{K.AT_LEAST}'), '>=', '{K.AT_LEAST}')), '；') AS terms FROM blocks WHERE {rx('text', K.METRIC)}",
+    "metric_text": f"WITH {BLOCKS} SELECT doc_id, raw, array_to_string(list_transform(list_sort(list_distinct(flatten([{', '.join(f'regexp_extract_all(text, {q(p)})' for p in K.METRIC_TERMS)}]))), lambda z: replace(replace({norm('z')}, '≥', '{K.AT_LEAST}'), '>=', '{K.AT_LEAST}')), '；') AS terms FROM blocks WHERE {rx('text', K.METRIC)}",
     "fixed_chunks": f"WITH RECURSIVE {fixed(512)} SELECT doc_id, nth, hi, content FROM fixed",
     "fixed_chunk_stats": f"WITH RECURSIVE {fixed(512)} SELECT doc_id, count(*) AS chunk_count, sum(length(content)) AS chars, sum({n_tokens('content')}) AS tokens, count(*) FILTER (length(content) BETWEEN 180 AND 800) AS hits, count(*) FILTER (length(content) > 800) AS oversized, count(*) FILTER (length(content) < 180) AS undersized, count(*) FILTER ({boundary('content')}) AS unbroken FROM fixed GROUP BY doc_id",
     "lead_summary": f"SELECT doc_id, {summary('text')} AS summary FROM documents",
@@ -301,14 +301,14 @@ SELECT doc_id, rank, term, n, df, weight_e6 FROM (SELECT *, row_number() OVER (P
 x AS (SELECT n.query_id, n.vec_id AS chunk_id, n.rank AS cand_rank, {e6(f"0.65::DOUBLE * (1 / (1 + greatest((-n.score_e6 / 1e6)::DOUBLE, 0.0))) + 0.35::DOUBLE * {overlap('w.text', 'd.text')} - {PENALTY.replace('text', 'd.text')}")} AS score_e6
       FROM near n JOIN documents w ON w.doc_id = n.query_id JOIN documents d ON d.doc_id = n.vec_id)
 SELECT query_id, chunk_id, rank, score_e6 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_e6 DESC, cand_rank) AS rank FROM x) WHERE rank <= 10""",
-    "lexical_boost": f"WITH {_TURNS}, x AS (SELECT conv_id, turn, at, question, text, {_TERMS} AS terms FROM asked JOIN said USING (conv_id)) SELECT conv_id, turn, at, {e6(f'''CASE WHEN len(terms) > 0 THEN least(0.08::DOUBLE, 0.025::DOUBLE * len(list_filter(terms, lambda t: contains({compact('text')}, t)))) + CASE WHEN {rx('question', K.METRIC_QUERY)} AND {rx('text', K.METRIC)} THEN 0.05::DOUBLE ELSE 0.0 END ELSE 0.0 END''')} AS boost_e6 FROM x",
+    "lexical_boost": f"WITH {_TURNS}, x AS (SELECT conv_id, turn, answer_turn, question, text, {_TERMS} AS terms FROM asked JOIN said USING (conv_id)) SELECT conv_id, turn, answer_turn, {e6(f'''CASE WHEN len(terms) > 0 THEN least(0.08::DOUBLE, 0.025::DOUBLE * len(list_filter(terms, lambda t: contains({compact('text')}, t)))) + CASE WHEN {rx('question', K.METRIC_QUERY)} AND {rx('text', K.METRIC)} THEN 0.05::DOUBLE ELSE 0.0 END ELSE 0.0 END''')} AS boost_e6 FROM x",
     "char_tfidf_norms": f"""WITH g AS ({' UNION ALL '.join(_grams(n) for n in (1, 2, 3))}), c AS (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY 1, 2), f AS (SELECT gram, count(*) AS df FROM c GROUP BY 1),
 w AS (SELECT doc_id, gram, (1 + ln(c::DOUBLE)) * (ln((1 + (SELECT count(*) FROM benchmark))::DOUBLE / (1 + df)) + 1) AS w FROM c JOIN f USING (gram))
 SELECT doc_id, count(*) AS grams, {e6('max(w) / sqrt(sum(w * w))')} AS top_e6 FROM w GROUP BY doc_id""",
     "semi_anti": "SELECT lang, count(*) AS n, 'labelled' AS side FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY lang UNION ALL SELECT lang, count(*), 'unlabelled' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang",
     "keyword_judge": f"""WITH {_TURNS}, k AS (SELECT conv_id, turn, list_slice(list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda z: z IS NOT NULL), 1, 6) AS kw FROM (SELECT conv_id, turn, regexp_extract_all(lower(question), '[a-z]{{4,}}') AS w FROM asked)),
-x AS (SELECT conv_id, turn, at, text, len(kw) AS n, coalesce(len(list_filter(kw, lambda z: contains({compact('text')}, {compact('z')})))::DOUBLE / nullif(len(kw), 0), 0) AS share FROM k JOIN said USING (conv_id))
-SELECT conv_id, turn, at, {e6('share')} AS share_e6, share >= 0.34 OR (share > 0 AND {rx('text', K.EVIDENCE)}) AS relevant FROM x""",
+x AS (SELECT conv_id, turn, answer_turn, text, len(kw) AS n, coalesce(len(list_filter(kw, lambda z: contains({compact('text')}, {compact('z')})))::DOUBLE / nullif(len(kw), 0), 0) AS share FROM k JOIN said USING (conv_id))
+SELECT conv_id, turn, answer_turn, {e6('share')} AS share_e6, share >= 0.34 OR (share > 0 AND {rx('text', K.EVIDENCE)}) AS relevant FROM x""",
     "ir_metrics": f"WITH {RANKED} {METRICS}",
     "badcases": f"WITH {RANKED} SELECT query_id, recall_5_e6, mrr_e6 FROM ({METRICS}) WHERE recall_5_e6 < 300000",
     "strategy_comparison": f"WITH RECURSIVE {BY_SIZE} SELECT lang AS grp, strategy, count(*) AS n, sum(value) AS total, grouping(lang) AS overall FROM sized JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang, strategy), (strategy))",
