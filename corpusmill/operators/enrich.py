@@ -23,8 +23,10 @@ def entity_tags(text: Column, limit: int = K.MAX_ENTITIES) -> Column:
     """Dates, versions, quoted terms, organisations and technical terms, in that order, without repeats."""
     t = norm_ws(text)
     found = [find_all(t, K.ENTITY_DATE), find_all(t, K.ENTITY_VERSION), *[find_all(t, p, 1) for p in K.QUOTED]]
-    found += [find_all(t, f"[一-鿿A-Za-z0-9]{{2,20}}{s}") for s in K.ORG_SUFFIXES]
-    terms = [F.when(t.rlike(rf"(?iU)\b{term}\b") | F.contains(t, F.lit(term)), F.lit(term)) for term in K.TECH_TERMS]
+    none = F.array().cast("array<string>")
+    found += [F.when(F.contains(t, F.lit(s)), find_all(t, f"[一-鿿A-Za-z0-9]{{2,20}}{s}")).otherwise(none) for s in K.ORG_SUFFIXES]
+    low = F.lower(t)
+    terms = [F.when(F.contains(t, F.lit(term)) | (F.contains(low, F.lit(term.lower())) & t.rlike(rf"(?iU)\b{term}\b")), F.lit(term)) for term in K.TECH_TERMS]
     every = F.filter(F.transform(F.flatten(F.array(*found, F.array_compact(F.array(*terms)))), F.trim), lambda x: x != "")
     return F.slice(dedupe_ci(every), 1, limit)
 

@@ -61,12 +61,13 @@ def is_separator_row(line: Column) -> Column:
 
 
 def is_table_line(line: Column) -> Column:
+    """Two cells at least, so a bar at least: most lines are settled by that."""
     cells = table_cells(line)
-    return is_separator_row(line) | (F.size(F.filter(cells, lambda c: c != "")) >= 2)
+    return F.contains(line, F.lit("|")) & ((F.size(F.filter(cells, lambda c: c != "")) >= 2) | is_separator_row(line))
 
 
 def is_image_line(line: Column) -> Column:
-    return any_match(py_strip(line), K.IMAGE)
+    return (F.contains(line, F.lit("![")) | F.contains(line, F.lit("<"))) & any_match(line, K.IMAGE)
 
 
 def line_class(line: Column) -> Column:
@@ -135,7 +136,7 @@ def is_table(text: Column) -> Column:
     pairs = F.zip_with(F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))), F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     headed = F.exists(pairs, lambda p: is_separator_row(p["b"]) & (F.size(table_cells(p["a"])) == F.size(table_cells(p["b"]))))
     like = F.transform(F.filter(rows, is_table_line), lambda r: F.size(table_cells(r)))
-    return (F.size(rows) >= 2) & (headed | ((F.size(like) >= 2) & (F.size(F.array_distinct(like)) == 1)))
+    return F.contains(text, F.lit("|")) & (F.size(rows) >= 2) & (headed | ((F.size(like) >= 2) & (F.size(F.array_distinct(like)) == 1)))
 
 
 def is_formula(text: Column) -> Column:
@@ -148,7 +149,7 @@ def block_type(text: Column) -> Column:
     rows = block_lines(text)
     return (
         F.when(is_heading(text), "heading")
-        .when((F.size(rows) > 0) & F.forall(rows, is_image_line), "image")
+        .when(is_image_line(text) & F.forall(rows, is_image_line), "image")
         .when(is_table(text), "table")
         .when(text.startswith(K.FENCE) | text.endswith(K.FENCE), "code")
         .when(is_formula(text), "formula")

@@ -119,8 +119,7 @@ def lead_summary(spark, sf_dir):
 
 
 def entity_tags(spark, sf_dir):
-    x = mdoc(spark, sf_dir).select("doc_id", F.array_join(enrich.entity_tags(F.col("text")), "|").alias("tags"))
-    return x.where("tags <> ''")
+    return mdoc(spark, sf_dir).select("doc_id", F.array_join(enrich.entity_tags(F.col("text")), "|").alias("tags"))
 
 
 def typed_entities(spark, sf_dir):
