@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,13 @@ from pyspark.sql import functions as F
 
 from corpusmill.shipping import ship
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library has no such call, and needs none
+    _libc = None
+
+#: Arrow batches that reach a worker hold at most so many rows and about so many bytes.
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 #: Bytes of text that one numpy slice holds (a longer single text is a slice of its own).
 SLICE_BYTES = 1 << 20
 
@@ -45,6 +53,21 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
+def released() -> None:
+    """Gives memory that a task no longer uses back to the machine: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def prepared(df: DataFrame):
+    """The session of a map, its workers able to import this package and its batches bounded."""
+    spark = ship(df.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")))))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow over single batches; fn yields dicts of columns that become batches of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,12 +75,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
 
     struct = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
-    ship(df.sparkSession)
+    prepared(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for columns in fn(batch):
                 yield record_batch(columns, arrow)
+        released()
 
     return df.mapInArrow(run, struct)
 
@@ -69,11 +93,12 @@ def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     struct = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
-    ship(df.sparkSession)
+    prepared(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):
             yield record_batch(columns, arrow)
+        released()
 
     return df.mapInArrow(run, struct)
 

@@ -31,7 +31,7 @@ BPE_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 stri
 class Borders:
     """Whether two tokens may be neighbours, from their merge histories."""
 
-    def __init__(self, vocab: Vocabulary, limit: int = 400_000) -> None:
+    def __init__(self, vocab: Vocabulary, limit: int = 200_000) -> None:
         self.vocab = vocab
         self.known: dict[int, bool] = {}
         self.limit = limit

@@ -112,7 +112,7 @@ def read_vocabulary(path: str) -> bytes:
 class Memo(dict):
     """What `of(piece)` gave for recent pieces: two generations of at most `limit` pieces, so memory stays bounded."""
 
-    def __init__(self, of, limit: int = 250_000, longest: int = 64) -> None:
+    def __init__(self, of, limit: int = 120_000, longest: int = 64) -> None:
         super().__init__()
         self.of, self.limit, self.longest = of, limit, longest
         self.older: dict = {}
