@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe_count, bpe_stream, bwt_merge, decontam, licenses, media, ngram_join, packing, ppm, suffix_tree
+from corpusmill.llm import bpe_count, bpe_stream, bwt_merge, decontam, licenses, media, ngram_join, oracles, packing, ppm, suffix_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,4 +57,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
