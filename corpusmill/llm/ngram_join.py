@@ -6,13 +6,15 @@ the first n - t + l elements of both, for every l. A set takes the l (1 to 4) wi
 largest frequency in that prefix stands for its candidates, the added elements for the work of finding them. Of a pair,
 the smaller l shared prefix elements are required before the sets are compared.
 
-Only components are asked for, so not all pairs are made. Equal sets are one node. Short posting lists give all their
-pairs. A long list gives the pairs with its hub (its smallest node); then only members of different components can
-still matter, and as Jaccard distance is a metric, only those whose distances to the hub differ by at most 1 - s. Those
-pairs are compared too. Nothing is dropped: every pair of a posting list is compared, in one component, or ruled out.
-
-Frequencies only steer the order: each Arrow batch reports shingles that it holds three times or more; the most frequent
-MAX_FREQUENT of their sums are sent to all tasks. Sets are of 64-bit hashes; pairs are compared on 40 bits of each.
+Only components are asked for, so not all pairs are compared. Equal sets are one node. Short posting lists give all their
+pairs, and a pair goes on if it occurs in as many lists as it must share elements; long lists give pairs with their
+smallest node. First, each node is compared with its best partner alone, which joins most groups. Then come the pairs
+whose nodes are still apart, and the distances of a list's hub (its smallest node) for long lists whose members are. As
+Jaccard distance is a metric, of such a list only members in different components whose distances to the hub differ by at
+most 1 - s are left to compare, last. Nothing is dropped: every pair is compared, in one component, or ruled out.
+
+Frequencies only steer the order: tasks report shingles that they hold twice or more (COUNT_SHINGLES at a time); the most
+frequent MAX_FREQUENT of their sums are sent to all tasks. Sets are of 64-bit hashes; pairs are compared on 40 bits of each.
 """
 
 from __future__ import annotations
@@ -31,11 +33,19 @@ from corpusmill.llm.hashing import LOWER, gram_hashes, mix, signed, word_hashes,
 from corpusmill.llm.lineage import written
 from corpusmill.llm.repeats import NULL_ID
 
-#: Frequent shingles that are sent to all tasks: 16 bytes each, 2 MB at most.
-MAX_FREQUENT = 1 << 17
+#: Frequent shingles that are sent to all tasks: 16 bytes each, 16 MB at most.
+MAX_FREQUENT = 1 << 20
+#: Shingles that a task counts at a time.
+COUNT_SHINGLES = 6_000_000
 MAX_MATCHES = 4
 #: Lists up to this length give all their pairs at once.
-SHORT_LIST = 8
+SHORT_LIST = 16
+#: Members that are compared with one copy of their hub.
+HUB_MEMBERS = 2000
+#: Nodes whose texts are met by sending the nodes to all tasks (16 bytes each and their routes) instead of dealing out texts.
+FEW_NODES = 50_000
+#: What a shingle not known as frequent counts for, and how much rarer a further shared one makes a candidate.
+RARE_COUNT, FURTHER = 4, 0.1
 #: Rows of a block when a long list's remaining pairs are made.
 BLOCK = 2048
 
@@ -92,7 +102,8 @@ def shingle_sets(flat: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndar
 def signature(tokens: np.ndarray) -> int:
     """64 bits of a whole set, its size included."""
     own = mix(tokens * np.uint64(0x9E3779B97F4A7C15))
-    return int(mix(np.array([own.sum(dtype=np.uint64) * np.uint64(3) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
+    total = (3 * int(own.sum(dtype=np.uint64)) + len(tokens)) % 2**64
+    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
 def ordered(tokens: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
@@ -105,14 +116,12 @@ def ordered(tokens: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matches_for(freq: np.ndarray, base: int) -> int:
-    """How many shared prefix elements to require: the least estimated cost."""
+    """How many shared prefix elements to require: the least estimated cost of candidates and of further elements."""
     best, least = 1, None
     for need in range(1, MAX_MATCHES + 1):
         if base + need - 1 > len(freq):
             break
-        prefix = freq[: base + need - 1]
-        candidates = np.partition(prefix, len(prefix) - need)[len(prefix) - need]
-        cost = float(candidates) + 0.02 * float(prefix.sum())
+        cost = float(np.maximum(freq[: base + need - 1], RARE_COUNT).sum()) * FURTHER ** (need - 1) + 2 * need
         if least is None or cost < least:
             best, least = need, cost
     return best
@@ -123,19 +132,30 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def frequent_shingles(docs: DataFrame, join: Join) -> Order:
-    def count(batch: pa.RecordBatch) -> Iterator[dict]:
-        seen, parts = set(), []
-        for _, _, flat, offs in slices(batch.column(1)):
-            for tokens in shingle_sets(flat, offs, join.words):
-                sign = signature(tokens)
-                if sign not in seen:
-                    seen.add(sign)
-                    parts.append(tokens)
-        if parts:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        seen: set[int] = set()
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def repeated() -> dict:
             token, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield {"token": signed(token[n >= 3]), "n": n[n >= 3]}
+            return {"token": signed(token[n > 1]), "n": n[n > 1]}
+
+        for batch in batches:
+            for _, _, flat, offs in slices(batch.column(1)):
+                for tokens in shingle_sets(flat, offs, join.words):
+                    sign = signature(tokens)
+                    if sign not in seen:
+                        seen.add(sign)
+                        parts.append(tokens)
+                        held += len(tokens)
+                if held >= COUNT_SHINGLES:
+                    yield repeated()
+                    seen, parts, held = set(), [], 0
+        if parts:
+            yield repeated()
 
-    counted = map_batches(docs, count, "token long, n long")
+    counted = map_stream(docs, count, "token long, n long")
     table = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()
     token, n = table.column("token").to_numpy().view(np.uint64), table.column("n").to_numpy()
     by = np.argsort(token)
@@ -187,8 +207,9 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, n
             held.append(a)
             continue
         cut = int(np.searchsorted(a[key], a[key][-1]))
-        held.append({n: x[:cut] for n, x in a.items()})
-        yield {n: np.concatenate([h[n] for h in held]) for n in a}
+        if held or cut:
+            held.append({n: x[:cut] for n, x in a.items()})
+            yield {n: np.concatenate([h[n] for h in held]) for n in a}
         held = [{n: x[cut:] for n, x in a.items()}]
     if held:
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
@@ -198,46 +219,37 @@ def _sizes_fit(join: Join, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.minimum(n, m) * join.den >= np.maximum(n, m) * join.num
 
 
-LIST_SCHEMA = "token long, hub long, a long, b long, n int, need int, kind int"
-PAIR, HUB_PAIR, MEMBER = 0, 1, 2
-
-
-def _distinct(*columns: np.ndarray) -> list[np.ndarray]:
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return [c[new] for c in columns]
+LIST_SCHEMA = "token long, a long, b long, n int, need int, kind int"
+PAIR, STAR, MEMBER = 0, 1, 2
 
 
 def _list_rows(join: Join):
-    """Pairs of short lists; of long lists their members, and each member's pair with the hub."""
+    """Pairs of short lists (once for each list); members of long lists, and their pairs with the smallest node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for g in grouped(batches, "token"):
             token, node, n, need = (g[x] for x in ("token", "node", "n", "need"))
-            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             size = np.diff(np.r_[starts, len(token)])
-            pairs_a, pairs_b = [], []
             for m in range(2, SHORT_LIST + 1):
-                at = starts[size == m]
-                for i in range(m):
-                    for j in range(i + 1, m):
-                        pairs_a.append(at + i)
-                        pairs_b.append(at + j)
+                first = starts[size == m]
+                if not len(first):
+                    continue
+                i, j = np.triu_indices(m, 1)
+                yield from rows(token, node, n, need, (first[:, None] + i).ravel(), (first[:, None] + j).ravel(), PAIR)
             long = np.flatnonzero(size > SHORT_LIST)
-            within = np.concatenate([np.arange(starts[k], starts[k] + size[k]) for k in long]) if len(long) else np.zeros(0, np.int64)
-            hub = np.repeat(starts[long], size[long])  # rows are sorted by node, the first is the hub
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pairs_a, pairs_b))
-            ok = _sizes_fit(join, n[a].astype(np.int64), n[b].astype(np.int64))
-            other = hub != within
-            for x, y, kind in ((a[ok], b[ok], PAIR), (hub[other], within[other], HUB_PAIR)):
-                code = _distinct(node[x], node[y], np.minimum(need[x], need[y]))
-                k = len(code[0])
-                yield {"token": np.zeros(k), "hub": np.zeros(k), "a": code[0], "b": code[1], "n": np.zeros(k), "need": code[2], "kind": np.full(k, kind)}
-            if len(within):
+            if len(long):
+                within = np.concatenate([np.arange(starts[k], starts[k] + size[k]) for k in long])
+                hub = np.repeat(starts[long], size[long])  # rows are sorted by node
+                yield from rows(token, node, n, need, hub[hub != within], within[hub != within], STAR)
                 k = len(within)
-                yield {"token": token[within], "hub": node[hub], "a": node[within], "b": np.zeros(k), "n": n[within], "need": need[within], "kind": np.full(k, MEMBER)}
+                yield {"token": token[within], "a": node[within], "b": np.zeros(k), "n": n[within], "need": need[within], "kind": np.full(k, MEMBER)}
+
+    def rows(token, node, n, need, a, b, kind: int) -> Iterator[dict]:
+        ok = _sizes_fit(join, n[a].astype(np.int64), n[b].astype(np.int64))
+        a, b = a[ok], b[ok]
+        k = len(a)
+        yield {"token": np.zeros(k), "a": node[a], "b": node[b], "n": np.zeros(k), "need": np.minimum(need[a], need[b]), "kind": np.full(k, kind)}
 
     return run
 
@@ -253,41 +265,74 @@ def unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def _set_rows(join: Join, sent):
+def _routed_sets(join: Join, sent):
+    """A node's set once for each place where it is compared."""
+
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        order, wanted = sent.value, batch.column(0).to_pylist()
-        sets = [tokens for _, _, flat, offs in slices(batch.column(1)) for tokens in shingle_sets(flat, offs, join.words)]
-        own = [i for i, tokens in enumerate(sets) if len(tokens) and signature(tokens) == wanted[i]]  # rows may share an id
-        yield {"node": [wanted[i] for i in own], "tokens": [packed(ordered(sets[i], order)[0]) for i in own]}
+        order, wanted, routes = sent.value, batch.column(0).to_pylist(), batch.column(2)
+        row = 0
+        for _, _, flat, offs in slices(batch.column(1)):
+            out: dict[str, list] = {n: [] for n in ("hub", "salt", "role", "node", "need", "exact", "tokens")}
+            for tokens in shingle_sets(flat, offs, join.words):
+                node, own = wanted[row], routes[row]
+                row += 1
+                if not len(tokens) or signature(tokens) != node:  # rows may share an id
+                    continue
+                data = packed(ordered(tokens, order)[0])
+                for r in own.as_py():
+                    for n in ("hub", "salt", "role", "need", "exact"):
+                        out[n].append(r[n])
+                    out["node"].append(node)
+                    out["tokens"].append(data)
+            yield out
 
     return run
 
 
 def _compare(join: Join):
-    """Intersection and union sizes; null for pairs that share too few prefix elements, unless a distance is needed."""
+    """Intersection and union sizes of each hub with its members; null for pairs that share too few prefix elements,
+    unless a distance is needed. Over a partition sorted by (hub, salt, role), so a hub comes before its members."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        shared, union = [], []
-        for need, exact, left, right in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-            x, y = unpacked(left), unpacked(right)
-            p, q = (len(s) - join.overlap(len(s)) + need for s in (x, y))
-            common = len(np.intersect1d(x[:p], y[:q], assume_unique=True))
-            if exact or common >= need:
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                shared.append(common)
-                union.append(len(x) + len(y) - common)
-            else:
-                shared.append(None)
-                union.append(None)
-        yield {"a": batch.column(0), "b": batch.column(1), "shared": shared, "united": union}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        hub, x = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in ("a", "b", "shared", "united")}
+            for key, _, role, node, need, exact, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if role == 0:
+                    hub, x = key, unpacked(data)
+                    continue
+                assert hub == key, "a hub's set is missing"
+                y = unpacked(data)
+                p, q = (len(s) - join.overlap(len(s)) + need for s in (x, y))
+                common = len(np.intersect1d(x[:p], y[:q], assume_unique=True))
+                known = exact or common >= need
+                common = len(np.intersect1d(x, y, assume_unique=True)) if known else None
+                out["a"].append(key)
+                out["b"].append(node)
+                out["shared"].append(common)
+                out["united"].append(len(x) + len(y) - common if known else None)
+            yield out
 
     return run
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a")
-    return map_batches(both.select("a", "b", "need", "exact", "left", "right"), _compare(join), "a long, b long, shared int, united int")
+def _compared(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, join: Join, sent, few: int | None = None) -> DataFrame:
+    """Sizes for pairs (a, b, need, exact): each text is met once and its set goes to every hub that it is paired with.
+
+    A hub with many members has a copy for each HUB_MEMBERS of them. `few`: how many pairs there are, if known.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("salts"))
+    member = pairs.join(salts, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "need", "exact").alias("r"))
+    hub = salts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    hub = hub.select("node", F.struct(F.col("node").alias("hub"), "salt", F.lit(0).alias("role"), F.lit(0).alias("need"), F.lit(True).alias("exact")).alias("r"))
+    routes = member.unionByName(hub).groupBy("node").agg(F.collect_list("r").alias("routes"))
+    wanted = firsts.join(routes, "node")
+    if few is not None and few <= FEW_NODES:
+        wanted = F.broadcast(wanted)
+    texts = docs.join(wanted, "doc").select("node", "text", "routes")
+    sets = map_batches(texts, _routed_sets(join, sent), "hub long, salt int, role int, node long, need int, exact boolean, tokens binary")
+    dealt = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+    return map_stream(dealt, _compare(join), "a long, b long, shared int, united int").dropDuplicates(["a", "b"])
 
 
 def _remaining_rows(join: Join):
@@ -329,26 +374,45 @@ def similar_groups(df: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     nodes = table.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.max("need").alias("need"), F.max("prefix").alias("prefix"))
     postings = map_batches(nodes.select("node", "n", "need", "prefix"), _postings, "token long, node long, n int, need int")
     lists = written(map_stream(postings.repartition("token").sortWithinPartitions("token", "node"), _list_rows(join), LIST_SCHEMA))
-    pairs = lists.where(f"kind <> {MEMBER}").groupBy("a", "b").agg(F.min("need").alias("need"), F.max(F.col("kind") == HUB_PAIR).alias("exact"))
-    pairs = written(pairs)
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    firsts = table.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc")).join(needed, "node")
-    texts = docs.join(firsts, "doc").select("node", "text")
-    sets = written(map_batches(texts, _set_rows(join, sent), "node long, tokens binary"))
-    compared = written(_compared(pairs, sets, join))
+    firsts = table.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"))
     linked = F.expr(f"shared * {join.den} >= united * {join.num}")
-    links = compared.where(linked).select("a", "b")
+
+    def compared(pairs: DataFrame, n: int | None = None) -> DataFrame:
+        return written(_compared(pairs, docs, firsts, join, sent, n))
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs that are not in one component yet."""
+        x = pairs.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        return x.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select(*pairs.columns)
+
+    counted = lists.where(f"kind <> {MEMBER}").groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("need"), F.max(F.col("kind") == STAR).alias("star"))
+    # What two sets share beyond short lists is in a long list, which the later steps see to.
+    pairs = written(counted.where("c >= need OR star"))
+    best = pairs.groupBy("b").agg(F.max(F.struct("c", "a", "need")).alias("k")).select("k.a", "b", "k.need", F.lit(False).alias("exact"))
+    first = compared(best)
+    links = first.where(linked).select("a", "b")
     labels = components(links)
-    members = lists.where(f"kind = {MEMBER}").select("token", "hub", "a", "n", "need")
-    known = compared.select(F.col("a").alias("hub"), F.col("b").alias("a"), (1 - F.col("shared") / F.col("united")).alias("far"))
-    placed = members.join(labels.withColumnRenamed("node", "a"), "a", "left").join(known, ["hub", "a"], "left")
-    placed = placed.select("token", "hub", "a", "n", "need", F.coalesce("label", "a").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    rest = map_stream(placed.repartition("token").sortWithinPartitions("token", "a"), _remaining_rows(join), "a long, b long, need int")
-    rest = written(rest.groupBy("a", "b").agg(F.min("need").alias("need")).join(compared.select("a", "b"), ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = written(_compared(rest.withColumn("exact", F.lit(False)), sets, join).where(linked).select("a", "b"))
-        if not found.isEmpty():
-            labels = components(links.unionByName(found))
+
+    members = lists.where(f"kind = {MEMBER}").select("token", "a", "n", "need")
+    placed = members.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    open_lists = placed.groupBy("token").agg(F.min("a").alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", "hub")
+    left = written(members.join(open_lists, "token"))
+    hubs = left.where("hub <> a").select(F.col("hub").alias("a"), F.col("a").alias("b"), F.lit(1).alias("need"), F.lit(True).alias("exact"))
+    tried = first.select("a", "b")
+    more = apart(pairs.where("c >= need").select("a", "b", "need", F.lit(False).alias("exact")).join(tried, ["a", "b"], "left_anti"), labels)
+    second = written(more.unionByName(hubs).groupBy("a", "b").agg(F.min("need").alias("need"), F.max("exact").alias("exact")))
+    if n := second.count():
+        found = compared(second, n)
+        links = links.unionByName(found.where(linked).select("a", "b"))
+        labels = components(links)
+        far = found.where("shared IS NOT NULL").select(F.col("a").alias("hub"), F.col("b").alias("a"), (1 - F.col("shared") / F.col("united")).alias("far"))
+        placed = left.join(labels.withColumnRenamed("node", "a"), "a", "left").join(far, ["hub", "a"], "left")
+        placed = placed.select("token", "hub", "a", "n", "need", F.coalesce("label", "a").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"))
+        last = map_stream(placed.repartition("token").sortWithinPartitions("token", "a"), _remaining_rows(join), "a long, b long, need int")
+        done = tried.unionByName(found.select("a", "b"))
+        last = written(last.groupBy("a", "b").agg(F.min("need").alias("need"), F.lit(False).alias("exact")).join(done, ["a", "b"], "left_anti"))
+        if n := last.count():
+            labels = components(links.unionByName(compared(last, n).where(linked).select("a", "b")))
     own = table.select("doc", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.where("label is not null").groupBy("label").agg(F.min("doc").alias("component"))
     out = own.join(least, "label", "left")

@@ -62,9 +62,10 @@ def corpus(seed, chain=40):
     return docs
 
 
-@pytest.mark.parametrize(("join", "short"), [(Join(3, 90, 100), 8), (Join(), 8), (Join(3, 90, 100), 2), (Join(5, 80, 100), 2)])
+@pytest.mark.parametrize(("join", "short"), [(Join(3, 90, 100), 16), (Join(), 16), (Join(5, 80, 100), 3), (Join(3, 90, 100), 3)])
 def test_against_brute_force(spark, join, short, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
+    monkeypatch.setattr(ngram_join, "HUB_MEMBERS", 7)
     docs = corpus(join.words)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert sorted(tuple(r) for r in similar_groups(df, join).collect()) == brute(docs, join)
