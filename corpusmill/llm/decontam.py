@@ -2,7 +2,7 @@
 
 Words are runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased; shingles are five words. A shingle
 weighs ln(1 + N / df) among N items (df at least 1). For each item size there are windows of as many words at every
-place of a text. A window's weighted SimHash has 64 bits; the items' hashes are cut into RADIUS + 1 blocks, of which two
+place of a text; a text of fewer words than the item is one window as a whole. A window's weighted SimHash has 64 bits; the items' hashes are cut into RADIUS + 1 blocks, of which two
 hashes within the radius must share one (pigeonhole), so the block tables give every item within the radius. Their exact
 weighted Jaccard similarity with the window decides.
 
@@ -129,9 +129,7 @@ def matches_in(grams: np.ndarray, first: np.ndarray, items: Items, similarity: f
         weight = items.weights(own)
         good = np.cumsum(np.r_[0, weight * hits])
         for size in items.sizes:
-            k = size - SHINGLE + 1
-            if k > len(own):
-                continue
+            k = min(size - SHINGLE + 1, len(own))  # a shorter text is one window
             for at in np.flatnonzero(good[k:] - good[:-k] >= least[size]).tolist():
                 window = own[at : at + k]
                 hash_ = simhash(window[None], weight[None, at : at + k])[0]
@@ -139,7 +137,7 @@ def matches_in(grams: np.ndarray, first: np.ndarray, items: Items, similarity: f
                     value = items.similarity(item, window)
                     key = (int(text), item)
                     if value >= similarity and (key not in best or value > best[key][0]):
-                        best[key] = (value, at, size, int(items.hashes[item] ^ hash_).bit_count())
+                        best[key] = (value, at, k + SHINGLE - 1, int(items.hashes[item] ^ hash_).bit_count())
     for (text, item), (value, at, size, distance) in best.items():
         yield text, items.ids[item], value, at, size, distance
 

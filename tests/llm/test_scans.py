@@ -179,6 +179,34 @@ def test_decontamination(spark):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    """Windows of min(item's words, text's words), by brute force; a near copy that lost a word is one."""
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(300)]
+    items = [(i, [rng.choice(vocab) for _ in range(n)]) for i, n in enumerate((59, 59, 40, 15))]
+    docs = []
+    for i, w in items:
+        docs += [(10 * i, w[: len(w) // 2] + w[len(w) // 2 + 1 :]), (10 * i + 1, w[:-1]), (10 * i + 2, w[1:]), (10 * i + 3, w[: len(w) // 2]), (10 * i + 4, w[:-8])]
+    docs += [(100, items[0][1][:4]), (101, items[3][1][:5]), (102, items[1][1][3:] + items[3][1][:2])]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    sets = [grams(w) for _, w in items]
+    weight = lambda s: math.log(1 + len(sets) / max(sum(s in x for x in sets), 1))
+    want = {}
+    for d, w in docs:
+        for (i, item), x in zip(items, sets, strict=True):
+            size = min(len(item), len(w))
+            for at in range(len(w) - size + 1):
+                window = grams(w[at : at + size])
+                value = sum(map(weight, window & x)) / sum(map(weight, window | x))
+                if value >= 0.8 and value > want.get((d, i), (0,))[0]:
+                    want[d, i] = (value, at, size)
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (pytest.approx(r["similarity"]), r["first_word"], r["n_words"]) for r in decontam.contaminated(df, bench).collect()}
+    assert got == want and {(0, 0), (1, 0), (2, 0), (11, 1)} <= set(want)
+    assert {r["doc_id"] for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = random.Random(2)
     items = decontam.Items.of([(i, " ".join(f"w{rng.randrange(60)}" for _ in range(20))) for i in range(60)])
