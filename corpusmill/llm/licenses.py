@@ -2,7 +2,8 @@
 
 A text becomes its words (A-Z lower-cased; runs of digits, a-z and non-ASCII), one blank on each side of each. Base
 phrases are counted there. A rule has a label, a priority, a keyword and a pattern over such words. The keyword gates
-the rule: its pattern runs only on texts in which a word starts with the keyword. All places of a pattern are detections; of those, one
+the rule: its pattern runs only on texts in which a word starts with the keyword, as one does in every match of the
+pattern (what has no keyword in common is several rules). All places of a pattern are detections; of those, one
 that lies inside another of the same or a higher priority is suppressed (of equal places, the higher priority and then
 the earlier rule stays). A text's labels are those of its base phrases and of its remaining detections.
 
@@ -36,7 +37,8 @@ FAMILIES = (
     ("bsd-2-clause", "bsd", "bsd 2 clause(?: licen[cs]e)?|2 clause bsd(?: licen[cs]e)?", ()),
     ("bsd-3-clause", "bsd", "bsd 3 clause(?: licen[cs]e)?|3 clause bsd(?: licen[cs]e)?", ()),
     ("bsd-4-clause", "bsd", "bsd 4 clause(?: licen[cs]e)?|4 clause bsd(?: licen[cs]e)?", ()),
-    ("0bsd", "bsd", "0bsd|zero clause bsd(?: licen[cs]e)?", ()),
+    ("0bsd", "0bsd", "0bsd", ()),
+    ("0bsd", "bsd", "zero clause bsd(?: licen[cs]e)?", ()),
     ("gpl", "general", "(?:gnu )?general public licen[cs]e", ("1", "1 0", "2", "2 0", "3", "3 0")),
     ("gpl", "gpl", "(?:gnu )?gpl(?:v[123])?", ("1", "1 0", "2", "2 0", "3", "3 0")),
     ("lgpl", "lesser", "(?:gnu )?lesser general public licen[cs]e", ("2 1", "3", "3 0")),
@@ -62,7 +64,8 @@ FAMILIES = (
     ("libpng", "libpng", "libpng licen[cs]e", ("2", "2 0")),
     ("isc", "isc", "isc licen[cs]e", ()),
     ("unlicense", "unlicense", "the unlicense|unlicense org", ()),
-    ("wtfpl", "wtfpl", "wtfpl|do what the fuck you want to public licen[cs]e", ("2", "2 0")),
+    ("wtfpl", "wtfpl", "wtfpl", ("2", "2 0")),
+    ("wtfpl", "fuck", "do what the fuck you want to public licen[cs]e", ("2", "2 0")),
     ("psf", "python", "python(?: software foundation)? licen[cs]e", ("2", "2 0")),
     ("php", "php", "php licen[cs]e", ("3 0", "3 01")),
     ("ruby", "ruby", "ruby licen[cs]e", ()),
@@ -86,11 +89,13 @@ FAMILIES = (
     ("bittorrent", "bittorrent", "bittorrent open source licen[cs]e", ("1 0", "1 1")),
     ("mulan", "mulan", "mulan (?:psl|permissive software licen[cs]e)", ("1", "2")),
     ("cecill", "cecill", "cecill(?: b| c)?(?: free software)?(?: licen[cs]e)?", ("1 0", "2 0", "2 1")),
-    ("openrail", "rail", "(?:open ?rail|responsible ai)(?: m)?(?: licen[cs]e)?", ()),
+    ("openrail", "openrail", "openrail(?: m)?(?: licen[cs]e)?", ()),
+    ("openrail", "open rail", "open rail(?: m)?(?: licen[cs]e)?", ()),
+    ("openrail", "responsible ai", "responsible ai(?: m)?(?: licen[cs]e)?", ()),
     ("llama", "llama", "llama (?:2|3|3 1|3 2|3 3|4) community licen[cs]e(?: agreement)?", ()),
     ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?", ()),
     ("cc-by", "attribution", "creative commons attribution(?: international| unported| generic)?", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "sharealike", "creative commons attribution share ?alike", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    ("cc-by-sa", "attribution", "creative commons attribution share ?alike", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc", "attribution", "creative commons attribution non ?commercial", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nd", "attribution", "creative commons attribution no ?deriv(?:ative)?s?", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc-sa", "attribution", "creative commons attribution non ?commercial share ?alike", ("2 0", "2 5", "3 0", "4 0")),
@@ -111,7 +116,7 @@ SINGLE = (
     ("bsd", TEXT, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", TEXT, "endorse", "neither the name of .{1,80}? may be used to endorse or promote products"),
     ("bsd-4-clause", TEXT, "advertising", "all advertising materials mentioning features or use of this software must display"),
-    ("apache", TEXT, "apache", "you may not use this file except in compliance with the licen[cs]e .{0,60}?apache"),
+    ("apache", TEXT, "compliance with", "you may not use this file except in compliance with the licen[cs]e .{0,60}?apache"),
     ("apache", TEXT, "apache", "www apache org licenses license 2 0"),
     ("gpl", TEXT, "free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
     ("lgpl", TEXT, "free software", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e"),
@@ -124,7 +129,7 @@ SINGLE = (
     ("bsl", TEXT, "boost", "boost org license 1 0"),
     ("zlib", TEXT, "altered", "altered source versions must be plainly marked as such"),
     ("unlicense", TEXT, "unencumbered", "free and unencumbered software released into the public domain"),
-    ("wtfpl", TEXT, "wtfpl", "you just do what the fuck you want to"),
+    ("wtfpl", TEXT, "fuck", "you just do what the fuck you want to"),
     ("ofl", TEXT, "font", "this font software is licensed under the sil open font licen[cs]e"),
     ("public-domain", NAME, "public domain", "(?:in|into|to|dedicated to|released to) the public domain"),
     ("public-domain", HINT, "public domain", "public domain"),
@@ -145,11 +150,13 @@ SINGLE = (
     ("proprietary", NAME, "prior written", "without (?:the )?(?:express )?prior written (?:permission|consent)"),
     ("proprietary", NAME, "unauthorized", "unauthorized (?:copying|reproduction|use|distribution)"),
     ("commercial", NAME, "commercial", "commercial licen[cs]e(?: agreement)?"),
-    ("noncommercial", HINT, "commercial", "non ?commercial (?:use|purposes)(?: only)?"),
+    ("noncommercial", HINT, "noncommercial", "noncommercial (?:use|purposes)(?: only)?"),
+    ("noncommercial", HINT, "non commercial", "non commercial (?:use|purposes)(?: only)?"),
     ("eula", NAME, "end user", "end user licen[cs]e agreement"),
     ("warranty", HINT, "warranty", "(?:without|no) warranty(?: of any kind)?"),
     ("dual", HINT, "dual", "dual licen[cs]ed"),
-    ("see-license", HINT, "license for", "see (?:the )?(?:accompanying )?(?:file )?(?:licen[cs]e|copying)(?: txt| md)?(?: file)? for"),
+    ("see-license", HINT, "licen", "see (?:the )?(?:accompanying )?(?:file )?licen[cs]e(?: txt| md)?(?: file)? for"),
+    ("see-license", HINT, "copying", "see (?:the )?(?:accompanying )?(?:file )?copying(?: txt| md)?(?: file)? for"),
 )
 
 

@@ -3,6 +3,8 @@
 import math
 import random
 import re
+from re import _constants as sre
+from re import _parser as sre_parser
 
 import numpy as np
 import public_tokenizers
@@ -102,6 +104,53 @@ def test_license_suppression(spark):
     assert set(row["labels"].split(",")) == kept | {"gpl"} and "lgpl" in kept
 
 
+def variants(pattern):
+    """Texts that match: of every alternative, optional part and class each choice occurs, in all combinations of a rule's parts."""
+
+    def of(parts):
+        out = [""]
+        for op, arg in parts:
+            if op is sre.LITERAL:
+                own = [chr(arg)]
+            elif op is sre.IN:
+                own = [chr(c) for kind, x in arg for c in ([x] if kind is sre.LITERAL else x)]
+            elif op is sre.BRANCH:
+                own = [x for branch in arg[1] for x in of(branch)]
+            elif op is sre.SUBPATTERN:
+                own = of(arg[3])
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+                lo, hi, inner = arg
+                own = ([""] if lo == 0 else []) + ([x * max(lo, 1) for x in of(inner)] if hi else [])
+            else:
+                assert op is sre.ANY
+                own = ["x"]
+            out = [a + b for a in out for b in own]
+        return out
+
+    return of(sre_parser.parse(pattern))
+
+
+def test_every_match_of_a_license_rule_has_its_keyword():
+    missing = {(label, keyword, t) for label, _, keyword, pattern in licenses.RULES for t in variants(pattern.replace("(?: [0-9]+(?: [0-9]+)?)?", "(?: 2(?: 0)?)?")) if f" {keyword}" not in f" {t} "}
+    assert not missing, sorted(missing)[:20]
+
+
+def test_gated_licenses_are_those_without_a_gate(spark):
+    texts = []
+    for _, priority, _, pattern in licenses.RULES:
+        if not pattern.startswith(licenses._GRANT):  # these are the names again
+            texts += variants(pattern.replace("(?: [0-9]+(?: [0-9]+)?)?", "(?: 2 0)?"))[:: 7 if priority == licenses.TITLE else 1]
+    texts = [f"a {t} b" for t in dict.fromkeys(texts)] + ["see the license file for", "See COPYING for details", "0BSD", "OpenRAIL-M", "just do what the fuck you want to", "noncommercial use only", "creative commons attribution share alike 4.0"]
+    every = [(p, i, label, re.compile(f"(?<= )(?:{pattern})(?= )")) for i, (label, p, _, pattern) in enumerate(licenses.RULES)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    for r in licenses.scan(df).collect():
+        norm = " " + re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", texts[r["doc_id"]].lower()) + " "
+        found = [(m.start(), m.end(), p, i, label) for p, i, label, own in every for m in own.finditer(norm)]
+        kept = [d[4] for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and e[2] >= d[2] and (e[:2] != d[:2] or (-e[2], e[3]) < (-d[2], d[3])) for e in found if e is not d)]
+        base = {label for phrase, label in licenses.BASE.items() if f" {phrase} " in norm}
+        assert r["n_detections"] == len(kept) and r["labels"] == ",".join(sorted({*kept} | base)), norm
+
+
 def test_packing(spark):
     rng = random.Random(3)
     texts = [None, "", "a", "word " * 500] + [prose(rng, "en", rng.randrange(1, 90)) for _ in range(60)] + ["a"]
