@@ -1,7 +1,7 @@
 """Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
 
 Words are runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased; shingles are five words. A shingle
-weighs ln(1 + N / df) among N items (df at least 1). For each item size there are windows of as many words at every
+weighs ln(1 + N / df) among all N items of five words or more (df at least 1), however many passes they take. For each item size there are windows of as many words at every
 place of a text; a text of fewer words than the item is one window as a whole. A window's weighted SimHash has 64 bits; the items' hashes are cut into RADIUS + 1 blocks, of which two
 hashes within the radius must share one (pigeonhole), so the block tables give every item within the radius. Their exact
 weighted Jaccard similarity with the window decides.
@@ -25,7 +25,7 @@ from corpusmill.llm.batches import keyed_text, map_batches, slices
 from corpusmill.llm.hashing import LOWER, gram_hashes, in_one_text, word_hashes, word_spans
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
-#: Items in one pass over the texts; more take further passes.
+#: Items in one pass over the texts; more take further passes, with the same weights.
 BLOCK_ITEMS = 20_000
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
@@ -46,15 +46,28 @@ def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return ((score > 0).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=-1, dtype=np.uint64)
 
 
+@dataclass
+class Weights:
+    """Shingle weights of a whole benchmark: of those that items share, and the one weight of all others (df 1)."""
+
+    shared: np.ndarray  # sorted
+    weight: np.ndarray
+    rare: float
+
+    @staticmethod
+    def of(n: int, shared: np.ndarray, df: np.ndarray) -> Weights:
+        order = np.argsort(shared)
+        return Weights(shared[order], np.log(1 + n / df[order]), float(np.log(1 + max(1, n))))
+
+
 @dataclass
 class Items:
-    """Benchmark items by size, with their shingle weights and the block tables of their hashes."""
+    """Benchmark items by size, with the benchmark's shingle weights and the block tables of their hashes."""
 
-    ids: list[int]
+    ids: list[int | None]
     sets: list[np.ndarray]  # sorted distinct shingles
+    among: Weights
     known: np.ndarray = field(init=False)
-    weight: np.ndarray = field(init=False)
-    rare: float = field(init=False)
     sizes: dict[int, list[int]] = field(default_factory=dict)
     tables: dict[int, list[dict[int, list[int]]]] = field(default_factory=dict)
     own: np.ndarray = field(init=False)  # total weight of each item
@@ -62,7 +75,8 @@ class Items:
     blocks: list[tuple[np.uint64, np.uint64]] = field(init=False)
 
     @staticmethod
-    def of(rows: list[tuple[int, str]]) -> Items:
+    def of(rows: list[tuple[int | None, str]], among: Weights | None = None) -> Items:
+        """Items of these rows; without `among`, the rows are the whole benchmark."""
         ids, sets, sizes, lists = [], [], {}, []
         for key, text in rows:
             data = np.frombuffer((text or "").encode(), np.uint8)
@@ -73,9 +87,9 @@ class Items:
             ids.append(key)
             lists.append(grams)
             sets.append(np.unique(grams))
-        out = Items(ids, sets, sizes=sizes)
-        out.known, df = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0))
-        out.weight, out.rare = np.log(1 + len(ids) / np.maximum(df, 1)), float(np.log(1 + max(1, len(ids))))
+        known, df = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
+        out = Items(ids, sets, among or Weights.of(len(ids), known[df > 1], df[df > 1]), sizes=sizes)
+        out.known = known
         out.own = np.array([out.weights(x).sum() for x in sets])
         out.hashes = np.array([simhash(g[None], out.weights(g)[None])[0] for g in lists], np.uint64)
         edges = np.linspace(0, 64, RADIUS + 2).astype(int)
@@ -92,8 +106,11 @@ class Items:
 
     def weights(self, grams: np.ndarray) -> np.ndarray:
         """Weights of shingles; those of no item weigh as one that a single item has."""
-        at = np.minimum(np.searchsorted(self.known, grams), max(len(self.known) - 1, 0))
-        return np.where(self.known[at] == grams, self.weight[at], self.rare) if len(self.known) else np.full(len(grams), self.rare)
+        w = self.among
+        if not len(w.shared):
+            return np.full(len(grams), w.rare)
+        at = np.minimum(np.searchsorted(w.shared, grams), len(w.shared) - 1)
+        return np.where(w.shared[at] == grams, w.weight[at], w.rare)
 
     def are_known(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -142,24 +159,44 @@ def matches_in(grams: np.ndarray, first: np.ndarray, items: Items, similarity: f
         yield text, items.ids[item], value, at, size, distance
 
 
+def _item_shingles(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Each distinct shingle of each item, and a null for each item that has any."""
+    for _, _, flat, offs in slices(batch.column(0)):
+        grams, first = shingles_of(flat, offs)
+        sets = [np.unique(grams[lo:hi]) for lo, hi in zip(first[:-1].tolist(), (first[1:] - SHINGLE + 1).tolist(), strict=True) if hi > lo]
+        if sets:
+            own = pa.array(np.concatenate(sets).view(np.int64))
+            yield {"shingle": pa.chunked_array([own, pa.nulls(len(sets), pa.int64())])}
+
+
+def benchmark_weights(benchmark: DataFrame, text_col: str) -> Weights:
+    """Weights over all items; 16 bytes for each shingle that two items or more have come to the driver and all tasks."""
+    counts = map_batches(benchmark.select(F.col(text_col).cast("string").alias("text")), _item_shingles, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    found = counts.where("shingle is null or df > 1").toArrow()
+    shingles, df = found.column("shingle"), found.column("df").to_numpy()
+    null = shingles.is_null().to_numpy()
+    return Weights.of(int(df[null].sum()), shingles.drop_null().to_numpy().view(np.uint64), df[~null])
+
+
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int) -> Iterator[Items]:
-    """Items in blocks of bounded size, in order of their ids."""
-    rows = benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull()).orderBy(id_col).toLocalIterator()
-    held: list[tuple[int, str]] = []
+    """Items in blocks of bounded size, in order of their ids (null ids too), weighted over the whole benchmark."""
+    among = benchmark_weights(benchmark, text_col)
+    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).orderBy("id").toLocalIterator()
+    held: list[tuple[int | None, str]] = []
     for row in rows:
         held.append((row[0], row[1]))
         if len(held) == block:
-            yield Items.of(held)
+            yield Items.of(held, among)
             held = []
     if held:
-        yield Items.of(held)
+        yield Items.of(held, among)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block: int = BLOCK_ITEMS) -> DataFrame:
     """A row for each text and benchmark item with a window that is similar enough: the best one, the first of equals.
 
-    Null and empty texts match nothing, nor do items of fewer words than a shingle. Repeated rows match again. A map
-    without shuffles for each block of items.
+    Null and empty texts match nothing, nor do items of fewer words than a shingle. Items with a null id match as others
+    do, with a null item_id. Repeated rows match again. A map without shuffles of texts for each block of items.
     """
     texts, out = keyed_text(df, id_col, text_col), None
     for items in item_blocks(benchmark, item_id, item_text, block):

@@ -256,6 +256,29 @@ def test_decontamination_of_texts_shorter_than_an_item(spark):
     assert {r["doc_id"] for r in decontam.clean(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_in_blocks_weighs_as_in_one(spark):
+    """Shingles that items of other blocks have too weigh the same as in one block; items without an id count."""
+    rng = random.Random(21)
+    vocab = [f"v{i}" for i in range(500)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    common = text(25)
+    items = [(i, common + text(25) if i % 2 else text(40)) for i in range(11)] + [(None, text(30)), (None, common + text(20)), (20, ["short"])]
+    docs = []
+    for k, (_, w) in enumerate(items):
+        for cut in range(0, min(len(w), 13)):  # words changed from either end: similarities on both sides of 0.8
+            docs.append((100 * k + 2 * cut, text(6) + text(cut) + w[cut:] + text(6)))
+            docs.append((100 * k + 2 * cut + 1, text(6) + w[: len(w) - cut] + text(cut)))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string").repartition(3)
+    key = lambda r: (r["doc_id"], -1 if r["item_id"] is None else r["item_id"], round(r["similarity"], 9), r["first_word"], r["n_words"], r["distance"])
+    want = sorted(map(key, decontam.contaminated(df, bench).collect()))
+    for block in (1, 3):
+        assert sorted(map(key, decontam.contaminated(df, bench, block=block).collect())) == want
+    hit = {r[0] for r in want}
+    assert {1100, 1200} <= {r[0] for r in want if r[1] == -1} and 20 < len(hit) < len(docs) - 20
+    assert {r["doc_id"] for r in decontam.clean(df, bench, block=3).collect()} == {d for d, _ in docs} - hit
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = random.Random(2)
     items = decontam.Items.of([(i, " ".join(f"w{rng.randrange(60)}" for _ in range(20))) for i in range(60)])
