@@ -1,8 +1,11 @@
 """A corpus pipeline of the training-data operators; each stage's result is written and read again as the next one's input.
 
-Language ID drops texts without a language; the n-gram join keeps the smallest id of each group of near copies; suffix
+Language ID drops texts without a language; the n-gram join keeps the first row of each group of near copies; suffix
 dedup takes out bytes that an earlier text has too, and drops texts of which nothing but white space is left by that;
 decontamination drops texts that hold a benchmark item; the last stage encodes and decodes what remains.
+
+Rows are documents, whether or not their ids are null or repeated: rows stand in order of their ids (null ids last), those
+of one id in order of their other columns, and decisions are taken by that place.
 """
 
 from __future__ import annotations
@@ -27,19 +30,30 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != ppm.UNKNOWN).select("doc_id", *[F.col(f"own_{c}").alias(c) for c in COLUMNS[1:]])
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """The rows with a `place` of their own, in order of ids (null ids last) and other columns; written out, as places must stand."""
+    first, *others = COLUMNS
+    return written(docs.select(*COLUMNS).orderBy(F.col(first).asc_nulls_last(), *others).withColumn("place", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One text of each group of texts with five-word shingle similarity of 0.8 or more: its smallest id."""
-    groups = ngram_join.similar_groups(docs, ngram_join.Join(words=5, num=80, den=100))
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of texts with five-word shingle similarity of 0.8 or more: its first (smallest id, null ids last).
+
+    Rows without words are in no group; one of identical ones stays.
+    """
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    rows = placed(docs.where(words))
+    groups = ngram_join.similar_groups(rows, ngram_join.Join(words=5, num=80, den=100), "place")
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("place"))
+    return rows.join(kept, "place", "left_semi").select(*COLUMNS).unionByName(docs.where(~words).select(*COLUMNS).distinct())
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of 100-byte strings that stand earlier."""
-    done = bwt_merge.dedup_bytes(docs, keep_text=True).select("doc_id", "n_removed", "kept")
-    rest = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    left = done.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S")).select("doc_id", F.col("kept").alias("text"))
-    return left.join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """Texts without the bytes of 100-byte strings that stand earlier: in a row before (null ids last) or in the same text."""
+    own = tuple(F.col(c).alias(f"own_{c}") for c in ("doc_id", "lang", "source"))
+    done = bwt_merge.dedup_bytes(placed(docs), "place", keep_text=True, keep=own)
+    left = done.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
+    return left.select(F.col("own_doc_id").alias("doc_id"), F.col("kept").alias("text"), F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), F.length("kept").cast("long").alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.batches import flat_utf8, map_batches
@@ -152,16 +152,17 @@ def byte_index(window: int, shard_bytes: int = SHARD_BYTES):
     return index
 
 
-def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep_text: bool = False, many: int | None = None) -> DataFrame:
+def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, keep_text: bool = False, many: int | None = None, keep: tuple[Column, ...] = ()) -> DataFrame:
     """Removes bytes under windows that also start earlier (smaller id, or the same document); one row for each input row.
 
     Null and empty texts have no bytes. Equal rows with equal ids are one document and get equal results. Texts shorter
     than a window lose nothing. `keep_text` adds the text of the remaining bytes; characters of which a part would go
-    stay whole there.
+    stay whole there. `keep` are further columns of the rows.
     """
     spec = Spec(words=False, window=window, gram=gram, within=True, **({} if many is None else {"many": many}))
-    docs = keyed(df, id_col, text_col)
-    ranged = with_ranges(docs, covered_ranges(docs, spec, byte_index(window)))
+    docs = keyed(df, id_col, text_col, *keep)
+    ranged = with_ranges(docs, covered_ranges(docs.select("doc", "th", "text"), spec, byte_index(window)))
+    more = docs.schema.fields[3:]
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         flat, offs = flat_utf8(batch.column(1))
@@ -175,10 +176,10 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             digests.append(hashlib.sha256(_without(body, gone)).hexdigest())
             if keep_text:
                 texts.append(_without(body, whole_characters(body, gone)).decode())
-        yield {"doc_id": batch.column(0), "n_bytes": np.diff(offs), "n_removed": removed, "n_spans": spans, "kept_sha256": digests} | ({"kept": texts} if keep_text else {})
+        yield {"doc_id": batch.column(0), "n_bytes": np.diff(offs), "n_removed": removed, "n_spans": spans, "kept_sha256": digests} | ({"kept": texts} if keep_text else {}) | {f.name: batch.column(3 + k) for k, f in enumerate(more)}
 
-    source = ranged.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "text", "ranges")
-    return map_batches(source, run, RESULT_SCHEMA + (", kept string" if keep_text else ""))
+    source = ranged.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "text", "ranges", *[f"`{f.name}`" for f in more])
+    return map_batches(source, run, RESULT_SCHEMA + (", kept string" if keep_text else "") + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in more))
 
 
 def _without(body: bytes, gone: list[tuple[int, int]]) -> bytes:

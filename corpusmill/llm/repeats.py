@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.batches import flat_utf8, map_batches, map_stream, slices
@@ -54,9 +54,9 @@ class Spec:
     many: int = MANY_CONTEXTS
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(df: DataFrame, id_col: str, text_col: str, *keep: Column) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(text).alias("th"), text.alias("text"))
+    return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(text).alias("th"), text.alias("text"), *keep)
 
 
 def _units(flat: np.ndarray, offs: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:

@@ -308,3 +308,26 @@ def test_pipeline(spark, tmp_path):
     assert set(seen[3]) == set(seen[2]) - {103} and set(seen[4]) == set(seen[3])
     assert all(set(x[104].asDict()) == {"doc_id", "text", "lang", "source", "n_chars"} for x in seen[:4])
     assert sorted(r["ids_sha256"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(r["ids_sha256"] for r in seen[4].values())
+
+
+def test_pipeline_rows_with_null_and_repeated_ids(spark, tmp_path):
+    """Rows are documents: a null id loses none, a shared id joins none, and one of identical rows stays with its own columns."""
+    rng = random.Random(16)
+    text = lambda n=40: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d, e, f, g, h = (text() for _ in range(8))
+    rows = [(1, a, "en", "s1"), (1, a, "en", "s1"), (1, b, "de", "s2"), (1, c, "fr", "s3"), (None, d, "en", "s4"), (None, e, "de", "s5"), (None, e, "de", "s5"), (None, a, "fr", "s6")]
+    rows += [(2, f, "en", "s7"), (None, f, "de", "s8"), (3, f"{g} {h}", "en", "s9"), (3, f"{h} {text()}", "de", "s10"), (None, f"{g} {text()}", "fr", "s11")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    key = lambda rs: sorted(((r["doc_id"], r["lang"], r["source"]) for r in rs), key=str)
+    near = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    want = [(1, "en", "s1"), (1, "de", "s2"), (1, "fr", "s3"), (None, "en", "s4"), (None, "de", "s5"), (2, "en", "s7"), (3, "en", "s9"), (3, "de", "s10"), (None, "fr", "s11")]
+    assert key(near.collect()) == sorted(want, key=str)
+    near.write.parquet(f"{tmp_path}/near")
+    left = {r["source"]: r for r in corpus_pipeline.suffix_array_dedup(spark, spark.read.parquet(f"{tmp_path}/near"), str(tmp_path)).collect()}
+    assert key(left.values()) == sorted(want, key=str) and all(r["n_chars"] == len(r["text"]) for r in left.values())
+    # Of the two rows with id 3 the first in order of text keeps the common part; the null id comes after both.
+    assert (h[20:] in left["s9"]["text"]) != (h[20:] in left["s10"]["text"])
+    assert g in left["s9"]["text"] and g[20:] not in left["s11"]["text"]
+    blank = spark.createDataFrame([(None, " ", "en", "s", 1), (None, " ", "en", "s", 1), (5, None, None, None, None)], docs.schema)
+    assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, blank.where("doc_id is null"), "").collect()) == [(None, " ")]
+    assert corpus_pipeline.near_duplicates(spark, blank, "").count() == 2
