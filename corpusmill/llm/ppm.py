@@ -123,7 +123,10 @@ def _rows_at(model: Model, contexts: list, escapes: list, key: np.ndarray, order
 
 
 def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:
-    """Counts 4-byte grams of a bounded sample on the workers; only the sample's distinct grams reach the driver."""
+    """Counts 4-byte grams of a bounded sample on the workers; only the sample's distinct grams reach the driver.
+
+    Only the MAX_LANGS most frequent languages are learned; texts of any other are given one of these.
+    """
     labelled = df.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
     langs = sorted(r["lang"] for r in sizes)
