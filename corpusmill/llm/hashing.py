@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random value for each byte, odd bases and their inverses modulo 2**64.
@@ -58,6 +59,69 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+#: A Mersenne prime, and a random base below it.
+PRIME = np.uint64((1 << 61) - 1)
+PRIME_BASE = int(_rng.integers(1 << 40, (1 << 61) - 2))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, for values below it."""
+    low = np.uint64((1 << 31) - 1)
+    ah, al, bh, bl = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    mid = ah * bl + al * bh
+    return _reduced(ah * bh * np.uint64(2) + (mid >> np.uint64(30)) + ((mid & np.uint64((1 << 30) - 1)) << np.uint64(31)) + al * bl)
+
+
+class PrimeSums:
+    """Polynomial hashes of spans modulo a prime under a random base.
+
+    Different spans of n units have equal hashes with a chance of n / 2**61, however they are built.
+    """
+
+    def __init__(self, values: np.ndarray) -> None:
+        up, self.down = _prime_powers(len(values) + 1)
+        terms = times(_reduced(values), up[: len(values)])
+        half = np.uint64(32)
+        self.low = np.zeros(len(values) + 1, np.uint64)
+        self.high = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(terms & np.uint64((1 << 32) - 1), out=self.low[1:])
+        np.cumsum(terms >> half, out=self.high[1:])
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of [start, end) that do not depend on where the span lies."""
+        low, high = _reduced(self.low[ends] - self.low[starts]), _reduced(self.high[ends] - self.high[starts])
+        total = _reduced(low + times(high, np.full_like(high, 1 << 32)))
+        return times(total, self.down[starts])
+
+
+_primes: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _prime_run(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    done, step = 1, base
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = times(out[:more], np.full(more, step, np.uint64))
+        done, step = done + more, step * step % int(PRIME)
+    return out
+
+
+def _prime_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _primes or len(_primes[0][0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        have = (_prime_run(PRIME_BASE, size), _prime_run(pow(PRIME_BASE, -1, int(PRIME)), size))
+        if size > 1 << 21:
+            return have[0][:n], have[1][:n]
+        _primes[:] = [have]
+    return _primes[0][0][:n], _primes[0][1][:n]
+
+
 def word_spans(flat: np.ndarray, offs: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and each text's first word index (len(offs) values, the last is the total)."""
     n = len(flat)
@@ -76,10 +140,31 @@ def word_spans(flat: np.ndarray, offs: np.ndarray, space: np.ndarray = IS_SPACE)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+
+
 def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word; words of 8 bytes or fewer and longer ones alike."""
-    sums = prefix_sums(BYTE_VALUE[flat], BASES[0])
-    return span_hashes(sums, starts, ends, BASES[0])
+    """A hash of each word: its length and its eight-byte pieces are scrambled in one after another, so that no word's
+    hash is a sum over its bytes."""
+    lengths = (ends - starts).astype(np.int64)
+    out = mix(lengths.astype(np.uint64) * np.uint64(BASES[0]) + np.uint64(BASES[2]))
+    if not len(out):
+        return out
+    padded = np.zeros(len(flat) + 8, np.uint8)
+    padded[: len(flat)] = flat
+    at_byte = np.ndarray((len(flat) + 1,), "<u8", padded, 0, (1,))
+    which = np.arange(len(out)) if lengths.max() <= LONG_WORD else np.flatnonzero(lengths <= LONG_WORD)
+    done = 0
+    while len(which):
+        piece = at_byte[starts[which] + done] & _KEEP[np.minimum(lengths[which] - done, 8)]
+        out[which] = mix(out[which] * np.uint64(BASES[1]) ^ piece)
+        done += 8
+        which = which[lengths[which] > done]
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(flat[starts[i] : ends[i]])
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -62,15 +62,53 @@ def corpus(seed, chain=40):
     return docs
 
 
-@pytest.mark.parametrize(("join", "short"), [(Join(3, 90, 100), 16), (Join(), 16), (Join(5, 80, 100), 3), (Join(3, 90, 100), 3)])
-def test_against_brute_force(spark, join, short, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
+#: Short lists, pairs a member, rows a task holds of a list, rows of a part of a frequent list, levels.
+@pytest.mark.parametrize(
+    ("join", "bounds"),
+    [(Join(3, 90, 100), (16, 8, 1000, 2048, 3)), (Join(), (16, 8, 1000, 2048, 3)), (Join(5, 80, 100), (3, 0, 1000, 2048, 3)), (Join(3, 90, 100), (2, 0, 9, 5, 2)), (Join(5, 80, 100), (2, 0, 9, 5, 1))],
+)
+def test_against_brute_force(spark, join, bounds, monkeypatch):
+    for name, value in zip(("SHORT_LIST", "FEW_PAIRS", "LIST_ROWS", "PART_ROWS", "LEVELS"), bounds, strict=True):
+        monkeypatch.setattr(ngram_join, name, value)
     monkeypatch.setattr(ngram_join, "HUB_MEMBERS", 7)
     docs = corpus(join.words)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert sorted(tuple(r) for r in similar_groups(df, join).collect()) == brute(docs, join)
 
 
+def edited(rng, base, vocab, most):
+    """A copy with up to `most` words replaced, dropped or put in."""
+    out = list(base)
+    for _ in range(rng.randrange(most + 1)):
+        at = rng.randrange(len(out))
+        out[at : at + 1] = rng.choice(([], [rng.choice(vocab)], [out[at], rng.choice(vocab)]))
+    return out
+
+
+@pytest.mark.parametrize(("join", "most"), [(Join(3, 90, 100), 12), (Join(5, 80, 100), 14)])
+def test_a_large_group_of_near_copies(spark, join, most, monkeypatch):
+    """Many edits of one text: members in one component, alone and in small ones, all in the same posting lists."""
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 4)
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", 1)
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(vocab) for _ in range(120)]
+    docs = [(i, " ".join(edited(rng, base, vocab, most))) for i in range(350)]
+    chain = docs[-1][1].split()
+    docs += [(1000 + i, " ".join(chain := edited(rng, chain, vocab, 2))) for i in range(60)]
+    got = similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), join).collect()
+    assert sorted(tuple(r) for r in got) == brute(docs, join)
+
+
+def test_words_of_a_weak_hash_differ(spark):
+    """Long words of two letters in opposite orders have one value under a polynomial modulo 2**64."""
+    x, y = "a", "b"
+    while len(x) < 4096:
+        x, y = x + y, y + x
+    got = similar_groups(spark.createDataFrame([(1, x), (2, y), (3, f"{x} q r"), (4, f"{y} q r")], "doc_id long, text string"), Join(3, 90, 100)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4)]
+
+
 def test_edges_of_input(spark):
     assert similar_groups(spark.createDataFrame([], "doc_id long, text string, node long")).count() == 0
     t = "a b c d e f g h"
