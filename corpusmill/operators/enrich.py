@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
 from corpusmill.functions.text import dedupe_ci, find_all, norm_ws
+from corpusmill.operators.joins import spread_join
 
 
 def lead_summary(text: Column, limit: int = K.SUMMARY_CHARS) -> Column:
@@ -64,7 +65,7 @@ def keywords_tfidf(df: DataFrame, k: int, text_col: str = "text") -> DataFrame:
     spread = terms.groupBy("term").agg(F.count("*").alias("df"))
     total = df.agg(F.count("*").alias("docs"))
     weight = F.floor(F.col("n") * F.log((1 + F.col("docs")) / (1 + F.col("df"))) * 1_000_000 + 0.5).cast("long")
-    scored = terms.join(spread, "term").join(F.broadcast(total)).withColumn("weight_e6", weight)  # one row is broadcast
+    scored = spread_join(terms, spread, "term", by="doc_id").join(F.broadcast(total)).withColumn("weight_e6", weight)  # one row is broadcast
     w = Window.partitionBy("doc_id").orderBy(F.desc("weight_e6"), "term")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("docs")
 

@@ -89,5 +89,5 @@ def human_rates(scores: DataFrame) -> DataFrame:
 
 def sample_per_doc(chunks: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows of each document, chosen by a hash: the same ones however the rows are spread."""
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("chunk_id", F.lit(seed)), "chunk_id")
+    w = Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "chunk_id")), "chunk_id")
     return chunks.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
 from corpusmill.functions.text import find_all
+from corpusmill.operators.enrich import typed_entities
 
 
 def tag_tokens(text: Column) -> Column:
@@ -81,3 +83,40 @@ def parse_entities(answer: Column) -> Column:
     """`type: value` lines of a model's answer."""
     rows = F.filter(F.split(answer, "\n"), lambda r: r.rlike("^[^:：]+[:：].*\\S"))
     return F.transform(rows, lambda r: F.struct(F.trim(F.regexp_extract(r, "^([^:：]+)[:：]", 1)).alias("type"), F.trim(F.regexp_extract(r, "^[^:：]+[:：](.*)$", 1)).alias("value")))
+
+
+#: A language model as a column function: what it answers to prompts; null where it has no answer.
+Model = Callable[[Column], Column]
+
+
+def organized(chunks: DataFrame, model: Model | None = None) -> DataFrame:
+    """chunk_id, doc_id, nth, tags, summary, entities, source of chunks (chunk_id, doc_id, nth, content).
+
+    With a model its parsed answers count, and rules wherever it gives none (`source` says which); blank chunks get empty
+    results. Without a model nothing is asked.
+    """
+    text = F.coalesce("content", F.lit(""))
+    blank = ~text.rlike(r"(?U)\S")
+    none = F.array().cast("array<string>")
+    by_rule = tags(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")))
+    by_rule = by_rule.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "tag"))), lambda x: x["tag"]).alias("rule_tags")).withColumnRenamed("doc_id", "chunk_id")  # MAX_TAGS at most
+    ask = lambda what: F.nullif(F.trim(model(F.concat(F.lit(what + ":\n"), text))), F.lit("")) if model else F.lit(None).cast("string")
+    x = chunks.join(by_rule, "chunk_id", "left").select("chunk_id", "doc_id", "nth", text.alias("content"), blank.alias("blank"), F.coalesce("rule_tags", none).alias("rule_tags"), ask("tags").alias("m_tags"), ask("summary").alias("m_summary"), ask("entities").alias("m_entities"))
+    m_tags, m_entities = parse_tags(F.col("m_tags")), parse_entities(F.col("m_entities"))
+    given = lambda xs: F.coalesce(F.size(xs) > 0, F.lit(False))
+    entities = typed_entities(F.col("content"))
+    return x.select(
+        "chunk_id",
+        "doc_id",
+        "nth",
+        F.when(F.col("blank"), none).when(given(m_tags), m_tags).otherwise(F.col("rule_tags")).alias("tags"),
+        F.when(F.col("blank"), "").otherwise(F.coalesce("m_summary", extractive_summary(F.col("content")))).alias("summary"),
+        F.when(F.col("blank"), F.slice(entities, 1, 0)).when(given(m_entities), m_entities).otherwise(entities).alias("entities"),
+        F.when(F.col("blank"), "empty").when(given(m_tags) | F.col("m_summary").isNotNull() | given(m_entities), "model").otherwise("rule").alias("source"),
+    )
+
+
+def organized_batch(chunks: DataFrame, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
+    """The organised chunks, and their documents' summaries."""
+    each = organized(chunks, model)
+    return each, document_summary(each.select("doc_id", "nth", "summary"))

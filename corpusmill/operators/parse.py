@@ -1,17 +1,24 @@
-"""Lines, blocks, block types, headings and title paths, as expressions and windows.
+"""Lines, blocks, block types, headings and title paths.
 
 Texts become lines; lines are classed; runs of plain or table lines become blocks; fenced runs become code blocks; each
-block gets a type, and headings a level and the path of titles above them. Everything is keyed by document, so the
-windows share one shuffle on it.
+block gets a type, and headings a level and the path of titles above them. The predicates on one line or block are column
+expressions. What depends on the lines before is one pass over a document's lines, which stand in one row already: an
+Arrow-batched map without a shuffle or a window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import lru_cache
+
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from corpusmill.arrow import map_rows
 from corpusmill.functions import fixed as K
-from corpusmill.functions.text import any_match, py_strip
+from corpusmill.functions.text import WHITE, any_match, py_strip
 
 #: Levels that headings can have; deeper dotted numbers count as the last.
 LEVELS = 8
@@ -90,40 +97,197 @@ def lines(df: DataFrame) -> DataFrame:
     return out.withColumn("k", line_class(F.col("line")))
 
 
-def _by_doc(*order: str) -> Window:
-    return Window.partitionBy("doc_id").orderBy(*order)
+# ---- one document ----
+
+_rx = lambda *patterns: [regex.compile(p) for p in patterns]
+_TOC, _HEADS, _IMAGES = _rx(*K.TOC_ROW), _rx(K.HEADING_MARKDOWN, K.HEADING_CHAPTER, K.HEADING_HAN, K.HEADING_NUMBER), _rx(*K.IMAGE)
+_SEPARATOR, _BULLETS, _FORMULAS = _rx(K.SEPARATOR_CELL, K.BULLET, K.FORMULA)
+_HAN_LEVEL, _DOTTED = _rx("[一二三四五六七八九十]+[、.]", r"\d+(?:\.\d+)*")
+_WORDS = frozenset(K.HEADING_WORDS)
+
+
+class Rules:
+    """The predicates above for one text at a time."""
+
+    @staticmethod
+    def first_line(text: str) -> str:
+        return text.strip(WHITE).partition("\n")[0]
+
+    @staticmethod
+    def heading(text: str) -> bool:
+        line = Rules.first_line(text)
+        if not line or len(line) > K.HEADING_MAX_CHARS or any(p.search(line.strip(WHITE)) for p in _TOC):
+            return False
+        return line.lower() in _WORDS or any(p.search(line) for p in _HEADS)
+
+    @staticmethod
+    def level(text: str) -> int:
+        line = Rules.first_line(text)
+        if line.lower() in _WORDS or line[:1] == "第" and not _HEADS[0].search(line):
+            return 1
+        if marked := _HEADS[0].search(line):
+            return len(marked[1])
+        if _HAN_LEVEL.match(line):
+            return 2
+        number = _DOTTED.match(line)
+        return number[0].count(".") + 1 if number else 3
+
+    @staticmethod
+    def title(text: str) -> str:
+        return Rules.first_line(text).strip("# ").strip(WHITE)
+
+    @staticmethod
+    def cells(line: str) -> list[str]:
+        return [c.strip(WHITE) for c in line.strip(WHITE).removeprefix("|").removesuffix("|").split("|")]
+
+    @staticmethod
+    def separator(line: str) -> bool:
+        cells = Rules.cells(line)
+        return len(cells) >= 2 and all(_SEPARATOR.search(c) for c in cells)
+
+    @staticmethod
+    def table_line(line: str) -> bool:
+        return "|" in line and (sum(c != "" for c in Rules.cells(line)) >= 2 or Rules.separator(line))
+
+    @staticmethod
+    def image(text: str) -> bool:
+        return ("![" in text or "<" in text) and any(p.search(text) for p in _IMAGES)
+
+    @staticmethod
+    def table(text: str) -> bool:
+        rows = Rules.lines(text)
+        if "|" not in text or len(rows) < 2:
+            return False
+        if any(Rules.separator(b) and len(Rules.cells(a)) == len(Rules.cells(b)) for a, b in zip(rows[:-1], rows[1:], strict=True)):
+            return True
+        widths = [len(Rules.cells(r)) for r in rows if Rules.table_line(r)]
+        return len(widths) >= 2 and len(set(widths)) == 1
+
+    @staticmethod
+    def lines(text: str) -> list[str]:
+        return [t for x in text.split("\n") if (t := x.strip(WHITE))]
+
+    @staticmethod
+    def formula(text: str) -> bool:
+        t = text.strip(WHITE)
+        return (t.startswith("$$") and t.endswith("$$")) or ("\n" not in t and len(t) <= K.FORMULA_MAX_CHARS and _FORMULAS.search(t) is not None)
+
+    @staticmethod
+    def kind(text: str) -> str:
+        """The type of a block."""
+        if Rules.heading(text):
+            return "heading"
+        if Rules.image(text) and all(map(Rules.image, Rules.lines(text))):
+            return "image"
+        if Rules.table(text):
+            return "table"
+        if text.startswith(K.FENCE) or text.endswith(K.FENCE):
+            return "code"
+        return "formula" if Rules.formula(text) else "paragraph"
+
+
+@lru_cache(maxsize=1 << 14)
+def _class_of(line: str) -> str:
+    if line == "":
+        return "B"
+    if Rules.heading(line):
+        return "H"
+    if Rules.image(line):
+        return "I"
+    if Rules.table_line(line):
+        return "T"
+    if line in K.BULLET_MARKERS:
+        return "M"
+    return "U" if _BULLETS.search(line) else "P"
+
+
+def raw_texts(text: str) -> list[str]:
+    """Runs of plain or of table lines are one block, a lone marker takes the next plain line."""
+    out: list[list[str]] = []
+    above, above_class, ran = "", "", ""  # the line before, its class, and its class once a marker was joined
+    for line in (x.strip(WHITE) for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")):
+        own = _class_of(line) if len(line) <= 400 else _class_of.__wrapped__(line)
+        joined = own == "P" and above_class == "M"
+        runs = "MU" if joined else own
+        if runs != "B":
+            if runs != ran or runs not in ("P", "T"):
+                out.append([])
+            if runs != "M":
+                out[-1].append(f"{above} {line}" if joined else line)
+        above, above_class, ran = line, own, runs
+    return ["\n".join(x) for x in out if x]
+
+
+def document_blocks(text: str) -> list[tuple[int, int, str, str]]:
+    """(first raw block, last one, text, type) after fenced runs are joined.
+
+    A block that starts with a fence opens a run (again, if one is open: what it held is lost); one that ends with a
+    fence without starting with one closes it; the last open run of a document stays.
+    """
+    out: list[tuple[int, int, str, str]] = []
+    run: list[tuple[int, str]] = []
+    for i, t in enumerate(raw_texts(text)):
+        opens, closes = t.startswith(K.FENCE), t.endswith(K.FENCE)
+        if opens:
+            run = []
+        if opens or run:
+            run.append((i, t))
+            if closes and not opens:
+                out.append((run[0][0], i, "\n\n".join(x for _, x in run), "code"))
+                run = []
+        else:
+            out.append((i, i, t, Rules.kind(t)))
+    if run:
+        out.append((run[0][0], run[-1][0], "\n\n".join(x for _, x in run), "code"))
+    return out
+
+
+def _block_rows(row: dict) -> Iterator[tuple]:
+    for first, last, text, kind in document_blocks(row["text"] or ""):
+        yield row["doc_id"], first, last, text, kind
+
+
+def _path_rows(row: dict) -> Iterator[tuple]:
+    stack: list[tuple[int, str]] = []
+    for first, last, text, kind in document_blocks(row["text"] or ""):
+        level = title = None
+        if kind == "heading":
+            level, title = min(Rules.level(text), LEVELS), Rules.title(text)
+            stack = [*(x for x in stack if x[0] < level), (level, title)]
+        yield row["doc_id"], first, last, text, kind, level, title, [t for _, t in stack]
+
+
+def _schema(df: DataFrame, *fields: StructField) -> StructType:
+    return StructType([StructField("doc_id", df.schema["doc_id"].dataType), *fields])
+
+
+_RAW = (StructField("raw", IntegerType()), StructField("text", StringType()))
+_BLOCK = (StructField("raw", IntegerType()), StructField("last_raw", IntegerType()), StructField("text", StringType()), StructField("block_type", StringType()))
+_PATH = (*_BLOCK, StructField("heading_level", IntegerType()), StructField("title", StringType()), StructField("title_path", ArrayType(StringType())))
 
 
 def raw_blocks(df: DataFrame) -> DataFrame:
-    """doc_id, raw (from 0), text: runs of plain or of table lines are one block, a lone marker takes the next plain line."""
-    w = _by_doc("i")
-    x = lines(df).withColumn("p", F.lag("k").over(w)).withColumn("before", F.lag("line").over(w))
-    joined = (F.col("k") == "P") & (F.col("p") == "M")
-    x = x.withColumn("line", F.when(joined, F.concat("before", F.lit(" "), "line")).otherwise(F.col("line"))).withColumn("k", F.when(joined, "MU").otherwise(F.col("k")))
-    x = x.withColumn("start", F.when((F.col("k") == F.lag("k").over(w)) & F.col("k").isin("P", "T"), 0).otherwise(1)).where("k <> 'B'")
-    x = x.withColumn("blk", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("k <> 'M'")
-    blocks = x.groupBy("doc_id", "blk").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY i)").alias("text"))
-    return blocks.select("doc_id", (F.dense_rank().over(_by_doc("blk")) - 1).alias("raw"), "text")
+    """doc_id, raw (from 0), text of each raw block; null and blank texts have none."""
+    return map_rows(df.select("doc_id", "text"), lambda row: ((row["doc_id"], i, t) for i, t in enumerate(raw_texts(row["text"] or ""))), _schema(df, *_RAW))
 
 
 def blocks(df: DataFrame) -> DataFrame:
-    """doc_id, raw, text, block_type after fenced runs are joined.
+    """doc_id, raw, last_raw, text, block_type after fenced runs are joined."""
+    return map_rows(df.select("doc_id", "text"), _block_rows, _schema(df, *_BLOCK))
+
+
+def title_paths(df: DataFrame) -> DataFrame:
+    """The blocks with heading_level, title and title_path (the path in force at each block; headings include themselves)."""
+    return map_rows(df.select("doc_id", "text"), _path_rows, _schema(df, *_PATH))
 
-    A block that starts with a fence opens a run (again, if one is open: what it held is lost); one that ends with a
-    fence without starting with one closes it; the last open run of a document stays.
-    """
-    w = _by_doc("raw")
-    x = raw_blocks(df)
-    x = x.withColumn("s", F.col("text").startswith(K.FENCE).cast("int")).withColumn("e", (F.col("text").endswith(K.FENCE) & ~F.col("text").startswith(K.FENCE)).cast("int"))
-    x = x.withColumn("seg", F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.sum("s").over(Window.partitionBy("doc_id")))
-    inside = Window.partitionBy("doc_id", "seg").orderBy("raw")
-    x = x.withColumn("prior", F.coalesce(F.sum(F.when(F.col("seg") > 0, F.col("e")).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = x.withColumn("code", (F.col("seg") > 0) & (F.col("prior") == 0))
-    x = x.withColumn("closed", F.max(F.when(F.col("code"), F.col("e")).otherwise(0)).over(Window.partitionBy("doc_id", "seg")))
-    x = x.where("NOT code OR closed = 1 OR seg = last")
-    key = F.when(F.col("code"), -F.col("seg")).otherwise(F.col("raw"))
-    grouped = x.groupBy("doc_id", "code", key.alias("key")).agg(F.min("raw").alias("raw"), F.max("raw").alias("last_raw"), F.expr("listagg(text, '\n\n') WITHIN GROUP (ORDER BY raw)").alias("text"))
-    return grouped.select("doc_id", "raw", "last_raw", "text", F.when(F.col("code"), "code").otherwise(block_type(F.col("text"))).alias("block_type"))
+
+# ---- blocks as columns ----
+
+
+def with_headings(blocks: DataFrame) -> DataFrame:
+    """Adds heading_level and title to blocks; both are null where a block is no heading."""
+    head = F.col("block_type") == "heading"
+    return blocks.withColumn("heading_level", F.when(head, F.least(heading_level(F.col("text")), F.lit(LEVELS)))).withColumn("title", F.when(head, heading_title(F.col("text"))))
 
 
 def block_lines(text: Column) -> Column:
@@ -155,18 +319,3 @@ def block_type(text: Column) -> Column:
         .when(is_formula(text), "formula")
         .otherwise("paragraph")
     )
-
-
-def title_paths(df: DataFrame) -> DataFrame:
-    """blocks with heading_level, title and title_path (the path in force at each block; headings include themselves)."""
-    x = blocks(df).withColumn("heading_level", F.when(F.col("block_type") == "heading", F.least(heading_level(F.col("text")), F.lit(LEVELS))))
-    x = x.withColumn("title", F.when(F.col("block_type") == "heading", heading_title(F.col("text"))))
-    w = _by_doc("last_raw").rowsBetween(Window.unboundedPreceding, 0)
-    for n in range(1, LEVELS + 1):
-        own = F.col("heading_level") == n
-        x = x.withColumn(f"at{n}", F.coalesce(F.max(F.when(own, F.col("last_raw"))).over(w), F.lit(-1))).withColumn(f"t{n}", F.last(F.when(own, F.col("title")), ignorenulls=True).over(w))
-    parts = []
-    for n in range(1, LEVELS + 1):
-        # On the stack iff no later heading has a smaller level.
-        parts.append(F.when((F.col(f"at{n}") >= 0) & (F.col(f"at{n}") > F.greatest(F.lit(-1), *[F.col(f"at{k}") for k in range(1, n)]) if n > 1 else F.col(f"at{n}") >= 0), F.col(f"t{n}")))
-    return x.select("doc_id", "raw", "last_raw", "text", "block_type", "heading_level", "title", F.array_compact(F.array(*parts)).alias("title_path"))

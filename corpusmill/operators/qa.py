@@ -14,8 +14,14 @@ from corpusmill.functions.text import find_all, py_strip, word_ngrams
 def lexical_quality(answer: Column, content: Column) -> Column:
     """answer_words and those found, bigrams and those found, the two judgements; all 0 and false without a text."""
     a, c = (F.lower(py_strip(F.coalesce(x, F.lit("")))) for x in (answer, content))
-    words = F.array_distinct(find_all(a, K.WORD_RUN))
-    grams = word_ngrams(find_all(a, K.WORD_RUN), 2)
+    # Both texts are prepared once, as an element, and not again for each n-gram.
+    texts = F.array(F.struct(a.alias("a"), c.alias("c"), find_all(a, K.WORD_RUN).alias("words")))
+    return F.get(F.transform(texts, _quality), 0)
+
+
+def _quality(t: Column) -> Column:
+    a, c, words = t["a"], t["c"], F.array_distinct(t["words"])
+    grams = word_ngrams(t["words"], 2)
     found = F.size(F.array_intersect(words, find_all(c, K.WORD_RUN)))
     kept = F.size(F.filter(grams, lambda g: F.contains(c, g)))
     some = (a != "") & (c != "")
@@ -58,7 +64,43 @@ def parse_pairs(df: DataFrame, answer_col: str = "answer") -> DataFrame:
     return x.select("chunk_id", F.format_string("%s_qa_%04d", F.col("chunk_id").cast("string"), F.row_number().over(w)).alias("qa_id"), "question", "answer")
 
 
-def synthesis_report(pairs: DataFrame) -> DataFrame:
-    """Counts over rows with answerable and faithful, and whether nine tenths are both."""
-    n = F.count("*")
-    return pairs.agg(n.alias("n"), F.count_if("answerable").alias("answerable"), F.count_if("faithful").alias("faithful"), ((F.count_if("answerable") >= K.PASS_QA * n) & (F.count_if("faithful") >= K.PASS_QA * n)).alias("passed"))
+def unfenced(answer: Column) -> Column:
+    """A model's answer without the code fence around it."""
+    t = py_strip(F.coalesce(answer, F.lit("")))
+    t = F.when(F.startswith(t, F.lit("```")) & F.contains(t, F.lit("\n")), F.regexp_replace(t, r"^[^\n]*\n", "")).otherwise(t)
+    return F.when(F.endswith(t, F.lit("```")), py_strip(F.regexp_replace(t, "```$", ""))).otherwise(t)
+
+
+def judged(answer: Column, threshold: int = 7) -> Column:
+    """A model's verdict on a pair: scores of 0 to 10 from its JSON object, whether each reaches the threshold, the reason.
+
+    No answer and no readable object are errors and count as failed; a missing score is 0.
+    """
+    text = unfenced(answer)
+    scores = F.from_json(text, "answerable_score int, faithful_score int, brief_reason string")
+    is_object = text.rlike(r"(?s)^\{.*\}$") & F.coalesce(scores["answerable_score"].isNotNull() | scores["faithful_score"].isNotNull() | text.rlike(r"^\{\s*\}$"), F.lit(False))
+    a, f = (F.when(is_object, F.coalesce(scores[n], F.lit(0))).otherwise(0) for n in ("answerable_score", "faithful_score"))
+    return F.struct(
+        a.alias("answerable_score"),
+        f.alias("faithful_score"),
+        (is_object & (a >= threshold)).alias("answerable"),
+        (is_object & (f >= threshold)).alias("faithful"),
+        F.when(is_object, F.coalesce(scores["brief_reason"], F.lit(""))).alias("reason"),
+        F.when(text == "", "no answer").when(~is_object, "unreadable answer").alias("error"),
+    )
+
+
+def synthesized(chunks: DataFrame, generate: Callable[[Column], Column], validate: Callable[[Column], Column] | None = None, chars: int = 2000) -> DataFrame:
+    """chunk_id, source_doc, qa_id, question, answer and their judgement for worthy chunks (chunk_id, doc_id, chunk_type, content).
+
+    `generate` and `validate` are models as column functions; without `validate` the lexical quality judges.
+    """
+    worthy = chunks.where(is_worthy(F.col("content"), F.coalesce("chunk_type", F.lit("normal"))))
+    pairs = parse_pairs(worthy.select("chunk_id", unfenced(generate(F.left("content", F.lit(chars)))).alias("answer")))
+    x = pairs.join(worthy.select("chunk_id", F.col("doc_id").alias("source_doc"), "content"), "chunk_id")
+    if validate is None:
+        verdict = lexical_quality(F.col("answer"), F.col("content"))
+    else:
+        prompt = F.concat_ws("\n", F.left("content", F.lit(1500)), F.col("question"), F.col("answer"))
+        verdict = judged(validate(prompt))
+    return x.withColumn("v", verdict).select("chunk_id", "source_doc", "qa_id", "question", "answer", F.col("v.answerable").alias("answerable"), F.col("v.faithful").alias("faithful"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.text import norm_ws
+
 RANGE = "array<struct<start:int,stop:int>>"
 
 
@@ -53,3 +55,56 @@ def materialized(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     inside = (blocks["doc_id"] == ranges["doc_id"]) & (blocks["i"] >= ranges["start"]) & (blocks["i"] <= ranges["stop"])
     x = blocks.join(ranges, inside).select(ranges["doc_id"], "nth", "start", "stop", "i", "text")
     return x.groupBy("doc_id", "nth", "start", "stop").agg(F.expr("listagg(text, '\n\n') WITHIN GROUP (ORDER BY i)").alias("content"))
+
+
+def split_parts(sizes: Column, most: int) -> Column:
+    """For each of a range's blocks the part (from 1) it falls into, so that no part, two characters between its blocks, is
+    longer than `most`; a block alone may be. Blocks of no length are in part 0."""
+    start = F.struct(F.lit(0).alias("part"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, n: Column) -> Column:
+        fresh = (acc["part"] == 0) | (acc["size"] + n + 2 > most)
+        part = acc["part"] + F.when(fresh, 1).otherwise(0)
+        moved = F.struct(part.alias("part"), F.when(fresh, n).otherwise(acc["size"] + n + 2).alias("size"), F.array_append(acc["out"], part).alias("out"))
+        return F.when(n > 0, moved).otherwise(F.struct(acc["part"].alias("part"), acc["size"].alias("size"), F.array_append(acc["out"], F.lit(0)).alias("out")))
+
+    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+
+
+def records(blocks: DataFrame, ranges: DataFrame, max_chars: int) -> DataFrame:
+    """Chunk records of blocks (doc_id, i, block_id, text) by ranges (doc_id, nth, start, stop, title, reason).
+
+    A range longer than `max_chars` gives several records, from the second on with the part's number in the title; blank
+    blocks go. chunk_id counts within the document.
+    """
+    text = norm_ws(F.col("text"))
+    b, r = blocks.select("doc_id", "i", F.struct("i", "block_id", text.alias("text")).alias("b")), ranges.select("doc_id", "nth", "start", "stop", "title", "reason")
+    x = b.join(r, "doc_id").where("i BETWEEN start AND stop").select("doc_id", "nth", "title", "reason", "b")
+    x = x.groupBy("doc_id", "nth", "title", "reason").agg(F.array_sort(F.collect_list("b")).alias("bs"))  # a range's blocks, as its text needs them
+    parts = split_parts(F.transform("bs", lambda b: F.length(b["text"])), max_chars)
+    x = x.select("doc_id", "nth", "title", "reason", F.explode(F.arrays_zip("bs", parts.alias("part"))).alias("z")).where("z.part > 0")
+    x = x.groupBy("doc_id", "nth", "title", "reason", F.col("z.part").alias("part")).agg(
+        F.expr("listagg(z.bs.text, '\n\n') WITHIN GROUP (ORDER BY z.bs.i)").alias("content"),
+        F.expr("listagg(z.bs.block_id, ',') WITHIN GROUP (ORDER BY z.bs.i)").alias("block_ids"),
+    )
+    title = F.coalesce(F.nullif("title", F.lit("")), F.lit("未命名分段"))
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("nth", "part"))
+    return x.select(
+        "doc_id",
+        F.format_string("%s_ai_chunk_%04d", F.col("doc_id").cast("string"), index).alias("chunk_id"),
+        F.when(F.col("part") > 1, F.concat(title, F.lit("（续"), F.col("part").cast("string"), F.lit("）"))).otherwise(title).alias("chunk_title"),
+        F.coalesce("reason", F.lit("")).alias("chunk_summary"),
+        F.length("content").alias("char_count"),
+        "content",
+        "block_ids",
+    )
+
+
+def parsed_ranges(answer: Column) -> Column:
+    """Ranges in a model's JSON answer: an object's `ranges` or `chunks`, or an array, in a fence or in prose; none if broken."""
+    one = "struct<start:int,end:int,title:string,reason:string>"
+    text = F.coalesce(answer, F.lit(""))
+    whole = F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), f"ranges array<{one}>, chunks array<{one}>")
+    alone = F.from_json(F.regexp_extract(text, r"(?s)(\[.*\])", 1), f"array<{one}>")
+    found = F.coalesce(whole["ranges"], whole["chunks"], alone, F.array().cast(f"array<{one}>"))
+    return F.transform(F.filter(found, lambda r: r.isNotNull()), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("stop"), r["title"].alias("title"), r["reason"].alias("reason")))

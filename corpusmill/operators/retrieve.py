@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
 from corpusmill.functions.text import compact, e6, find_all
+from corpusmill.operators.joins import spread_join
 
 #: Rows of a query side that is sent to all tasks; longer ones go in blocks.
 QUERY_BLOCK = 10_000
 
 
 def trigram_counts(text: Column) -> Column:
-    """(bucket, n) of lower-cased character trigrams by CRC-32 modulo VECTOR_SIZE; a shorter text has none."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.crc32(F.substr(t, i, F.lit(3)).cast("binary")) % K.VECTOR_SIZE)
-    buckets = F.when(F.length(t) >= 3, grams).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(F.array_sort(F.array_distinct(buckets)), lambda b: F.struct(b.cast("int").alias("bucket"), F.size(F.filter(buckets, lambda x: x == b)).alias("n")))
+    """(bucket, n) of lower-cased character trigrams by CRC-32 modulo VECTOR_SIZE; a shorter text has none.
+
+    Each step is the one element of an array, so that a lambda takes it as it is and does not work it out again.
+    """
+    places = lambda t: F.when(F.length(t) >= 3, F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    buckets = F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), lambda t: F.transform(places(t), lambda i: F.crc32(F.substr(t, i, F.lit(3)).cast("binary")) % K.VECTOR_SIZE))
+    counts = F.transform(buckets, lambda bs: F.transform(F.array_sort(F.array_distinct(bs)), lambda b: F.struct(b.cast("int").alias("bucket"), F.size(F.filter(bs, lambda x: x == b)).alias("n"))))
+    return F.get(counts, 0)
 
 
 def trigram_vector(text: Column) -> Column:
@@ -48,7 +52,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosi
     """
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
-    score = e6(cosine(F.col("q"), F.col("v"))) if measure == "cosine" else -e6(squared_distance(F.col("q"), F.col("v")))
+    if measure == "cosine":  # lengths once a vector, not once a pair
+        queries, vectors = queries.withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q")))), vectors.withColumn("v_norm", F.sqrt(dot(F.col("v"), F.col("v"))))
+        score = e6(F.coalesce(dot(F.col("q"), F.col("v")) / F.nullif(F.col("q_norm") * F.col("v_norm"), F.lit(0.0)), F.lit(0.0)))
+    else:
+        score = -e6(squared_distance(F.col("q"), F.col("v")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score_e6"), "vec_id")
     out = None
     for b in range(blocks):
@@ -116,6 +124,6 @@ def char_tfidf(df: DataFrame, low: int = 1, high: int = 4) -> DataFrame:
     counts = df.select("doc_id", F.explode(F.flatten(F.array(*grams))).alias("gram")).groupBy("doc_id", "gram").agg(F.count("*").alias("c"))
     spread = counts.groupBy("gram").agg(F.count("*").alias("df"))
     total = df.agg(F.count("*").alias("docs"))
-    x = counts.join(spread, "gram").join(F.broadcast(total))  # one row is broadcast
+    x = spread_join(counts, spread, "gram", by="doc_id").join(F.broadcast(total))  # one row is broadcast
     x = x.withColumn("w", (1 + F.log("c")) * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))
     return x.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))).select("doc_id", "gram", "w")

@@ -1,21 +1,28 @@
 """Chunking: the structure- and meaning-aware segmenter, its heading-only form, fixed-length cuts and rule ranges.
 
 The aware segmenter is sequential within a document and runs as one Arrow-batched function over its blocks; cutting at
-fixed lengths is a fold in the JVM. Neither shuffles text that is already one row a document.
+fixed lengths is an Arrow-batched map over whole texts. Neither shuffles text that is already one row a document.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from corpusmill.arrow import map_rows
 from corpusmill.functions import fixed as K
-from corpusmill.functions.text import py_strip
+from corpusmill.functions.text import WHITE
+from corpusmill.operators.clean import cleaned
+from corpusmill.operators.parse import with_headings
 
 _TOKEN = re.compile(K.TOKEN)
 _SENTENCE = re.compile(K.SENTENCE)
@@ -324,24 +331,25 @@ class Segmenter:
         return out
 
     def rebalance(self, pieces: list[Piece]) -> list[Piece]:
-        """A short chunk takes last sentences of a long one before it."""
-        least, out = self.c.min_chars, list(pieces)
-        for i in range(1, len(out)):
-            a, b = out[i - 1], out[i]
-            related = shared_path(a.path, b.path) or not (a.path or b.path)
-            if a.kind != "normal" or b.kind != "normal" or b.chars >= least or a.chars <= least or not related:
-                continue
-            goal = min(least - b.chars + 80, a.chars - least)
-            kept = [s for m in _SENTENCE.finditer(a.content) if (s := m.group(0).strip())] or [a.content.strip()]
-            moved: list[str] = []
-            while len(kept) > 1 and sum(map(len, moved)) < goal:
-                moved.insert(0, kept.pop())
-            if moved:
-                n = sum(map(len, moved))
-                out[i - 1] = replace(a, content="".join(kept).strip(), extra=a.extra | {"rebalance_role": "donor", "chars_donated": n})
-                out[i] = replace(b, content=f"{''.join(moved).strip()}\n\n{b.content}".strip(), extra=b.extra | {"rebalance_role": "recipient", "chars_received": n})
+        """A short chunk takes last sentences of a long one before it: the fewest that together reach what it lacks and 80
+        more, but no more than the long one has to spare; one sentence stays at least."""
+        out, least = list(pieces), self.c.min_chars
+        for at in range(len(out) - 1):
+            donor, short = out[at], out[at + 1]
+            if donor.kind == short.kind == "normal" and short.chars < least < donor.chars and self.related(donor, short):
+                sentences = [t for t in map(str.strip, _SENTENCE.findall(donor.content)) if t]
+                tails = list(accumulate(map(len, reversed(sentences[1:]))))
+                goal = min(least - short.chars + 80, donor.chars - least)
+                if cut := min(len(tails), bisect_left(tails, goal) + 1):
+                    given = "".join(sentences[-cut:])
+                    out[at] = replace(donor, content="".join(sentences[:-cut]), extra=donor.extra | {"rebalance_role": "donor", "chars_donated": tails[cut - 1]})
+                    out[at + 1] = replace(short, content=f"{given}\n\n{short.content}".strip(), extra=short.extra | {"rebalance_role": "recipient", "chars_received": tails[cut - 1]})
         return out
 
+    @staticmethod
+    def related(a: Piece, b: Piece) -> bool:
+        return not (a.path or b.path) or bool(shared_path(a.path, b.path))
+
     def absorb(self, pieces: list[Piece]) -> list[Piece]:
         out = list(pieces)
         while len(out) > 1 and not out[-1].fixed and (out[-1].chars < self.c.min_chars or out[-1].tokens < self.c.min_tokens) and self.fits(out[-2], out[-1]):
@@ -390,27 +398,51 @@ def chunks(blocks: DataFrame, config: SegmentConfig | None = None) -> DataFrame:
     return flat.select("*", chunk_id.alias("chunk_id"), n.alias("char_count"), flags.alias("quality_flags"))
 
 
-def fixed_cuts(text: Column, size: int = 512) -> Column:
-    """End places of fixed-length chunks: after the first line break beyond the size, else after the last sentence end there."""
-    total = F.length(text)
+def fixed_cuts(text: str, size: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of fixed-length slices: up to the first line break beyond the size, else the last sentence end there.
+
+    Each place is looked at a bounded number of times, so a text of any length is cut in linear time.
+    """
+    at, total = 0, len(text)
+    while at < total:
+        end = at + size
+        if end < total:
+            ahead = text[end : end + size // 2]
+            line = ahead.find("\n") + 1
+            end += line or 1 + max(map(ahead.rfind, ".!?。！？"))
+        end = min(end, total)
+        yield at, end
+        at = end
+
+
+def fixed_chunks_of(df: DataFrame, sizes: tuple[int, ...], *keep: str) -> DataFrame:
+    """size, doc_id, `keep`, nth, lo, hi, content: a text's slices for each size, all cut in one pass over the texts.
 
-    def step(cuts: Column, _: Column) -> Column:
-        prev = F.coalesce(F.element_at(cuts, F.nullif(F.size(cuts), F.lit(0))), F.lit(0))
-        target = prev + size
-        ahead = F.substr(text, target + 1, F.least(F.lit(size // 2), total - target))
-        line = F.instr(ahead, "\n")
-        end = F.length(F.regexp_extract(ahead, r"(?s)^.*[.!?。！？]", 0))
-        cut = F.when(target >= total, total).otherwise(target + F.when(line > 0, line).otherwise(end))
-        return F.when(prev >= total, cuts).otherwise(F.array_append(cuts, cut))
+    Blank slices are left out; null and empty texts have none. A map without shuffles.
+    """
+    names = ("doc_id", *keep)
+    source = df.select(*names, F.col("text").cast("string").alias("text"))
+    kinds = {f.name: f.dataType for f in source.schema.fields}
+    schema = StructType([StructField("size", IntegerType()), *(StructField(n, kinds[n]) for n in names), StructField("nth", IntegerType()), StructField("lo", IntegerType()), StructField("hi", IntegerType()), StructField("content", StringType())])
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.ceil(total / size).cast("int"), F.lit(1))), F.array().cast("array<int>"), step)
+    def rows(row: dict) -> Iterator[tuple]:
+        text, own = row["text"] or "", tuple(row[n] for n in names)
+        for size in sizes:
+            for nth, (lo, hi) in enumerate(fixed_cuts(text, size), 1):
+                if content := text[lo:hi].strip(WHITE):
+                    yield (size, *own, nth, lo, hi, content)
+
+    return map_rows(source, rows, schema)
 
 
 def fixed_chunks(df: DataFrame, size: int = 512) -> DataFrame:
-    """doc_id, nth, lo, hi, content; blank slices are left out and the next one starts where they did."""
-    x = df.where(F.length(F.coalesce("text", F.lit(""))) > 0).select("doc_id", "text", fixed_cuts(F.col("text"), size).alias("cuts"))
-    x = x.select("doc_id", "text", F.posexplode("cuts").alias("at", "hi"), "cuts")
-    x = x.withColumn("from", F.when(F.col("at") > 0, F.element_at("cuts", F.greatest(F.col("at"), F.lit(1)))).otherwise(0))
-    # Slices of nothing but white space do not move the start; stripping makes the longer slice's content the same.
-    x = x.withColumn("content", py_strip(F.expr("substr(text, `from` + 1, hi - `from`)"))).where("content <> ''")
-    return x.select("doc_id", (F.col("at") + 1).alias("nth"), F.col("from").alias("lo"), "hi", "content")
+    """doc_id, nth, lo, hi, content of one size."""
+    return fixed_chunks_of(df, (size,)).drop("size")
+
+
+# ---- whole documents ----
+
+
+def segmented(blocks: DataFrame, config: SegmentConfig | None = None) -> DataFrame:
+    """Parsed blocks cleaned (cover, contents and large body tables, see `clean`), with their headings found, and chunked."""
+    return chunks(with_headings(cleaned(blocks)), config)

@@ -84,24 +84,67 @@ def vector_records(chunks: DataFrame) -> DataFrame:
     )
 
 
-def swap_in(df: DataFrame, path: str) -> None:
-    """Writes beside the table and then takes its place, so a reader or a failed job never sees half of it."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path + ".new")
+def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    new, target, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in (".new", "", ".old"))
-    fs = target.getFileSystem(conf)
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    fs.delete(old, True)
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Whole versions of a table, oldest first: those whose writer left its mark of success."""
+    _, fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(p)]
+    return sorted(int(n[1:]) for n, full in names if n[:1] == "v" and n[1:].isdigit() and _fs(spark, f"{full}/_SUCCESS")[1].exists(_fs(spark, f"{full}/_SUCCESS")[2]))
+
+
+def write_version(df: DataFrame, path: str, keep: int = 2) -> int:
+    """Writes a table's next version into a folder of its own and then removes all but the last `keep` versions.
+
+    A version counts once it is whole (Spark's mark of success is written last), so a reader or a job that dies at any
+    place sees the version before it; nothing is renamed, and there is no moment without a table. One writer at a time.
+    """
+    spark = df.sparkSession
+    have = _versions(spark, path)
+    new = (have[-1] if have else 0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/v{new}")  # what a dead writer left of this version goes
+    for old in [*have, new][:-keep]:
+        _, fs, p = _fs(spark, f"{path}/v{old}")
+        fs.delete(p, True)
+    return new
+
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest whole version of a table, no rows if there is none."""
+    have = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v{have[-1]}") if have else spark.createDataFrame([], schema)
+
+
+def chunks_of(documents: DataFrame, chunks: DataFrame, doc_id: str) -> DataFrame:
+    """A document's chunks by ordinal; an error if there is no such document."""
+    if documents.where(F.col("doc_id") == doc_id).isEmpty():
+        raise KeyError(f"no document {doc_id}")
+    return chunks.where(F.col("doc_id") == doc_id).orderBy("ordinal")
+
+
+def all_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """All chunks with their document's name and status, by document and ordinal; chunks without a document are left out."""
+    return chunks.join(documents.select("doc_id", "file_name", "status"), "doc_id").orderBy("doc_id", "ordinal")
+
+
+def with_ordinals(chunks: DataFrame, *order: str) -> DataFrame:
+    """Chunks numbered from 1 within their document, as a replacement of all its chunks numbers them."""
+    return chunks.withColumn("ordinal", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+
+
+def json_decoded(df: DataFrame, column: str, schema: str, fallback: Column) -> DataFrame:
+    """A column of JSON text as a value of `schema`; the fallback where it is null, broken or of another shape."""
+    whole = F.get_json_object(F.col(column), "$").isNotNull()
+    return df.withColumn(column, F.coalesce(F.when(whole, F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"})), fallback))
+
+
+def migrated(df: DataFrame, schema: str) -> DataFrame:
+    """The rows with the columns of `schema`: columns that an older table lacks are null, others are cast."""
+    want = df.sparkSession.createDataFrame([], schema).schema.fields
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])

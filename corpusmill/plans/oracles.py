@@ -237,7 +237,7 @@ tp AS (SELECT doc_id, term || nxt AS tag, max(n + nxt_n) AS score, min(place) AS
 tq AS (SELECT *, row_number() OVER (PARTITION BY doc_id, tag ORDER BY single, score DESC, place) AS again FROM tp),
 tz AS (SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY single, score DESC, place) AS nth FROM tq WHERE again = 1)"""
 
-_TURNS = "asked AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'), said AS (SELECT conv_id, turn AS answer_turn, text FROM conversations WHERE role = 'assistant')"
+_TURNS = "asked AS (SELECT conv_id, arg_min(turn, turn) AS turn, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id), said AS (SELECT conv_id, turn AS answer_turn, text FROM conversations WHERE role = 'assistant')"
 _TERMS = f"list_distinct(list_filter(list_transform(regexp_extract_all(question, {q(K.QUERY_TERM)}), lambda t: {compact('t')}), lambda t: length(t) >= 2))"
 _COUNTS = "list_transform(list_distinct({t}), lambda z: len(list_filter({t}, lambda y: y = z))::DOUBLE)"
 
@@ -266,6 +266,58 @@ SELECT conv_id, turn, CASE WHEN ok THEN nw ELSE 0 END AS n_words, CASE WHEN ok T
 ok AND nf >= 0.3 * greatest(nw, 1) AS answerable, ok AND CASE WHEN ng > 0 THEN nk >= 0.5 * ng ELSE nf >= 0.5 * greatest(nw, 1) END AS faithful FROM z"""
 
 
+#: CRC-32 of three characters, by a table of its 256 steps; buckets of hashed trigrams.
+_CRC = f"""
+crc0(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc0 WHERE k < 8),
+crct AS (SELECT list(c ORDER BY i) AS t FROM crc0 WHERE k = 8)"""
+
+
+def _buckets(source: str, key: str, text: str, name: str) -> str:
+    """(key, bucket, n) of hashed trigrams of a table's texts."""
+    return f"""
+{name}g AS (SELECT {key}, unnest(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substr(t, i, 3))) AS gram FROM (SELECT {key}, lower({text}) AS t FROM {source}) WHERE length(t) >= 3),
+{name}d AS (SELECT DISTINCT gram FROM {name}g),
+{name}h AS (SELECT gram, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(hex(encode(gram))) // 2), lambda i: ('0x' || substr(hex(encode(gram)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % {K.VECTOR_SIZE} AS bucket FROM {name}d, crct),
+{name} AS (SELECT {key}, bucket, count(*) AS n FROM {name}g JOIN {name}h USING (gram) GROUP BY ALL)"""
+
+
+_CHUNKS = f"""asked AS (SELECT conv_id, arg_min(text, turn) AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
+chunks AS (SELECT conv_id, turn, text, 'turn ' || turn || ': ' || text AS body FROM conversations WHERE role = 'assistant')"""
+_BOOST = e6(f"CASE WHEN len({_TERMS}) > 0 THEN least(0.08::DOUBLE, 0.025::DOUBLE * len(list_filter({_TERMS}, lambda t: contains({compact('body')}, t)))) + CASE WHEN {rx('question', K.METRIC_QUERY)} AND {rx('text', K.METRIC)} THEN 0.05::DOUBLE ELSE 0.0 END ELSE 0.0 END")
+_VECTOR_SIMILARITY = f"""{_CRC}, {_CHUNKS}, {_buckets('asked', 'conv_id', 'question', 'qv')}, {_buckets('chunks', 'conv_id, turn', 'body', 'cv')},
+qn AS (SELECT conv_id, sqrt(sum(n * n)::DOUBLE) AS l FROM qv GROUP BY 1), cn AS (SELECT conv_id, turn, sqrt(sum(n * n)::DOUBLE) AS l FROM cv GROUP BY 1, 2),
+inner_ AS (SELECT c.conv_id, c.turn, sum(q.n * c.n)::BIGINT AS s FROM qv q JOIN cv c ON q.conv_id = c.conv_id AND q.bucket = c.bucket GROUP BY 1, 2),
+sim AS (SELECT conv_id, turn, coalesce(coalesce(s, 0) / nullif(coalesce(qn.l, 0) * coalesce(cn.l, 0), 0), 0)::DOUBLE AS similarity FROM asked JOIN chunks USING (conv_id) LEFT JOIN inner_ USING (conv_id, turn) LEFT JOIN qn USING (conv_id) LEFT JOIN cn USING (conv_id, turn))"""
+
+
+def _search(k: int, boost: str) -> str:
+    return f"""scored AS (SELECT conv_id AS query_id, turn, conv_id || '_' || turn AS chunk_id, question, text, {e6('similarity')} AS similarity_e6, {e6('similarity')} + {boost} AS score_e6 FROM sim JOIN asked USING (conv_id) JOIN chunks USING (conv_id, turn)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_e6 DESC, turn DESC) AS rank FROM scored) WHERE rank <= {k})"""
+
+
+def _tf(key: str, body: str, source: str, name: str) -> str:
+    grams = " UNION ALL ".join(f"SELECT {key}, unnest(list_transform(range(1, greatest(length(t) - {n} + 2, 1)), lambda i: substr(t, i, {n}))) AS gram FROM {name}t" for n in (1, 2, 3, 4))
+    return f"{name}t AS (SELECT {key}, regexp_replace(lower({body}), '\\s\\s+', ' ', 'g') AS t FROM {source}), {name} AS (SELECT {key}, gram, count(*) AS c FROM ({grams}) GROUP BY ALL)"
+
+
+_TFIDF_SIMILARITY = f"""{_CHUNKS}, {_tf('conv_id, turn', 'body', 'chunks', 'tc')}, {_tf('conv_id', 'question', 'asked', 'tq')},
+idf AS (SELECT conv_id, gram, ln((1 + docs)::DOUBLE / (1 + df)) + 1 AS idf FROM (SELECT conv_id, gram, count(*) AS df FROM tc GROUP BY 1, 2) JOIN (SELECT conv_id, count(*) AS docs FROM chunks GROUP BY 1) USING (conv_id)),
+wc AS (SELECT conv_id, turn, gram, (1 + ln(c::DOUBLE)) * idf AS w FROM tc JOIN idf USING (conv_id, gram)), wq AS (SELECT conv_id, gram, (1 + ln(c::DOUBLE)) * idf AS w FROM tq JOIN idf USING (conv_id, gram)),
+nc AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS l FROM wc GROUP BY 1, 2), nq AS (SELECT conv_id, sqrt(sum(w * w)) AS l FROM wq GROUP BY 1),
+inner_ AS (SELECT c.conv_id, c.turn, sum(q.w * c.w) AS s FROM wq q JOIN wc c ON q.conv_id = c.conv_id AND q.gram = c.gram GROUP BY 1, 2),
+sim AS (SELECT conv_id, turn, coalesce(s / (nq.l * nc.l), 0) AS similarity FROM asked JOIN chunks USING (conv_id) LEFT JOIN inner_ USING (conv_id, turn) LEFT JOIN nq USING (conv_id) LEFT JOIN nc USING (conv_id, turn))"""
+_KEYWORD_SIMILARITY = (
+    _VECTOR_SIMILARITY.replace("'turn ' || turn || ': ' || text AS body", "text AS body").replace("arg_min(text, turn) AS question", "arg_min(turn, turn) AS turn, arg_min(text, turn) AS question").replace("FROM asked JOIN chunks USING (conv_id) LEFT", "FROM (SELECT conv_id FROM asked) JOIN chunks USING (conv_id) LEFT")
+    + ", said AS (SELECT conv_id, turn AS answer_turn, text FROM conversations WHERE role = 'assistant')"
+)
+def _entities() -> str:
+    found = [f"regexp_extract_all(t, {q(K.ENTITY_DATE)})", f"regexp_extract_all(t, {q(K.ENTITY_VERSION)})", *[f"regexp_extract_all(t, {q(x)}, 1)" for x in K.QUOTED], *[f"regexp_extract_all(t, {q(f'[一-鿿A-Za-z0-9]{{2,20}}{x}')})" for x in K.ORG_SUFFIXES]]
+    terms = ", ".join(f"CASE WHEN contains(t, {q(x)}) OR regexp_matches(t, {q(f'(?i)\\b{x}\\b')}) THEN {q(x)} END" for x in K.TECH_TERMS)
+    return f"""SELECT doc_id, array_to_string(list_slice(list_filter(list_transform(range(1, len(z) + 1), lambda i: CASE WHEN list_position(list_transform(z, lambda y: lower(y)), lower(z[i])) = i THEN z[i] END), lambda y: y IS NOT NULL), 1, {K.MAX_ENTITIES}), '|') AS tags
+FROM (SELECT doc_id, list_filter(list_transform(flatten([{', '.join(found)}, list_filter([{terms}], lambda y: y IS NOT NULL)]), lambda y: trim(y)), lambda y: y <> '') AS z FROM (SELECT doc_id, {norm('text')} AS t FROM mdoc))"""
+
+
+_FLAGGED = f"{fixed(512)}, flagged AS (SELECT *, contains(content, '|') AS protected, {n_tokens('content')} AS tokens FROM fixed)"
 _GRID = "grid AS (SELECT * FROM (SELECT unnest([120, 180, 240, 300]) AS min_chars), (SELECT unnest([450, 550, 650, 900]) AS target_chars), (SELECT unnest([800, 1000, 1200, 1400]) AS max_chars), (SELECT unnest([120, 180, 240, 300, 360]) AS heading_flush), (SELECT unnest(['0.45', '0.50', '0.55', '0.60']) AS threshold), (SELECT unnest([0, 1]) AS overlap) WHERE target_chars <= max_chars)"
 
 ORACLE_SQL: dict[str, str] = {
@@ -302,13 +354,48 @@ x AS (SELECT n.query_id, n.vec_id AS chunk_id, n.rank AS cand_rank, {e6(f"0.65::
       FROM near n JOIN documents w ON w.doc_id = n.query_id JOIN documents d ON d.doc_id = n.vec_id)
 SELECT query_id, chunk_id, rank, score_e6 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_e6 DESC, cand_rank) AS rank FROM x) WHERE rank <= 10""",
     "lexical_boost": f"WITH {_TURNS}, x AS (SELECT conv_id, turn, answer_turn, question, text, {_TERMS} AS terms FROM asked JOIN said USING (conv_id)) SELECT conv_id, turn, answer_turn, {e6(f'''CASE WHEN len(terms) > 0 THEN least(0.08::DOUBLE, 0.025::DOUBLE * len(list_filter(terms, lambda t: contains({compact('text')}, t)))) + CASE WHEN {rx('question', K.METRIC_QUERY)} AND {rx('text', K.METRIC)} THEN 0.05::DOUBLE ELSE 0.0 END ELSE 0.0 END''')} AS boost_e6 FROM x",
-    "char_tfidf_norms": f"""WITH g AS ({' UNION ALL '.join(_grams(n) for n in (1, 2, 3))}), c AS (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY 1, 2), f AS (SELECT gram, count(*) AS df FROM c GROUP BY 1),
+    "char_tfidf_norms": f"""WITH g AS ({' UNION ALL '.join(_grams(n) for n in (1, 2, 3, 4))}), c AS (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY 1, 2), f AS (SELECT gram, count(*) AS df FROM c GROUP BY 1),
 w AS (SELECT doc_id, gram, (1 + ln(c::DOUBLE)) * (ln((1 + (SELECT count(*) FROM benchmark))::DOUBLE / (1 + df)) + 1) AS w FROM c JOIN f USING (gram))
 SELECT doc_id, count(*) AS grams, {e6('max(w) / sqrt(sum(w * w))')} AS top_e6 FROM w GROUP BY doc_id""",
+    "cleaned_blocks": f"""WITH {BLOCKS}, c0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY last_raw) AS nth FROM blocks),
+c1 AS (SELECT *, CASE WHEN nth <= 24 AND {cover('text')} THEN 'cover' WHEN {toc('text')} THEN 'toc' WHEN {body_table('text')} AND {flat_table('text')} <> '' THEN 'flat' ELSE 'keep' END AS fate FROM c0)
+SELECT doc_id, raw, CASE WHEN fate = 'flat' THEN 'paragraph' ELSE block_type END AS block_type, CASE WHEN fate = 'flat' THEN {flat_table('text')} ELSE text END AS text, CASE WHEN fate = 'flat' THEN block_type ELSE '' END AS was FROM c1 WHERE fate NOT IN ('cover', 'toc')""",
+    "fixed_statistics": f"""WITH RECURSIVE {_FLAGGED}, s AS (SELECT doc_id, count(*) AS chunk_count, floor(sum(length(content)) * 100 / count(*) + 0.5)::BIGINT AS avg_chars_e2, floor(sum(tokens) * 100 / count(*) + 0.5)::BIGINT AS avg_tokens_e2,
+{e6('count(*) FILTER (length(content) BETWEEN 180 AND 800)::DOUBLE / count(*)')} AS length_hit_e6, {e6('count(*) FILTER (tokens BETWEEN 100 AND 1200)::DOUBLE / count(*)')} AS token_hit_e6,
+count(*) FILTER (length(content) > 800) AS oversized, count(*) FILTER (length(content) < 180) AS undersized, 1000000 AS refs_e6, {e6(f"count(*) FILTER ({boundary('content')})::DOUBLE / count(*)")} AS unbroken_e6,
+coalesce({e6('count(*) FILTER (protected AND length(content) % 7 <> 0)::DOUBLE / nullif(count(*) FILTER (protected), 0)')}, 1000000) AS intact_e6 FROM flagged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(chunk_count, 0) AS chunk_count, coalesce(avg_chars_e2, 0) AS avg_chars_e2, coalesce(avg_tokens_e2, 0) AS avg_tokens_e2, coalesce(length_hit_e6, 0) AS length_hit_e6, coalesce(token_hit_e6, 0) AS token_hit_e6, coalesce(oversized, 0) AS oversized, coalesce(undersized, 0) AS undersized,
+coalesce(refs_e6, 0) AS refs_e6, coalesce(unbroken_e6, 0) AS unbroken_e6, coalesce(intact_e6, 0) AS intact_e6 FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN s USING (doc_id)""",
+    "trigram_vectors": f"WITH RECURSIVE {_CRC}, {_buckets('benchmark', 'item_id', 'text', 'tv')} SELECT item_id, bucket::INT AS bucket, n::INT AS n FROM tv",
+    "store_search": f"WITH RECURSIVE {_VECTOR_SIMILARITY}, {_search(3, _BOOST)} SELECT query_id, rank, chunk_id, similarity_e6, score_e6 FROM best",
+    "tfidf_search": f"WITH {_TFIDF_SIMILARITY}, {_search(3, _BOOST)} SELECT query_id, rank, chunk_id, similarity_e6, score_e6 FROM best",
+    "store_catalogue": "SELECT conv_id AS doc_id, count(*) AS chunk_count, true AS indexed FROM conversations WHERE role = 'assistant' GROUP BY 1 UNION ALL SELECT DISTINCT conv_id, 0, false FROM conversations WHERE role = 'user' AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'assistant')",
+    "answer_prompts": f"""WITH RECURSIVE {_VECTOR_SIMILARITY}, {_search(2, '0')} SELECT query_id, '文档片段：' || chr(10) || string_agg('[' || chunk_id || ']' || chr(10) || left(text, 800), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || '问题：' || any_value(question) || chr(10) || chr(10) || '回答：' AS prompt, '' AS answer FROM best GROUP BY query_id""",
+    "hit_pages": f"WITH RECURSIVE {fixed(512)}, p AS (SELECT doc_id, lo // 2000 AS page, min(nth) AS nth FROM fixed GROUP BY 1, 2) SELECT doc_id, string_agg(page::VARCHAR, ',' ORDER BY nth) AS pages FROM p GROUP BY doc_id",
+    "evaluation_report": f"""WITH RECURSIVE {BY_SIZE}, m AS (SELECT lang AS grp, grouping(lang) AS overall, sum(value) FILTER (strategy = 'fixed_256')::DOUBLE / nullif(count(*) FILTER (strategy = 'fixed_256'), 0) AS a, sum(value) FILTER (strategy = 'fixed_512')::DOUBLE / nullif(count(*) FILTER (strategy = 'fixed_512'), 0) AS b,
+sum(value) FILTER (strategy = 'fixed_1024')::DOUBLE / nullif(count(*) FILTER (strategy = 'fixed_1024'), 0) AS c FROM sized JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang), ())),
+g AS (SELECT *, coalesce(floor((a - b) / nullif(b, 0) * 1000 + 0.5), 0)::BIGINT AS ab, coalesce(floor((b - c) / nullif(c, 0) * 1000 + 0.5), 0)::BIGINT AS bc, coalesce(floor((a - c) / nullif(c, 0) * 1000 + 0.5), 0)::BIGINT AS ac FROM m)
+SELECT grp, 'unbroken' AS metric, overall, {e6('a')} AS main_e6, {e6('b')} AS middle_e6, {e6('c')} AS base_e6, {e6('a')} - {e6('b')} AS over_middle_e6, {e6('a')} - {e6('c')} AS over_base_e6, ab AS semantic_gain, bc AS structure_gain, ac AS total_gain, ac >= 100 AS passed FROM g""",
+    "badcase_previews": f"WITH {RANKED}, m AS ({METRICS}) SELECT m.query_id, recall_5_e6, n.rank, n.vec_id AS chunk_id, left({norm('d.text')}, 120) AS preview FROM m JOIN near n ON n.query_id = m.query_id AND n.rank <= 3 JOIN documents d ON d.doc_id = n.vec_id WHERE recall_5_e6 < 300000",
+    "qa_report": f"SELECT count(*) AS total, count(DISTINCT conv_id) AS documents, {e6('count(*) FILTER (answerable)::DOUBLE / count(*)')} AS answerable_e6, {e6('count(*) FILTER (faithful)::DOUBLE / count(*)')} AS faithful_e6, {e6('count(*) FILTER (answerable AND faithful)::DOUBLE / count(*)')} AS both_e6, count(*) FILTER (answerable) >= 0.9 * count(*) AND count(*) FILTER (faithful) >= 0.9 * count(*) AS passed FROM ({_qa()})",
+    "qa_judged": "SELECT conv_id, turn, CASE WHEN k < 2 THEN n % 11 ELSE 0 END AS answerable_score, CASE WHEN k < 2 THEN n % 9 + 2 ELSE 0 END AS faithful_score, k < 2 AND n % 11 >= 7 AS answerable, k < 2 AND n % 9 + 2 >= 7 AS faithful, CASE WHEN k < 2 THEN role END AS reason, CASE k WHEN 2 THEN 'unreadable answer' WHEN 3 THEN 'no answer' END AS error FROM (SELECT conv_id, turn, role, length(text) AS n, turn % 4 AS k FROM conversations)",
+    "strategies": "SELECT * FROM (VALUES ('segmentation', 'smart', 'headings, meaning, protected blocks, overlap'), ('segmentation', 'heading', 'headings and lengths only'), ('segmentation', 'fixed', '512 characters each'), ('keywords', 'freq', NULL), ('keywords', 'tfidf', NULL)) t(kind, name, description)",
+    "request_checks": """WITH r AS (SELECT o_orderkey AS k, ['.txt', '.MD', '.exe', ''][o_orderkey % 4 + 1] AS suffix, ['', 'TFIDF', 'freq', 'rake'][o_orderkey % 5 % 4 + 1] AS name, o_orderkey % 3 * 100 AS lo, o_orderkey % 7 * 100 AS mid, o_orderkey % 11 * 100 AS hi, o_orderkey % 5 - 1 AS overlap FROM orders)
+SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN lower(suffix) NOT IN ('.txt', '.md') THEN '400: unsupported file type: ' || coalesce(nullif(suffix, ''), 'none') WHEN least(lo, mid, hi) <= 0 OR overlap < 0 THEN '400: lengths must be positive and overlap not negative' WHEN NOT (lo <= mid AND mid <= hi) THEN '400: min_chars <= target_chars <= max_chars does not hold' WHEN name = 'rake' THEN '400: keyword strategies are freq, tfidf' ELSE 'ok' END AS outcome FROM r) GROUP BY outcome""",
+    "all_chunks": f"WITH RECURSIVE {fixed(512)} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS ordinal, hi AS end, source || '.txt' AS file_name, CASE WHEN lang = 'es' THEN 'failed' ELSE 'ready' END AS status FROM fixed JOIN documents USING (doc_id)",
+    "json_columns": "SELECT k, count(*) AS n FROM (SELECT CASE WHEN event_id % 10 < 2 THEN -1 ELSE (props::JSON->>'k')::INT END AS k FROM events) GROUP BY k",
+    "corpus_texts": f"WITH {RAW} SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY raw)) AS digest, length(string_agg(text, chr(10) || chr(10) ORDER BY raw)) AS chars FROM raw GROUP BY doc_id",
+    "entity_tags": f"WITH mdoc AS ({MDOC_DUCK}) {_entities()}",
+    "page_blocks": f"""WITH {RAW.replace('src AS (SELECT doc_id, text FROM mdoc)', "src AS (SELECT conv_id || ':' || (turn + 1) AS doc_id, text FROM conversations)")} SELECT split_part(doc_id, ':', 1) AS doc_id, split_part(doc_id, ':', 2)::INT AS page, format('p{{:04d}}_b{{:04d}}', split_part(doc_id, ':', 2)::INT, raw::INT) AS block_id, text FROM raw WHERE {rx('text', '[\\p{L}\\p{N}_]')}""",
+    "rule_ranges": f"""WITH RECURSIVE b AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda z: {norm('z')}), lambda z: z <> ''), lambda z: length(z)) AS s FROM documents),
+w(doc_id, s, nth, start, i, size) AS (SELECT doc_id, s, 0, 0, 1, s[1] FROM b WHERE len(s) > 0
+UNION ALL SELECT doc_id, s, CASE WHEN size + s[i + 1] + 2 >= 600 THEN nth + 1 ELSE nth END, CASE WHEN size + s[i + 1] + 2 >= 600 THEN i ELSE start END, i + 1, CASE WHEN size + s[i + 1] + 2 >= 600 THEN s[i + 1] ELSE size + s[i + 1] + 2 END FROM w WHERE i < len(s))
+SELECT doc_id, nth, start, max(i) - 1 AS stop FROM w GROUP BY doc_id, nth, start""",
+    "sample_per_doc": f"WITH RECURSIVE {fixed(512)}, x AS (SELECT doc_id, doc_id || '_' || nth AS chunk_id FROM fixed) SELECT * FROM (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42|' || chunk_id), chunk_id) AS nth FROM x) WHERE nth <= 3",
     "semi_anti": "SELECT lang, count(*) AS n, 'labelled' AS side FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY lang UNION ALL SELECT lang, count(*), 'unlabelled' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY lang",
-    "keyword_judge": f"""WITH {_TURNS}, k AS (SELECT conv_id, turn, list_slice(list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda z: z IS NOT NULL), 1, 6) AS kw FROM (SELECT conv_id, turn, regexp_extract_all(lower(question), '[a-z]{{4,}}') AS w FROM asked)),
+    "keyword_judge": f"""WITH RECURSIVE {_KEYWORD_SIMILARITY}, k AS (SELECT conv_id, turn, list_filter(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda z: z IS NOT NULL) AS kw FROM (SELECT conv_id, turn, regexp_extract_all(lower(question), '[a-z]{{4,}}') AS w FROM asked)),
 x AS (SELECT conv_id, turn, answer_turn, text, len(kw) AS n, coalesce(len(list_filter(kw, lambda z: contains({compact('text')}, {compact('z')})))::DOUBLE / nullif(len(kw), 0), 0) AS share FROM k JOIN said USING (conv_id))
-SELECT conv_id, turn, answer_turn, {e6('share')} AS share_e6, share >= 0.34 OR (share > 0 AND {rx('text', K.EVIDENCE)}) AS relevant FROM x""",
+SELECT x.conv_id, x.turn, answer_turn, {e6('share')} AS share_e6, share >= 0.34 OR (share > 0 AND {rx('text', K.EVIDENCE)}) OR similarity >= CASE WHEN n > 0 THEN {max(K.JUDGE_SEMANTIC, K.JUDGE_SEMANTIC_WITH_KEYWORDS)} ELSE {K.JUDGE_SEMANTIC} END AS relevant FROM x JOIN sim ON sim.conv_id = x.conv_id AND sim.turn = answer_turn""",
     "ir_metrics": f"WITH {RANKED} {METRICS}",
     "badcases": f"WITH {RANKED} SELECT query_id, recall_5_e6, mrr_e6 FROM ({METRICS}) WHERE recall_5_e6 < 300000",
     "strategy_comparison": f"WITH RECURSIVE {BY_SIZE} SELECT lang AS grp, strategy, count(*) AS n, sum(value) AS total, grouping(lang) AS overall FROM sized JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang, strategy), (strategy))",

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
 from corpusmill.functions import text as T
-from corpusmill.operators import clean, enrich, evaluate, organize, parse, qa, ranges, retrieve, segment, store
+from corpusmill import settings
+from corpusmill.operators import clean, enrich, evaluate, organize, parse, qa, ranges, reports, retrieve, search, segment, store
 from corpusmill.plans.derived import mdoc, table
 from corpusmill.shipping import ship
+from corpusmill.sources import files
 
 SIZES = (256, 512, 1024)
 
@@ -96,16 +98,36 @@ def fixed_chunk_stats(spark, sf_dir):
 
 
 def smart_chunks(spark, sf_dir):
-    return segment.chunks(parse.title_paths(mdoc(spark, sf_dir)))
+    return segment.segmented(parse.blocks(mdoc(spark, sf_dir)))
+
+
+def smart_chunks_prose(spark, sf_dir):
+    return segment.segmented(parse.blocks(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
 def heading_chunks(spark, sf_dir):
-    return segment.chunks(parse.title_paths(mdoc(spark, sf_dir)), segment.SegmentConfig.headings_only())
+    return segment.segmented(parse.blocks(mdoc(spark, sf_dir)), segment.SegmentConfig.headings_only())
 
 
 def chunk_statistics(spark, sf_dir):
-    x, flag = smart_chunks(spark, sf_dir), lambda f: F.count_if(F.array_contains("quality_flags", f))
-    return x.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.sum("char_count").alias("chars"), flag("oversized").alias("oversized"), flag("undersized").alias("undersized"), F.count_if(F.size("source_ids") > 0).alias("with_refs"))
+    return reports.chunk_statistics(smart_chunks(spark, sf_dir), documents=mdoc(spark, sf_dir))
+
+
+def cleaned_blocks(spark, sf_dir):
+    x = clean.cleaned(parse.blocks(mdoc(spark, sf_dir)))
+    return x.select("doc_id", "raw", "block_type", "text", F.coalesce(F.col("metadata")["original_block_type"], F.lit("")).alias("was"))
+
+
+def _flagged(spark, sf_dir, size: int = 512):
+    """Fixed chunks with the columns that statistics take: each its own reference, flags by length, a type by its words."""
+    n = F.length("content")
+    flags = F.array_compact(F.array(F.when(n > 800, "oversized"), F.when(n < 180, "undersized"), F.when(n % 7 == 0, "Split_part")))
+    kind = F.when(F.contains("content", F.lit("|")), "table").otherwise("normal")
+    return _fixed(spark, sf_dir, size).select("doc_id", "nth", "content", kind.alias("chunk_type"), F.array("hi").alias("source_ids"), flags.alias("quality_flags"))
+
+
+def fixed_statistics(spark, sf_dir):
+    return reports.chunk_statistics(_flagged(spark, sf_dir), segment.SegmentConfig(), _docs(spark, sf_dir))
 
 
 def rule_ranges(spark, sf_dir):
@@ -163,6 +185,119 @@ def trigram_vectors(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(retrieve.trigram_counts(F.col("text"))).alias("c")).select("item_id", "c.bucket", "c.n")
 
 
+def _conversation_chunks(spark, sf_dir):
+    """What the assistant says, by conversation, and the user's first words in each as the question about it."""
+    conv = table(spark, sf_dir, "conversations")
+    said = conv.where("role = 'assistant'")
+    kind = F.when(F.col("text").rlike(K.METRIC), "metric").otherwise("normal")
+    chunks = said.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), F.col("text").alias("content"), kind.alias("chunk_type"), F.array(F.concat(F.lit("turn "), "turn")).alias("title_path"))
+    asked = conv.where("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("q"))
+    return chunks, asked.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("doc_id"), F.col("q.text").alias("question"))
+
+
+def store_search(spark, sf_dir):
+    chunks, asked = _conversation_chunks(spark, sf_dir)
+    return search.Store.of(chunks).search(asked, 3).select("query_id", "rank", "chunk_id", "similarity_e6", "score_e6")
+
+
+def tfidf_search(spark, sf_dir):
+    chunks, asked = _conversation_chunks(spark, sf_dir)
+    return search.Store.of(chunks, "tfidf").search(asked, 3).select("query_id", "rank", "chunk_id", "similarity_e6", "score_e6")
+
+
+def store_catalogue(spark, sf_dir):
+    chunks, asked = _conversation_chunks(spark, sf_dir)
+    held = search.Store.of(chunks)
+    known = held.summary().select("doc_id", "chunk_count", F.lit(True).alias("indexed"))
+    return known.unionByName(held.unknown(asked).select("doc_id", F.lit(0).cast("long").alias("chunk_count"), F.lit(False).alias("indexed")))
+
+
+def answer_prompts(spark, sf_dir):
+    chunks, asked = _conversation_chunks(spark, sf_dir)
+    hits = search.Store.of(chunks, rank="none").search(asked, 2).join(asked.select("query_id", "question"), "query_id")
+    return search.answered(hits.withColumn("title_path", F.array("chunk_id")))
+
+
+def hit_pages(spark, sf_dir):
+    x = _fixed(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("nth", (F.col("lo").cast("int") / 2000).cast("int").alias("page")))).alias("refs"))
+    return x.select("doc_id", F.array_join(search.hit_pages(F.col("refs")), ",").alias("pages"))
+
+
+def evaluation_report(spark, sf_dir):
+    named = F.element_at(F.create_map(*[F.lit(x) for pair in zip((f"fixed_{s}" for s in SIZES), ("smart", "heading", "fixed"), strict=True) for x in pair]), F.col("strategy"))
+    x = _by_size(spark, sf_dir).select(F.col("lang").alias("grp"), named.alias("strategy"), F.lit("unbroken").alias("metric"), "value")
+    return reports.evaluation(x, "smart", "heading", "fixed")
+
+
+def badcase_previews(spark, sf_dir):
+    v, q = _vectors(spark, sf_dir)
+    near = retrieve.nearest(q.select("query_id", "q"), v.select("vec_id", "v"), 5)
+    hits = near.join(_docs(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content")), "vec_id").withColumnRenamed("vec_id", "chunk_id")
+    return reports.bad_cases(ir_metrics(spark, sf_dir), hits).select("query_id", "recall_5_e6", "rank", "chunk_id", "preview")
+
+
+def qa_report(spark, sf_dir):
+    x = qa_quality(spark, sf_dir).select(F.col("conv_id").alias("source_doc"), "answerable", "faithful")
+    return reports.qa_report(x)
+
+
+def qa_judged(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    n = F.length("text")
+    body = F.concat(F.lit('{"answerable_score": '), (n % 11).cast("string"), F.lit(', "faithful_score": '), (n % 9 + 2).cast("string"), F.lit(', "brief_reason": "'), F.col("role"), F.lit('"}'))
+    answer = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("turn") % 4 == 1, body).when(F.col("turn") % 4 == 2, "no JSON").otherwise("")
+    return conv.select("conv_id", "turn", qa.judged(answer).alias("v")).select("conv_id", "turn", "v.*")
+
+
+def strategies(spark, sf_dir):
+    return settings.strategies(spark)
+
+
+def request_checks(spark, sf_dir):
+    """Requests made from orders: what is wrong with each, counted."""
+    o = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".txt", ".MD", ".exe", "")]), (key % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("", "TFIDF", "freq", "rake")]), (key % 5 % 4 + 1).cast("int"))
+    error = settings.request_error(suffix, key % 3 * 100, key % 7 * 100, key % 11 * 100, key % 5 - 1, name, (".txt", ".md"))
+    return o.select(F.coalesce(error, F.lit("ok")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def all_chunks(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id", F.concat("source", F.lit(".txt")).alias("file_name"), F.when(F.col("lang") == "es", "failed").otherwise("ready").alias("status"))
+    chunks = store.with_ordinals(_fixed(spark, sf_dir).select("doc_id", F.col("hi").alias("end"), "nth"), "nth")
+    return store.all_chunks(docs, chunks).select("doc_id", "ordinal", "end", "file_name", "status")
+
+
+def json_columns(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("props", F.when(F.col("event_id") % 10 == 0, "{broken").when(F.col("event_id") % 10 == 1, F.lit(None)).otherwise(F.col("props")))
+    x = store.json_decoded(e, "props", "k int", F.struct(F.lit(-1).alias("k")))
+    return x.groupBy(F.col("props.k").alias("k")).agg(F.count("*").alias("n"))
+
+
+def corpus_texts(spark, sf_dir):
+    x = parse.raw_blocks(mdoc(spark, sf_dir)).groupBy("doc_id").agg(F.expr("listagg(text, '\n\n') WITHIN GROUP (ORDER BY raw)").alias("t"))
+    return x.select("doc_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").alias("chars"))
+
+
+def range_records(spark, sf_dir):
+    blocks = parse.raw_blocks(mdoc(spark, sf_dir)).select("doc_id", F.col("raw").alias("i"), F.concat(F.lit("b"), "raw").alias("block_id"), "text")
+    spans = blocks.where("i % 4 = 0").select("doc_id", (F.col("i") / 4).cast("int").alias("nth"), F.col("i").alias("start"), (F.col("i") + 3).alias("stop"), F.when(F.col("i") % 8 == 0, F.concat(F.lit("part "), "i")).alias("title"), F.lit("rule").alias("reason"))
+    return ranges.records(blocks, spans, 120)
+
+
+def page_blocks(spark, sf_dir):
+    """The turns of conversations as pages."""
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), "text")
+    return files.page_blocks(pages).select("doc_id", "page", "block_id", "text")
+
+
+def organised(spark, sf_dir):
+    ship(spark)
+    x = _fixed(spark, sf_dir, 1024).select(F.concat_ws("_", "doc_id", "nth").alias("chunk_id"), "doc_id", "nth", "content")
+    return organize.organized(x).select("chunk_id", F.array_join("tags", "|").alias("tags"), F.size("entities").alias("n_entities"), F.length("summary").alias("summary_chars"), "source")
+
+
 def token_cosine(spark, sf_dir):
     ship(spark)
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -191,7 +326,8 @@ def hybrid_topk(spark, sf_dir):
 
 def lexical_boost(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
-    questions = conv.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    # One question a conversation: all questions with all answers would grow with the square of its turns.
+    questions = conv.where("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("q")).select("conv_id", "q.turn", F.col("q.text").alias("question"))
     answers = conv.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answer_turn"), "text")
     x = questions.join(answers, "conv_id")
     kind = F.when(F.col("text").rlike(K.METRIC), "metric").otherwise("normal")
@@ -199,7 +335,7 @@ def lexical_boost(spark, sf_dir):
 
 
 def char_tfidf_norms(spark, sf_dir):
-    x = retrieve.char_tfidf(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 1, 3)
+    x = retrieve.char_tfidf(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 1, 4)
     return x.groupBy("doc_id").agg(F.count("*").alias("grams"), T.e6(F.max("w")).alias("top_e6"))
 
 
@@ -212,11 +348,13 @@ def semi_anti(spark, sf_dir):
 
 def keyword_judge(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations")
-    asked = conv.where("role = 'user'").select("conv_id", "turn", F.slice(F.array_distinct(T.find_all(F.lower("text"), "[a-z]{4,}")), 1, 6).alias("keywords"))
+    asked = conv.where("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("q"))
+    asked = asked.select("conv_id", "q.turn", F.col("q.text").alias("question"), F.array_distinct(T.find_all(F.lower("q.text"), "[a-z]{4,}")).alias("keywords"))
     said = conv.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answer_turn"), "text")
-    x = asked.join(said, "conv_id")
+    similarity = search.sparse_cosine(retrieve.trigram_counts(F.col("question")), retrieve.trigram_counts(F.col("text")))
+    x = asked.join(said, "conv_id").withColumn("similarity", similarity)
     share = evaluate.keyword_share(F.col("keywords"), F.col("text"))
-    return x.select("conv_id", "turn", "answer_turn", T.e6(share).alias("share_e6"), evaluate.is_relevant(F.col("keywords"), F.col("text"), F.lit(0.0)).alias("relevant"))
+    return x.select("conv_id", "turn", "answer_turn", T.e6(share).alias("share_e6"), evaluate.is_relevant(F.col("keywords"), F.col("text"), F.col("similarity")).alias("relevant"))
 
 
 def _ranked(spark, sf_dir):
@@ -236,16 +374,14 @@ def badcases(spark, sf_dir):
 
 
 def _by_size(spark, sf_dir):
-    out = None
-    for size in SIZES:
-        x = _fixed(spark, sf_dir, size).groupBy("doc_id").agg(F.count_if(T.ends_at_boundary(F.col("content")) | F.col("content").rlike(r"[.!?]$")).alias("value")).withColumn("strategy", F.lit(f"fixed_{size}"))
-        out = x if out is None else out.unionByName(x)
-    return out
+    """How many chunks of each document end well, for each size; all sizes are cut in one pass."""
+    x = segment.fixed_chunks_of(_docs(spark, sf_dir), SIZES, "lang")
+    ends_well = T.ends_at_boundary(F.col("content")) | F.col("content").rlike(r"[.!?]$")
+    return x.groupBy("doc_id", "lang", F.concat(F.lit("fixed_"), "size").alias("strategy")).agg(F.count_if(ends_well).alias("value"))
 
 
 def strategy_comparison(spark, sf_dir):
-    x = _by_size(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", F.col("lang").alias("grp")), "doc_id")
-    return evaluate.strategy_summary(x.select("grp", "strategy", "value"))
+    return evaluate.strategy_summary(_by_size(spark, sf_dir).select(F.col("lang").alias("grp"), "strategy", "value"))
 
 
 def strategy_winners(spark, sf_dir):
@@ -324,5 +460,6 @@ QUERIES = {f.__name__: f for f in (
     metric_text, fixed_chunks, fixed_chunk_stats, smart_chunks, heading_chunks, chunk_statistics, rule_ranges, lead_summary, entity_tags, typed_entities,
     keywords_freq, keywords_tfidf, tags, extractive_summary, document_summary, backlinks, retrieval_text, trigram_vectors, token_cosine, vector_topk,
     hybrid_topk, lexical_boost, char_tfidf_norms, semi_anti, keyword_judge, ir_metrics, badcases, strategy_comparison, strategy_winners, grid_search,
-    human_rates, sample_per_doc, qa_quality, qa_worthy, qa_json, doc_id_sanitise, ingest_idempotent, overlap_penalty, vector_records, table_rules,
+    smart_chunks_prose, cleaned_blocks, fixed_statistics, store_search, tfidf_search, store_catalogue, answer_prompts, hit_pages, evaluation_report, badcase_previews,
+    qa_report, qa_judged, strategies, request_checks, all_chunks, json_columns, corpus_texts, range_records, page_blocks, organised, human_rates, sample_per_doc, qa_quality, qa_worthy, qa_json, doc_id_sanitise, ingest_idempotent, overlap_penalty, vector_records, table_rules,
 )}

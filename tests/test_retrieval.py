@@ -120,10 +120,10 @@ def test_incremental_ingest(spark, tmp_path, changed):
     spark.createDataFrame([("a", "# T\nsome words"), ("b", "other text"), ("e", "")], schema).coalesce(1).write.parquet(source)
     run = lambda: ingest_stream(spark.readStream.schema(schema).parquet(source), docs, chunks, f"{tmp_path}/cp").awaitTermination()
     run()
-    before = {r["chunk_id"]: r["content"] for r in spark.read.schema(CHUNKS).parquet(chunks).collect()}
+    before = {r["chunk_id"]: r["content"] for r in store.read_table(spark, chunks, CHUNKS).collect()}
     assert set(before) == {"a_chunk_0001", "b_chunk_0001"}
     spark.createDataFrame([("b", "new text" if changed else "other text")], schema).coalesce(1).write.mode("append").parquet(source)
     run()
-    after = {r["chunk_id"]: r["content"] for r in spark.read.schema(CHUNKS).parquet(chunks).collect()}
+    after = {r["chunk_id"]: r["content"] for r in store.read_table(spark, chunks, CHUNKS).collect()}
     assert after == before | ({"b_chunk_0001": "new text"} if changed else {})
-    assert {(r["doc_id"], r["status"], r["chunk_count"]) for r in spark.read.schema(DOCS).parquet(docs).collect()} == {("a", "ready", 1), ("b", "ready", 1), ("e", "ready", 0)}
+    assert {(r["doc_id"], r["status"], r["chunk_count"]) for r in store.read_table(spark, docs, DOCS).collect()} == {("a", "ready", 1), ("b", "ready", 1), ("e", "ready", 0)}
