@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe_stream, bwt_merge, decontam, ngram_join, ppm
-from corpusmill.llm.lineage import written
+from corpusmill.llm.lineage import dropped, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,9 +31,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """The rows with a `place` of their own, in order of ids (null ids last) and other columns; written out, as places must stand."""
+    """The rows with a `place` of their own, in order of ids (null ids last) and other columns.
+
+    Where every row has an id of its own, that is the place. Else rows are sorted and written out, as places must stand.
+    """
     first, *others = COLUMNS
-    return written(docs.select(*COLUMNS).orderBy(F.col(first).asc_nulls_last(), *others).withColumn("place", F.monotonically_increasing_id()))
+    rows = docs.select(*COLUMNS)
+    if rows.groupBy(first).count().where(F.col(first).isNull() | (F.col("count") > 1)).isEmpty():
+        return rows.withColumn("place", F.col(first).cast("long"))
+    return written(rows.orderBy(F.col(first).asc_nulls_last(), *others).withColumn("place", F.monotonically_increasing_id()))
+
+
+#: Places that are sent to all tasks, 8 bytes each; more are met by a join that deals out texts.
+FEW_PLACES = 500_000
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +54,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     words = F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
     rows = placed(docs.where(words))
     groups = ngram_join.similar_groups(rows, ngram_join.Join(words=5, num=80, den=100), "place")
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("place"))
-    return rows.join(kept, "place", "left_semi").select(*COLUMNS).unionByName(docs.where(~words).select(*COLUMNS).distinct())
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("place"))
+    if gone.count() <= FEW_PLACES:
+        gone = F.broadcast(gone)
+    return rows.join(gone, "place", "left_anti").select(*COLUMNS).unionByName(docs.where(~words).select(*COLUMNS).distinct())
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,5 +92,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
