@@ -53,8 +53,24 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
+_held: dict[tuple, object] = {}
+_wanted: set[tuple] = set()
+
+
+def held_in_worker(key: tuple, build: Callable):
+    """What `build` gives, kept in this worker for as long as its tasks ask for it: what a task does not ask for goes at
+    its end, so that workers that live on do not gather what earlier operators needed."""
+    _wanted.add(key)
+    if key not in _held:
+        _held[key] = build()
+    return _held[key]
+
+
 def released() -> None:
     """Gives memory that a task no longer uses back to the machine: workers live on between tasks."""
+    for key in set(_held) - _wanted:
+        del _held[key]
+    _wanted.clear()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)

@@ -13,9 +13,11 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusmill.llm.batches import flat_utf8, keyed_text, map_batches
-from corpusmill.llm.vocab import Memo, Vocabulary, piece_utf8, pieces, read_vocabulary, vocabulary
+from corpusmill.llm.batches import flat_utf8, held_in_worker, keyed_text, map_batches
+from corpusmill.llm.vocab import Memo, Vocabulary, piece_utf8, pieces_by, read_vocabulary, vocabulary
 
+#: Pieces of a text that are counted at a time.
+PIECES_STEP = 1 << 14
 COUNT_SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -57,16 +59,12 @@ class Counter:
     def count(self, text: str) -> int:
         total = 0
         for k, part in enumerate(self.vocab.segments(text)):
-            total += 1 if k % 2 else sum(map(self.memo.__getitem__, pieces(part)))
+            total += 1 if k % 2 else sum(sum(map(self.memo.__getitem__, some)) for some in pieces_by(part, PIECES_STEP))
         return total
 
 
-_counters: dict[int, Counter] = {}
-
-
 def _counter(data: bytes) -> Counter:
-    vocab = vocabulary(data)
-    return _counters.setdefault(id(vocab), Counter(vocab))
+    return held_in_worker(("counter", len(data), hash(data)), lambda: Counter(vocabulary(data)))
 
 
 def token_counts(df: DataFrame, vocab_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

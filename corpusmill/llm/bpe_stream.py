@@ -5,7 +5,11 @@ sides grew, and a sequence is the tokenization of its bytes iff all its neighbou
 comes after those that make its parts). So each prefix of a piece has exactly one last token that fits the last token of
 what stands before it; `Transducer` keeps that token for the last few places only. As a token has at most `longest`
 bytes, any later token starts at one of the last `longest` places: what all of them share on the way back is stable and
-is emitted, and places before it are forgotten. `sufficient_lookahead` bounds how many bytes can be pending.
+is emitted, and places before it are forgotten. `sufficient_lookahead` bounds how far back a byte can change a token: what
+ends further back is emitted even if the ways have not met, so that never more is pending, whatever the piece.
+
+Texts go through in portions of pieces, pieces in portions of bytes, and ids at once into the digest and the decoder, so
+the memory for one text does not grow with it, but for the text itself.
 
 Decoding. `Decoder` turns ids to bytes and bytes to text in steps, holding back only an unfinished UTF-8 sequence
 (three bytes at most); broken sequences become U+FFFD as in the tokenizers' own decoders.
@@ -22,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusmill.llm.batches import keyed_text, map_batches
-from corpusmill.llm.vocab import Memo, Vocabulary, piece_utf8, pieces, read_vocabulary, vocabulary
+from corpusmill.llm.batches import held_in_worker, keyed_text, map_batches
+from corpusmill.llm.vocab import Memo, Vocabulary, piece_utf8, pieces_by, read_vocabulary, vocabulary
 
 BPE_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -100,7 +104,8 @@ class Transducer:
     """Takes the bytes of one piece in any portions and emits its tokens as they become stable."""
 
     def __init__(self, vocab: Vocabulary, borders: Borders, lookahead: int | None = None) -> None:
-        self.vocab, self.borders, self.lookahead = vocab, borders, lookahead
+        self.vocab, self.borders = vocab, borders
+        self.lookahead = sufficient_lookahead(vocab) if lookahead is None else lookahead
         self.reset()
 
     def reset(self) -> None:
@@ -164,6 +169,10 @@ class Transducer:
             live.discard(top)
             live.add(top - len(strings[lasts[top]]))
         shared = live.pop()
+        if len(self.lasts) - 1 - shared > self.lookahead + self.vocab.longest:  # the bound decides, as they meet too far back
+            shared, least = len(self.lasts) - 1, len(self.lasts) - 1 - self.lookahead
+            while shared > least:
+                shared -= len(strings[lasts[shared]])
         if shared <= 0:
             return []
         out = self._back(shared)
@@ -197,8 +206,12 @@ class Decoder:
         return self.machine.decode(b"", final=True)
 
 
+#: Bytes of a piece, pieces of a text and ids that are taken at a time.
+PIECE_STEP, PIECES_STEP, DECODE_STEP = 1 << 14, 1 << 14, 1 << 16
+
+
 class Encoder:
-    """Whole texts to ids (uint32 bytes), piece by piece through one transducer with a bounded memo of short pieces."""
+    """Texts to ids (uint32 bytes), piece by piece through one transducer with a bounded memo of short pieces."""
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
@@ -206,26 +219,33 @@ class Encoder:
         self.memo = Memo(self._piece)
 
     def _piece(self, piece: bytes | str) -> bytes:
-        out = self.transducer.feed(piece_utf8(piece)) + self.transducer.finish()
-        return pack(f"<{len(out)}I", *out)
-
-    def encode(self, text: str) -> bytes:
-        out = []
+        return b"".join(self._portions(piece))
+
+    def _portions(self, piece: bytes | str) -> Iterator[bytes]:
+        data = piece_utf8(piece)
+        for at in range(0, len(data), PIECE_STEP):
+            out = self.transducer.feed(data[at : at + PIECE_STEP])
+            yield pack(f"<{len(out)}I", *out)
+        out = self.transducer.finish()
+        yield pack(f"<{len(out)}I", *out)
+
+    def encode(self, text: str) -> Iterator[bytes]:
+        """The ids in portions."""
         for k, part in enumerate(self.vocab.segments(text)):
-            out.append(pack("<I", self.vocab.special[part]) if k % 2 else b"".join(map(self.memo.__getitem__, pieces(part))))
-        return b"".join(out)
-
-
-_encoders: dict[int, Encoder] = {}
+            if k % 2:
+                yield pack("<I", self.vocab.special[part])
+                continue
+            for some in pieces_by(part, PIECES_STEP):
+                if max(map(len, some), default=0) <= PIECE_STEP:
+                    yield b"".join(map(self.memo.__getitem__, some))
+                else:
+                    for piece in some:
+                        yield from self._portions(piece)
 
 
 def encoder(data: bytes) -> Encoder:
-    vocab = vocabulary(data)
-    return _encoders.setdefault(id(vocab), Encoder(vocab))
-
-
-#: Ids that the decoder takes at a time.
-DECODE_STEP = 1 << 16
+    """One in each Python worker, until the worker does something else."""
+    return held_in_worker(("encoder", len(data), hash(data)), lambda: Encoder(vocabulary(data)))
 
 
 def decode_ids(vocab: Vocabulary, ids: np.ndarray) -> Iterator[str]:
@@ -239,7 +259,8 @@ def encode_decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
     """Token count, digest of the ids and digest of the text decoded from them, for each row; the ids if wanted.
 
     Null and empty texts have no tokens and the digests of nothing; repeated rows are repeated; strings of special
-    tokens become their ids. A map without shuffles; a task holds one Arrow batch and bounded memos.
+    tokens become their ids. A map without shuffles; a task holds one Arrow batch, bounded memos and, of a piece, what the
+    lookahead lets be pending.
     """
     data = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocab_path))
 
@@ -247,16 +268,18 @@ def encode_decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
         enc = encoder(data.value)
         counts, ids_sha, text_sha, all_ids = [], [], [], []
         for text in batch.column(1).to_pylist():
-            packed = enc.encode(text or "")
-            ids = np.frombuffer(packed, "<u4")
-            counts.append(len(ids))
-            ids_sha.append(hashlib.sha256(packed).hexdigest())
-            digest = hashlib.sha256()
-            for part in decode_ids(enc.vocab, ids):
-                digest.update(part.encode())
-            text_sha.append(digest.hexdigest())
-            if keep_ids:
-                all_ids.append(packed)
+            n, of_ids, of_text, machine, kept = 0, hashlib.sha256(), hashlib.sha256(), Decoder(enc.vocab), []
+            for packed in enc.encode(text or ""):
+                n += len(packed) // 4
+                of_ids.update(packed)
+                of_text.update(machine.feed(np.frombuffer(packed, "<u4").astype(np.int64)).encode())
+                if keep_ids:
+                    kept.append(packed)
+            of_text.update(machine.finish().encode())
+            counts.append(n)
+            ids_sha.append(of_ids.hexdigest())
+            text_sha.append(of_text.hexdigest())
+            all_ids.append(b"".join(kept))
         yield {"doc_id": batch.column(0), "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": text_sha} | ({"ids": all_ids} if keep_ids else {})
 
     return map_batches(keyed_text(df, id_col, text_col), run, BPE_SCHEMA + (", ids binary" if keep_ids else ""))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import regex
 
+from corpusmill.llm.batches import held_in_worker
+
 #: The split before the merges, as the byte-level tokenizers define it; white space is Unicode's property.
 _WS = r"\t-\r \x85\xa0  -     　"
 #: The alternatives that start differently stand in the order of their frequency.
@@ -29,6 +31,16 @@ def pieces(text: str) -> list[bytes] | list[str]:
         return _ANY.findall(text)
 
 
+def pieces_by(text: str, n: int) -> Iterator[list[bytes] | list[str]]:
+    """The same pieces, at most `n` at a time of a long text."""
+    if len(text) <= 4 * n:
+        yield pieces(text)
+        return
+    found = _LATIN.finditer(text.encode("latin-1")) if max(text) <= "\xff" else _ANY.finditer(text)
+    while some := [m.group() for m in islice(found, n)]:
+        yield some
+
+
 def piece_utf8(piece: bytes | str) -> bytes:
     return piece.decode("latin-1").encode() if isinstance(piece, bytes) else piece.encode()
 
@@ -80,27 +92,9 @@ class Vocabulary:
         return self._special_split.split(text)
 
 
-@lru_cache(maxsize=4)
-def _parsed(digest: str, holder: _Bytes) -> Vocabulary:
-    return Vocabulary(holder.data)
-
-
-class _Bytes:
-    """Compares equal to all, so that the digest alone is the cache's key."""
-
-    def __init__(self, data: bytes) -> None:
-        self.data = data
-
-    def __hash__(self) -> int:
-        return 0
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Bytes)
-
-
 def vocabulary(data: bytes) -> Vocabulary:
-    """Parsed once in each Python worker."""
-    return _parsed(hashlib.sha256(data).hexdigest(), _Bytes(data))
+    """Parsed once in each Python worker, until the worker does something else."""
+    return held_in_worker(("vocabulary", len(data), hash(data)), lambda: Vocabulary(data))
 
 
 def read_vocabulary(path: str) -> bytes:

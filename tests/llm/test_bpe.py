@@ -71,3 +71,40 @@ def test_memo_is_bounded():
     m = Memo(len, limit=10)
     assert [m["x" * (i % 50)] for i in range(500)] == [i % 50 for i in range(500)]
     assert len(m) <= 10 and len(m.older) <= 10
+
+
+def test_the_lookahead_bounds_what_is_pending(vocab):
+    """With the bound as it is, tokens are right and never more bytes are pending, whether or not the ways meet."""
+    bound = sufficient_lookahead(vocab)
+    for data in (b"ab" * 40_000, b"a" * 70_000, "é".encode() * 30_000, b"abcdefgh" * 9_000):
+        t, out, held = Transducer(vocab, Borders(vocab)), [], 0
+        for at in range(0, len(data), 4096):
+            out += t.feed(data[at : at + 4096])
+            held = max(held, len(t.tail))
+        out += t.finish()
+        assert held <= bound + 5 * vocab.longest
+        assert b"".join(vocab.strings[i] for i in out) == data
+        assert len(out) == merged_count(vocab, data)
+
+
+def test_a_forced_lookahead_gives_the_same_tokens(vocab):
+    """Where the bound decides (here a small one that suffices for these bytes), tokens stay the same."""
+    rng = random.Random(4)
+    for _ in range(20):
+        data = bytes(rng.choice(b"ethaonis") for _ in range(5000))
+        small, whole = Transducer(vocab, Borders(vocab), lookahead=400), Transducer(vocab, Borders(vocab))
+        got = small.feed(data) + small.finish()
+        assert got == whole.feed(data) + whole.finish() and len(got) == merged_count(vocab, data)
+
+
+def test_a_text_of_many_megabytes(spark):
+    """One long text with a giant piece: the digests are those of the whole, and ids are never gathered."""
+    part = "The quick brown fox, 12345 times; " * 60_000
+    text = part + "x" * 300_000 + " end"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (ids,) = expected([text])
+    (r,) = encode_decode(df, PATH).collect()
+    assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    (c,) = token_counts(df, PATH).collect()
+    assert c["n_tokens"] == len(ids)
