@@ -45,6 +45,8 @@ def read_netpbm(data: bytes) -> np.ndarray:
     depth = 3 if kind in (b"P3", b"P6") else 1
     if not 0 < top < 65536:
         raise MediaError("bad sample range")
+    if not width or not height:
+        raise MediaError("no samples")
     n = width * height * depth
     dtype = np.dtype(np.uint8 if top < 256 else ">u2")
     if plain:
@@ -71,19 +73,23 @@ def netpbm_bytes(image: np.ndarray) -> bytes:
 
 
 def read_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits a pixel; grey palettes give height x width, others x 3 (RGB)."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits a pixel, with bit-field masks too; grey palettes give height x width, others x 3 (RGB)."""
     if data[:2] != b"BM" or len(data) < 54:
         raise MediaError("not a BMP file")
     start, size, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
     used = struct.unpack_from("<I", data, 46)[0]
     flip, height = height > 0, abs(height)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0:
+    if packing not in (0, 3) or bits not in (1, 4, 8, 16, 24, 32) or width <= 0 or not height or (packing == 3 and bits not in (16, 32)):
         raise MediaError("unsupported BMP")
     stride = (width * bits + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, offset=start)[: stride * height]
     if len(raw) < stride * height:
         raise MediaError("too few samples")
     rows = raw.reshape(height, stride)[:: -1 if flip else 1]
+    if bits == 16 or packing == 3:
+        cells = np.ascontiguousarray(rows[:, : width * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.uint32)
+        masks = struct.unpack_from("<III", data, 54) if packing == 3 else (0x7C00, 0x3E0, 0x1F)
+        return np.stack([_masked(cells, m) for m in masks], axis=2)
     if bits >= 24:
         return np.ascontiguousarray(rows[:, : width * bits // 8].reshape(height, width, bits // 8)[:, :, 2::-1])
     if bits < 8:
@@ -92,11 +98,21 @@ def read_bmp(data: bytes) -> np.ndarray:
         rows = cells
     index = rows[:, :width]
     table = np.frombuffer(data, np.uint8, count=4 * (used or 1 << bits), offset=14 + size).reshape(-1, 4)[:, 2::-1]
+    if len(table) <= int(index.max(initial=0)):
+        raise MediaError("a palette index beyond the palette")
     if (table == table[:, :1]).all():
         return np.ascontiguousarray(table[:, 0])[index]
     return table[index]
 
 
+def _masked(cells: np.ndarray, mask: int) -> np.ndarray:
+    """A colour's bits as 0 to 255."""
+    if not mask:
+        return np.zeros(cells.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    return np.rint(((cells & np.uint32(mask)) >> np.uint32(low)) * (255.0 / (mask >> low))).astype(np.uint8)
+
+
 def bmp_bytes(image: np.ndarray) -> bytes:
     """8-bit grey or 24-bit colour BMP, rows bottom-up."""
     height, width = image.shape[:2]
@@ -168,11 +184,26 @@ def payload_of(text: bytes) -> bytes:
     return text + bytes(-len(text) % ROW_SAMPLES or (0 if text else ROW_SAMPLES))
 
 
-MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def stored_tiles(image: np.ndarray, rows: int) -> bytes:
+    """The image's NPY tiles of `rows` rows, one after another."""
+    return b"".join(npy_bytes(part) for _, _, part in tiles(image, rows, image.shape[1]))
+
+
+def image_of_tiles(stored: bytes) -> np.ndarray:
+    """Such tiles read back and put together."""
+    source, parts = io.BytesIO(stored), []
+    while source.tell() < len(stored):
+        parts.append(np.lib.format.read_array(source, allow_pickle=False))
+    return np.concatenate(parts)
+
+
+#: Rows of a payload image's tile.
+TILE_ROWS = 1024
+MEDIA_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles int"
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as an 8-bit image, stored as NPY, read back, with its digests and difference hash.
+    """Each text as an 8-bit image, stored as NPY tiles, read back, with its digests and difference hash.
 
     One row for each input row, repeated rows included; a null or empty text is one row of 64 zero samples. Equal
     texts give equal values. Nothing is shuffled; a task holds one Arrow batch and one image.
@@ -185,8 +216,8 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
             payload = payload_of(whole[a:b])
             image = decode_image(netpbm_bytes(np.frombuffer(payload, np.uint8).reshape(-1, ROW_SAMPLES)))
-            stored = npy_bytes(image)
-            back = npy_array(stored)
+            stored = stored_tiles(image, TILE_ROWS)
+            back = image_of_tiles(stored)
             samples = back.tobytes()
             out["n_bytes"].append(b - a)
             out["payload_bytes"].append(len(samples))
@@ -195,6 +226,7 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             out["media_bytes"].append(len(stored))
             out["media_sha256"].append(hashlib.sha256(stored).hexdigest())
             out["feature"].append(difference_hash(back))
+            out["n_tiles"].append(-(-len(back) // TILE_ROWS))
         yield {"doc_id": batch.column(0), **out}
 
     return map_batches(keyed_text(df, id_col, text_col), run, MEDIA_SCHEMA)
@@ -219,9 +251,9 @@ def media_tiles(df: DataFrame, id_col: str, data_col: str, tile: int = 256, resi
                     raise MediaError("no data")
                 image = decode_image(data)
                 if resize:
-                    image = np.clip(np.rint(area_resize(image, *resize)), 0, 255).astype(np.uint8)
+                    image = np.clip(np.rint(area_resize(image, *resize)), 0, np.iinfo(image.dtype).max).astype(image.dtype)
                 rows += [(key, y, x, *part.shape[:2], difference_hash(part), npy_bytes(part), None) for y, x, part in tiles(image, tile, tile)]
-            except (MediaError, ValueError, struct.error) as e:
+            except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as e:  # MediaError too
                 rows = [(key, None, None, None, None, None, None, str(e))]
             if rows:
                 yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))

@@ -1,6 +1,7 @@
 """Image readers, area resizing and the text media query."""
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -57,7 +58,8 @@ def test_text_media(spark):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(data), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-64:])
-        stored = media.npy_bytes(np.frombuffer(payload, np.uint8).reshape(-1, 64))
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        stored = b"".join(media.npy_bytes(image[i : i + media.TILE_ROWS]) for i in range(0, len(image), media.TILE_ROWS))
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
     assert media.text_media(df.limit(0)).count() == 0
 
@@ -72,3 +74,30 @@ def test_tiles(spark):
             y, x = r["tile_row"] * 8, r["tile_col"] * 8
             whole[y : y + r["height"], x : x + r["width"]] = media.npy_array(r["npy"])
     assert (whole == image).all() and [r["media_id"] for r in got if r["error"]] == [2, 3]
+
+
+def bmp(width, height, bits, packing, body, table=b"", used=0, masks=b""):
+    start = 54 + len(masks) + len(table)
+    return struct.pack("<2sIHHIIiiHHIIiiII", b"BM", start + len(body), 0, 0, start, 40, width, height, 1, bits, packing, len(body), 0, 0, used, 0) + masks + table + body
+
+
+def test_bit_fields_and_broken_palettes():
+    masks = struct.pack("<III", 0xF800, 0x7E0, 0x1F)
+    assert media.read_bmp(bmp(2, 1, 16, 3, struct.pack("<HH", 0xF800, 0x001F), masks=masks)).tolist() == [[[255, 0, 0], [0, 0, 255]]]
+    assert media.read_bmp(bmp(1, 1, 32, 3, struct.pack("<I", 0x00FF8000), masks=struct.pack("<III", 0xFF0000, 0xFF00, 0xFF))).tolist() == [[[255, 128, 0]]]
+    with pytest.raises(media.MediaError):
+        media.read_bmp(bmp(1, 1, 8, 0, b"\x09\0\0\0", bytes(8), used=2))
+
+
+def test_one_bad_file_is_one_row(spark):
+    files = [(1, b"P5\n0 0\n255\n"), (2, bmp(1, 1, 8, 0, b"\x09\0\0\0", bytes(8), used=2)), (3, b"BM"), (4, b"P5 2 2 65535\n" + struct.pack(">4H", 1000, 2000, 40000, 65535)), (5, None), (6, b"")]
+    df = spark.createDataFrame(files, "id long, data binary")
+    got = {r["media_id"]: r for r in media.media_tiles(df, "id", "data", resize=(1, 2)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6] and [i for i in got if got[i]["error"] is None] == [4]
+    assert media.npy_array(got[4]["npy"]).tolist() == [[(1000 + 40000) // 2, (2000 + 65535 + 1) // 2]]
+
+
+def test_a_text_of_many_tiles(spark):
+    text = "0123456789abcdef" * 40_000
+    (r,) = media.text_media(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert r["n_tiles"] == -(-len(text) // 64 // media.TILE_ROWS) and r["payload_sha256"] == hashlib.sha256(text.encode()).hexdigest()
