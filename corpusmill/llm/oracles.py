@@ -27,4 +27,16 @@ SELECT d.doc_id, len(d.w) AS n_words, count(*) FILTER (gone) AS n_removed, sha25
 FROM d LEFT JOIN z USING (doc_id) GROUP BY d.doc_id, len(d.w)
 """
 
-ORACLE_SQL = {"op3_ngram_jaccard_join": OP3, "op5_substring_dedup": OP5}
+OP8 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM k) WHERE nth > 1),
+u AS (SELECT doc_id, unnest(range(0, length(h) // 2)) AS i FROM d),
+v AS (SELECT u.doc_id, u.i, max(g.i) OVER (PARTITION BY u.doc_id ORDER BY u.i) AS last FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.i = u.i),
+z AS (SELECT doc_id, i, coalesce(i - last < 100, false) AS gone FROM v),
+r AS (SELECT doc_id, i, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM z),
+s AS (SELECT r.doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(substr(h, 2 * i + 1, 2), '' ORDER BY i) FILTER (NOT gone) AS kept FROM r JOIN d USING (doc_id) GROUP BY r.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""
+
+ORACLE_SQL = {"op3_ngram_jaccard_join": OP3, "op5_substring_dedup": OP5, "op8_suffix_array_dedup": OP8}

@@ -12,6 +12,9 @@ span, so each window is in one context only.
    finds which of their windows are repeats. Grams with very many classes are split by whole windows instead.
 4. Covered ranges meet their text again, once.
 
+Equality of contexts is told by a hash of 61 bits modulo a prime under a random base (and their gram's 64 bits, modulo
+2**64), so no texts can be built that collide; grams themselves only deal out work.
+
 Rows with equal id and equal text are one document. Null ids stand last. Whole texts take part; nothing is capped.
 """
 
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.batches import flat_utf8, map_batches, map_stream, slices
-from corpusmill.llm.hashing import BASES, BYTE_VALUE, in_one_text, mix, powers, prefix_sums, signed, span_hashes, word_hashes, word_spans
+from corpusmill.llm.hashing import BASES, BYTE_VALUE, PrimeSums, in_one_text, mix, powers, prefix_sums, signed, span_hashes, word_hashes, word_spans
 from corpusmill.llm.lineage import written
 
 PLACE_MASK = np.uint64((1 << 28) - 1)
@@ -79,6 +82,8 @@ def anchors_of(flat: np.ndarray, offs: np.ndarray, spec: Spec) -> dict[str, np.n
     """Anchors of a slice: row, place in its text, gram, context, and the context's reach to the left and right."""
     values, first = _units(flat, offs, spec)
     window, k = spec.window, spec.gram
+    if len(values) > int(PLACE_MASK):
+        raise ValueError(f"a text of more than {int(PLACE_MASK)} units")
     none = {n: np.zeros(0, np.int64) for n in ("row", "pos", "gram", "ctx", "l", "r")}
     if len(values) < window:
         return none
@@ -94,7 +99,7 @@ def anchors_of(flat: np.ndarray, offs: np.ndarray, spec: Spec) -> dict[str, np.n
     at, low, high = at[new], begin[new], begin[np.r_[new[1:] - 1, len(begin) - 1]]
     row = np.searchsorted(first, at, side="right") - 1
     left, right = at - low, high + window - at
-    ctx = span_hashes(sums, at - left, at + right, BASES[1]) ^ (left * 257 + right).astype(np.uint64)
+    ctx = mix(PrimeSums(values).spans(at - left, at + right) + (left * 257 + right).astype(np.uint64) * np.uint64(BASES[2]))
     return {"row": row, "pos": at - first[row], "gram": signed(mix(grams[at])), "ctx": signed(ctx), "l": left, "r": right}
 
 
@@ -250,7 +255,7 @@ def _index_rows(index: Index, spec: Spec) -> Callable[[Iterator[pa.RecordBatch]]
 
 
 def _window_rows(spec: Spec) -> Callable[[pa.RecordBatch], Iterator[dict]]:
-    """Two 64-bit hashes of each window of each context."""
+    """Two hashes of each window of each context: of 61 bits modulo a prime under a random base, and of 64 bits."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         doc, th, start = (batch.column(i).to_numpy() for i in (1, 2, 3))
@@ -258,7 +263,7 @@ def _window_rows(spec: Spec) -> Callable[[pa.RecordBatch], Iterator[dict]]:
             values, first = _units(flat, offs, spec)
             ok = np.flatnonzero(in_one_text(first, spec.window))
             row = np.searchsorted(first, ok, side="right") - 1
-            fps = [signed(span_hashes(prefix_sums(values, b), ok, ok + spec.window, b)) for b in BASES[1:]]
+            fps = [signed(PrimeSums(values).spans(ok, ok + spec.window)), signed(span_hashes(prefix_sums(values, BASES[1]), ok, ok + spec.window, BASES[1]))]
             yield {"fa": fps[0], "fb": fps[1], "doc": doc[i + row], "th": th[i + row], "lo": start[i + row] + ok - first[row]}
 
     return run

@@ -83,6 +83,35 @@ def test_bytes(spark, many):
     assert sum(r[2] for r in got) > 1000
 
 
+def opposite(n):
+    """Two sequences of two letters that have one value under any polynomial modulo 2**64, if they are long enough."""
+    x, y = "a", "b"
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_texts_against_weak_hashes(spark):
+    x, y = opposite(1024)
+    rest = " ".join(f"u{i}" for i in range(49))
+    docs = [(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, x * 2), (4, y * 2), (5, " ".join(x)), (6, " ".join(y))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for many in (10_000, 1):
+        assert sorted(tuple(r) for r in dedup_words(df, many=many).collect()) == brute_words(docs, 50)
+        assert sorted(tuple(r) for r in dedup_bytes(df, many=many).collect()) == brute_bytes(docs, 100)
+
+
+def test_a_text_longer_than_a_slice(spark):
+    rng = random.Random(6)
+    long = " ".join(str(rng.randrange(10**9)) for _ in range(150_000))
+    docs = [(1, long), (2, long[400_000:900_000]), (3, "tail " + long[-700:])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in dedup_bytes(df).collect()}
+    assert got == {1: (len(long), 0), 2: (500_000, 500_000), 3: (705, 700)}
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_words(df).collect()}
+    assert got[1] == 0 and got[2] >= len(docs[1][1].split()) - 2 and got[3] >= len(docs[2][1].split()) - 2
+
+
 def test_empty_clashing_and_repeated(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, gram long, th int, ranges string")
     assert dedup_words(empty).count() == 0 and dedup_bytes(empty).count() == 0
