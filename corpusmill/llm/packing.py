@@ -3,8 +3,8 @@
 Texts become ids; a text longer than a row is split into whole rows and a rest, so nothing is lost. Within a bounded
 buffer of one partition the rests are sorted by falling length and each goes to the open row with the least free room
 that still holds it, which the segment tree over capacities finds in log(capacity) steps. A packed row carries its ids
-(padded), the cumulative lengths of its segments, which text and which part of it each segment is, and the position
-that each segment restarts from.
+(padded), the cumulative lengths of its segments, which text and which part of it each segment is, the position that each
+segment restarts from, and the position of every id (resets at each segment; 0 on padding).
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 
-from corpusmill.llm.batches import keyed_text, map_stream
+from corpusmill.llm.batches import held_in_worker, keyed_text, map_stream
 
 CAPACITY = 2048
 #: Tokens that a buffer holds before it is packed (a longer single text is a buffer of its own).
 BUFFER_TOKENS = 1 << 21
-PACK_SCHEMA = "doc_ids array<long>, parts array<int>, cu_seqlens array<int>, position_starts array<int>, n_tokens int, n_segments int, ids binary"
+PACK_SCHEMA = "doc_ids array<long>, parts array<int>, cu_seqlens array<int>, position_starts array<int>, n_tokens int, n_segments int, ids binary, positions binary"
 
 
 class FreeRoom:
@@ -93,31 +93,31 @@ def pack(texts: list[tuple[int | None, np.ndarray]], capacity: int, pad: int, dt
         out["n_tokens"].append(total)
         out["n_segments"].append(len(chosen))
         out["ids"].append(row.tobytes())
+        out["positions"].append(positions(out["cu_seqlens"][-1], out["position_starts"][-1], capacity).tobytes())
     return out
 
 
 def positions(cu_seqlens: list[int], position_starts: list[int], capacity: int) -> np.ndarray:
-    """Position ids of a packed row: each segment counts on from its start, padding is 0."""
-    out = np.zeros(capacity, np.int32)
-    for a, b, first in zip(cu_seqlens[:-1], cu_seqlens[1:], position_starts, strict=True):
-        out[a:b] = np.arange(first, first + b - a)
+    """Position ids of a packed row (32-bit): each segment counts on from its start, padding is 0."""
+    edges, out = np.array(cu_seqlens), np.zeros(capacity, "<i4")
+    out[: edges[-1]] = np.arange(edges[-1]) + np.repeat(np.array(position_starts, np.int64) - edges[:-1], np.diff(edges))
     return out
 
 
-_encodings: dict[int, tiktoken.Encoding] = {}
-
-
 def encoding(ranks: bytes, pattern: str) -> tiktoken.Encoding:
-    """Parsed once in each Python worker."""
-    key = hash((len(ranks), ranks[-200:], pattern))
-    if key not in _encodings:
+    """Parsed once in each Python worker, until the worker does something else."""
+
+    def parsed() -> tiktoken.Encoding:
         table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-        _encodings[key] = tiktoken.Encoding("corpusmill", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return _encodings[key]
+        return tiktoken.Encoding("corpusmill", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+    return held_in_worker(("encoding", len(ranks), hash(ranks), pattern), parsed)
 
 
 def packed_rows(df: DataFrame, ranks_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, carry_positions: bool = False, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
-    """Token-id rows of `capacity`, each text followed by `end_id`, rows filled up with `end_id`.
+    """With `carry_positions` a later part of a split text counts on where the part before it ended, else from 0.
+
+    Token-id rows of `capacity`, each text followed by `end_id`, rows filled up with `end_id`.
 
     Null texts count as empty and give one end token, so every input row stands in the result; repeated rows are
     repeated. A partition is packed in buffers on its own, without a shuffle; every id keeps its place in its text.
