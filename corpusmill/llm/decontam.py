@@ -1,8 +1,9 @@
 """Benchmark decontamination with SimHash windows and multi-index Hamming blocks.
 
-Words are runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased; shingles are five words. A shingle
-weighs ln(1 + N / df) among all N items of five words or more (df at least 1), however many passes they take. For each item size there are windows of as many words at every
-place of a text; a text of fewer words than the item is one window as a whole. A window's weighted SimHash has 64 bits; the items' hashes are cut into RADIUS + 1 blocks, of which two
+Words are runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased; shingles are five words; of a text
+or item of fewer words, all of them are its one shingle. A shingle weighs ln(1 + N / df) among all N items that have words
+(df at least 1), however many passes they take. For each item size there are windows of as many words at every place of a
+text; a text of fewer words than the item is one window as a whole. A window's weighted SimHash has 64 bits; the items' hashes are cut into RADIUS + 1 blocks, of which two
 hashes within the radius must share one (pigeonhole), so the block tables give every item within the radius. Their exact
 weighted Jaccard similarity with the window decides.
 
@@ -25,18 +26,26 @@ from corpusmill.llm.batches import keyed_text, map_batches, slices
 from corpusmill.llm.hashing import LOWER, gram_hashes, in_one_text, word_hashes, word_spans
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
-#: Items in one pass over the texts; more take further passes, with the same weights.
-BLOCK_ITEMS = 20_000
+#: Items and characters in one pass over the texts; more take further passes, with the same weights.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
 MATCH_SCHEMA = "doc_id long, item_id long, similarity double, first_word int, n_words int, distance int"
 
 
-def shingles_of(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of SHINGLE words of a slice, and each text's first word."""
+def shingles_of(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Hashes of all runs of SHINGLE words of a slice, each text's first word, and the one shingle of each short text."""
     flat = LOWER[flat]
     starts, ends, first = word_spans(flat, offs, NOT_WORD)
-    return gram_hashes(word_hashes(flat, starts, ends), SHINGLE), first
+    words = word_hashes(flat, starts, ends)
+    sizes = np.diff(first)
+    short = {i: gram_hashes(words[first[i] : first[i + 1]], int(sizes[i])) for i in np.flatnonzero((sizes > 0) & (sizes < SHINGLE)).tolist()}
+    return gram_hashes(words, SHINGLE), first, short
+
+
+def own_shingles(text: int, grams: np.ndarray, first: np.ndarray, short: dict[int, np.ndarray]) -> np.ndarray:
+    """The shingles of one text of a slice, in order."""
+    return short.get(text, grams[int(first[text]) : max(int(first[text]), int(first[text + 1]) - SHINGLE + 1)])
 
 
 def simhash(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -80,9 +89,10 @@ class Items:
         ids, sets, sizes, lists = [], [], {}, []
         for key, text in rows:
             data = np.frombuffer((text or "").encode(), np.uint8)
-            grams, first = shingles_of(data, np.array([0, len(data)]))
+            grams, first, short = shingles_of(data, np.array([0, len(data)]))
+            grams = short.get(0, grams)
             if not len(grams):
-                continue  # fewer words than a shingle
+                continue  # no words, so nothing that a text could hold
             sizes.setdefault(int(first[-1]), []).append(len(ids))
             ids.append(key)
             lists.append(grams)
@@ -129,9 +139,16 @@ class Items:
         return float(common / union)
 
 
-def matches_in(grams: np.ndarray, first: np.ndarray, items: Items, similarity: float) -> Iterator[tuple[int, int, float, int, int, int]]:
+def matches_in(grams: np.ndarray, first: np.ndarray, short: dict[int, np.ndarray], items: Items, similarity: float) -> Iterator[tuple[int, int, float, int, int, int]]:
     """(text, item, similarity, first word, words, distance) of each item's best window in each text of a slice."""
-    if not len(items.ids) or not len(grams):
+    if not len(items.ids):
+        return
+    for text, own in short.items():  # a text's one shingle is like an item of the same one only
+        size, hash_ = int(first[text + 1] - first[text]), simhash(own[None], items.weights(own)[None])[0]
+        for item in items.near(size, hash_) if size in items.sizes else ():
+            if items.similarity(item, own) >= similarity:
+                yield text, items.ids[item], items.similarity(item, own), 0, size, int(items.hashes[item] ^ hash_).bit_count()
+    if not len(grams):
         return
     inside = in_one_text(first, SHINGLE)
     known = items.are_known(grams) & inside
@@ -145,7 +162,7 @@ def matches_in(grams: np.ndarray, first: np.ndarray, items: Items, similarity: f
         own, hits = grams[lo:hi], known[lo:hi]
         weight = items.weights(own)
         good = np.cumsum(np.r_[0, weight * hits])
-        for size in items.sizes:
+        for size in (x for x in items.sizes if x >= SHINGLE):
             k = min(size - SHINGLE + 1, len(own))  # a shorter text is one window
             for at in np.flatnonzero(good[k:] - good[:-k] >= least[size]).tolist():
                 window = own[at : at + k]
@@ -162,8 +179,8 @@ def matches_in(grams: np.ndarray, first: np.ndarray, items: Items, similarity: f
 def _item_shingles(batch: pa.RecordBatch) -> Iterator[dict]:
     """Each distinct shingle of each item, and a null for each item that has any."""
     for _, _, flat, offs in slices(batch.column(0)):
-        grams, first = shingles_of(flat, offs)
-        sets = [np.unique(grams[lo:hi]) for lo, hi in zip(first[:-1].tolist(), (first[1:] - SHINGLE + 1).tolist(), strict=True) if hi > lo]
+        found = shingles_of(flat, offs)
+        sets = [x for i in range(len(offs) - 1) if len(x := np.unique(own_shingles(i, *found)))]
         if sets:
             own = pa.array(np.concatenate(sets).view(np.int64))
             yield {"shingle": pa.chunked_array([own, pa.nulls(len(sets), pa.int64())])}
@@ -183,11 +200,13 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int) ->
     among = benchmark_weights(benchmark, text_col)
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).orderBy("id").toLocalIterator()
     held: list[tuple[int | None, str]] = []
+    size = 0
     for row in rows:
         held.append((row[0], row[1]))
-        if len(held) == block:
+        size += len(row[1] or "")
+        if len(held) == block or size >= BLOCK_CHARS:
             yield Items.of(held, among)
-            held = []
+            held, size = [], 0
     if held:
         yield Items.of(held, among)
 
@@ -195,14 +214,16 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block: int) ->
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, block: int = BLOCK_ITEMS) -> DataFrame:
     """A row for each text and benchmark item with a window that is similar enough: the best one, the first of equals.
 
-    Null and empty texts match nothing, nor do items of fewer words than a shingle. Items with a null id match as others
-    do, with a null item_id. Repeated rows match again. A map without shuffles of texts for each block of items.
+    Null and empty texts match nothing, nor do items without words; an item of fewer words than a shingle matches texts
+    that have just these words. Items with a null id match as others do, with a null item_id. Repeated rows match again. A map without shuffles of texts for each block of items.
     """
     texts, out = keyed_text(df, id_col, text_col), None
     for items in item_blocks(benchmark, item_id, item_text, block):
         part = map_batches(texts, _match_rows(df.sparkSession.sparkContext.broadcast(items), similarity), MATCH_SCHEMA)
         out = part if out is None else out.unionByName(part)
-    return df.sparkSession.createDataFrame([], MATCH_SCHEMA) if out is None else out
+    if out is None:
+        out = df.sparkSession.range(0).select(*[F.col("id").cast(x.split()[1]).alias(x.split()[0]) for x in MATCH_SCHEMA.split(", ")])
+    return out
 
 
 def _match_rows(sent, similarity: float):
@@ -211,8 +232,7 @@ def _match_rows(sent, similarity: float):
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         rows = []
         for i, _, flat, offs in slices(batch.column(1)):
-            grams, first = shingles_of(flat, offs)
-            for text, *match in matches_in(grams, first, sent.value, similarity):
+            for text, *match in matches_in(*shingles_of(flat, offs), sent.value, similarity):
                 rows.append((batch.column(0)[i + text].as_py(), *match))
         if rows:
             yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
@@ -233,8 +253,7 @@ def _clean_rows(sent, similarity: float, names: list[str]):
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         ok = np.ones(batch.num_rows, bool)
         for i, _, flat, offs in slices(batch.column(1)):
-            grams, first = shingles_of(flat, offs)
-            for text, *_ in matches_in(grams, first, sent.value, similarity):
+            for text, *_ in matches_in(*shingles_of(flat, offs), sent.value, similarity):
                 ok[i + text] = False
         kept = batch.filter(pa.array(ok))
         yield {n: kept.column(k) for k, n in enumerate(names)}
