@@ -7,27 +7,32 @@ frozen after training, so a byte's cost depends on four bytes only and the exact
 table rows: all languages are scored at once, and the shortest code wins.
 
 Training takes at most about `docs_per_lang` labelled rows of a language (a hash of the id chooses them, whole texts,
-whatever the table's size); everything else covers all rows.
+whatever the table's size); everything else covers all rows, and every language that occurs is learned. Languages are
+learned in blocks of LANGS_OF_MODEL, each with a model of bounded size; texts pass the blocks one after another.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.batches import keyed_text, map_batches, slices
 
 ORDER = 3
-#: Labelled rows a language that training aims at, and languages at most (the most frequent ones).
-DOCS_PER_LANG, MAX_LANGS = 600, 256
+#: Labelled rows a language that training aims at, and languages of one model.
+DOCS_PER_LANG, LANGS_OF_MODEL = 600, 16
+#: Bytes that are scored at a time.
+SCORED_BYTES = 1 << 18
+#: Shares of rows are told in this many parts.
+PARTS = 1 << 48
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 LANG_SCHEMA = "doc_id long, lang_pred string, score double, bits_per_byte double"
 
 
@@ -122,20 +127,24 @@ def _rows_at(model: Model, contexts: list, escapes: list, key: np.ndarray, order
     return model.costs[0][np.searchsorted(known, key & np.uint32((1 << 8 * (order + 1)) - 1))]
 
 
-def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Model:
+def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> list[Model]:
     """Counts 4-byte grams of a bounded sample on the workers; only the sample's distinct grams reach the driver.
 
-    Only the MAX_LANGS most frequent languages are learned; texts of any other are given one of these.
+    One model for each LANGS_OF_MODEL languages in order of their names. Rows without text or language teach nothing.
     """
-    labelled = df.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["lang"] for r in sizes)
-    if not langs:
-        return fit([], np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0))
-    share = {r["lang"]: min(1.0, docs_per_lang / r["count"]) for r in sizes}
-    limit = F.create_map([F.lit(x) for lang in langs for x in (lang, int(share[lang] * 1_000_000))])
-    chosen = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < F.coalesce(limit[F.col(lang_col)], F.lit(0)))
-    index = {lang: i for i, lang in enumerate(langs)}
+    lang, text = F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`")
+    labelled = df.where(usable & lang.isNotNull() & text.isNotNull())
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy(lang.alias("lang")).count().collect()}
+    share = {x: min(PARTS, -(-docs_per_lang * PARTS // n)) for x, n in sizes.items()}
+    names = sorted(sizes)
+    return [_trained(labelled, {x: share[x] for x in names[at : at + LANGS_OF_MODEL]}, id_col, text_col, lang) for at in range(0, len(names), LANGS_OF_MODEL)]
+
+
+def _trained(labelled: DataFrame, share: dict[str, int], id_col: str, text_col: str, lang: Column) -> Model:
+    limit = F.create_map([F.lit(x) for pair in share.items() for x in pair])
+    key = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("sample")), F.lit(PARTS))
+    chosen = labelled.where(lang.isin(*share) & (key < limit[lang]))
+    index = {x: i for i, x in enumerate(share)}
 
     def count(batch: pa.RecordBatch) -> Iterator[dict]:
         of_row = np.array([index[x] for x in batch.column(2).to_pylist()])
@@ -148,48 +157,70 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         if keys:
             yield {"key": np.concatenate(keys).view(np.int64), "n": np.concatenate(sums)}
 
-    counted = map_batches(keyed_text(chosen, id_col, text_col, F.col(lang_col).cast("string").alias("lang")), count, "key long, n long")
-    table = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy("key").toArrow()
-    key = table.column("key").to_numpy().view(np.uint64)
-    return fit(langs, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), (key >> np.uint64(32)).astype(np.int64), table.column("n").to_numpy().astype(float))
+    counted = map_batches(keyed_text(chosen, id_col, text_col, lang.alias("lang")), count, "key long, n long")
+    table = counted.groupBy("key").agg(F.sum("n").alias("n")).toArrow().sort_by("key")
+    found = table.column("key").to_numpy().view(np.uint64)
+    return fit(list(share), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32), (found >> np.uint64(32)).astype(np.int64), table.column("n").to_numpy().astype(float))
+
 
+RUNNING_SCHEMA = "best string, least double, total double"
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *keep: Column) -> DataFrame:
+
+def identify(df: DataFrame, models: list[Model], id_col: str = "doc_id", text_col: str = "text", *keep: Column) -> DataFrame:
     """The language with the shortest code for each row's whole text, its posterior (0 to 1) and its bits a byte.
 
-    `und` with score 0 for null texts, texts without letters, and where nothing was learnt; ties go to the first
-    language by name. Repeated rows are repeated. `keep` columns pass through after the result's own.
+    `und` with score 0 for null texts, texts without a letter (Unicode category L), and where nothing was learnt; ties go
+    to the first language by name. Repeated rows are repeated. `keep` columns pass through after the result's own.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
     kept = keyed_text(df, id_col, text_col, *keep)
-    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[2:])
-
-    names = kept.columns[2:]
+    fields, names = kept.schema.fields, kept.columns[2:]
+    whole = kept.select("doc_id", "text", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in RUNNING_SCHEMA.split(", ")], *[F.struct(*[f"`{x}`" for x in names]).alias("kept")] if names else [])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields)
+    for model in models:
+        whole = map_batches(whole, _scored(df.sparkSession.sparkContext.broadcast(model)), schema)
+    size = F.greatest(F.octet_length("text"), F.lit(1))
+    rate = F.col("least") / F.coalesce(size, F.lit(1))
+    return whole.select(
+        "doc_id",
+        F.coalesce("best", F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(F.col("best").isNotNull(), 1 / F.col("total")).otherwise(F.lit(0.0)).alias("score"),
+        rate.alias("bits_per_byte"),
+        *[F.col(f"kept.`{f.name}`").alias(f.name) for f in fields[2:]],
+    )
+
+
+def _scored(sent):
+    """The best language so far, its bits, and the sum of all languages' probabilities as multiples of its own."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         model = sent.value
-        n = len(model.langs)
-        pred, score, rate = [], [], []
-        letters = [bool(t) and _LETTER.search(t) is not None for t in batch.column(1).to_pylist()]
-        for i, j, flat, offs in slices(batch.column(1)):
-            bits = model.code_lengths(flat, offs) if n else np.zeros((j - i, 1))
-            best = bits.argmin(axis=1)
-            least = bits[np.arange(j - i), best]
-            share = 1 / np.exp2(np.clip(least[:, None] - bits, -1000, 0)).sum(axis=1)
-            size = np.maximum(np.diff(offs), 1)
+        columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        best, least, total = [], [], []
+        letters = [bool(t) and _LETTER.search(t) is not None for t in columns["text"].to_pylist()]
+        before = list(zip(*(columns[x.split()[0]].to_pylist() for x in RUNNING_SCHEMA.split(", ")), strict=True))
+        for i, j, flat, offs in slices(columns["text"], SCORED_BYTES):
+            bits = model.code_lengths(flat, offs)
+            first = bits.argmin(axis=1)
+            low = bits[np.arange(j - i), first]
+            share = np.exp2(np.clip(low[:, None] - bits, -1000, 0)).sum(axis=1)
             for k in range(j - i):
-                ok = n > 0 and letters[i + k]
-                pred.append(model.langs[best[k]] if ok else UNKNOWN)
-                score.append(float(share[k]) if ok else 0.0)
-                rate.append(float(least[k] / size[k]) if n else None)
-        yield {"doc_id": batch.column(0), "lang_pred": pred, "score": score, "bits_per_byte": rate} | {name: batch.column(2 + k) for k, name in enumerate(names)}
+                name, own, sum_ = model.langs[first[k]] if letters[i + k] else None, float(low[k]), float(share[k])
+                old_name, old, old_sum = before[i + k]
+                if old is not None and old <= own:
+                    name, own, sum_ = old_name, old, old_sum + sum_ * 2.0 ** max(-1000.0, old - own)
+                elif old is not None:
+                    sum_ += old_sum * 2.0 ** max(-1000.0, own - old)
+                best.append(name)
+                least.append(own)
+                total.append(sum_)
+        yield columns | {"best": best, "least": least, "total": total}
 
-    return map_batches(kept, run, LANG_SCHEMA + fields)
+    return run
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """The quarter of the ids that training never sees."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
+    """The quarter of the ids that training never sees; a null id is not of it."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def train_and_identify(df: DataFrame, *keep: Column) -> DataFrame:
