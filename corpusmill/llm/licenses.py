@@ -364,13 +364,20 @@ def _places(norm: Column, rule: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
-def _detections(norm: Column, rules: Column) -> Column:
-    """All detections by start, longest first, then by priority and rule order."""
+def _gated(norm: Column, rules: Column, keywords: set[str]) -> Column:
+    """The rules of whose keywords one stands at the start of a word: one pass finds the longest keyword at each word, and
+    those that it starts with stand there too."""
+    hits = F.array_distinct(F.regexp_extract_all(norm, F.lit(f"(?= ({longest_of(keywords)}))"), F.lit(1)))
+    # As an element, the hits are found once and not for each rule.
+    return F.get(F.transform(F.array(hits), lambda hs: F.filter(rules, lambda r: F.exists(hs, lambda h: F.startswith(h, r["keyword"])))), 0)
+
+
+def _detections(norm: Column, gated: Column) -> Column:
+    """All detections of the gated rules by start, longest first, then by priority and rule order."""
 
     def of(rule: Column) -> Column:
         return F.transform(_places(norm, rule), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("neg_end"), (-rule["priority"]).alias("neg_priority"), rule["ord"].alias("ord"), rule["label"].alias("label")))
 
-    gated = F.filter(rules, lambda r: F.contains(norm, F.concat(F.lit(" "), r["keyword"])))
     return F.array_sort(F.flatten(F.transform(gated, of)))
 
 
@@ -392,6 +399,16 @@ def _kept(detections: Column) -> Column:
     return F.aggregate(detections, start, step)
 
 
+def longest_of(words: set[str]) -> str:
+    """A pattern for the longest of the words at a place, that parts at each letter, so that few alternatives are tried."""
+    by_letter: dict[str, set[str]] = {}
+    for w in words - {""}:
+        by_letter.setdefault(w[0], set()).add(w[1:])
+    if not by_letter:
+        return ""
+    return "(?:" + "|".join(c + longest_of(rest) for c, rest in sorted(by_letter.items())) + (")?" if "" in words else ")")
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[tuple[str, int, str, str]] = RULES) -> DataFrame:
     """Counts of words and base phrases, the first and last base place in words, and labels, for each row.
 
@@ -399,7 +416,6 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: l
     remaining detections over the top priority, 0 without any.
     """
     table = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(keyword).alias("keyword"), F.lit(pattern).alias("pattern"), F.lit(i).alias("ord")) for i, (label, priority, keyword, pattern) in enumerate(rules)])
-    gate = " (?:" + "|".join(sorted({x[2] for x in rules})) + ")"
     docs = keyed_text(df, id_col, text_col).select("doc_id", spaced_words(F.coalesce("text", F.lit(""))).alias("norm"))
     norm = F.col("norm")
     n_words = F.greatest(_blanks(norm) - 1, F.lit(0)).cast("long")
@@ -411,14 +427,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: l
         firsts.append(F.when(has, _blanks(F.substring_index(norm, f" {phrase} ", 1))))
         lasts.append(F.when(has, F.col("n_words") - _blanks(F.substring_index(norm, f" {phrase} ", -1)) - size))
         labels.append(F.when(has, F.lit(label)))
-    out = docs.withColumn("n_words", n_words).select(
+    out = docs.withColumn("n_words", n_words).withColumn("gated", _gated(norm, table, {x[2] for x in rules})).select(
         "doc_id",
         "n_words",
         sum(counts[1:], counts[0]).alias("n_base"),
         F.least(*firsts).cast("long").alias("first_word"),
         F.greatest(*lasts).cast("long").alias("last_word"),
         F.array_sort(F.array_compact(F.array(*labels))).alias("base"),
-        F.when(norm.rlike(gate), _kept(_detections(norm, table))).alias("kept"),
+        F.when(F.size("gated") > 0, _kept(_detections(norm, F.col("gated")))).alias("kept"),
     )
     mine = F.coalesce(F.col("kept.labels"), F.array().cast("array<string>"))
     return out.select(
