@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import gc
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,9 +20,11 @@ except OSError:  # another C library has no such call, and needs none
     _libc = None
 
 #: Arrow batches that reach a worker hold at most so many rows and about so many bytes.
-BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
+#: Bytes of a batch that a worker gives back at once.
+OUTPUT_BYTES = 1 << 20
 #: Bytes of text that one numpy slice holds (a longer single text is a slice of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
@@ -66,11 +70,51 @@ def held_in_worker(key: tuple, build: Callable):
     return _held[key]
 
 
+_last: list[str] = []
+_idle: list[threading.Timer] = []
+#: Seconds without a task after which a worker gives up what it keeps; executors have more workers than cores in turn.
+IDLE_SECONDS = 2.0
+
+
+def begun(name: str) -> None:
+    """Starts a task in this worker: what tasks of another kind left goes at once, and Arrow takes its memory where
+    `released` can give it back."""
+    for timer in _idle:
+        timer.cancel()
+    _idle.clear()
+    pa.set_memory_pool(pa.system_memory_pool())
+    if _last != [name]:
+        _cleared()
+        _last[:] = [name]
+        released()
+
+
 def released() -> None:
     """Gives memory that a task no longer uses back to the machine: workers live on between tasks."""
-    for key in set(_held) - _wanted:
-        del _held[key]
+    if gone := set(_held) - _wanted:
+        for key in gone:
+            del _held[key]
+        gc.collect()
     _wanted.clear()
+    if _held and not _idle:
+        _idle.append(threading.Timer(IDLE_SECONDS, _give_up))
+        _idle[0].daemon = True
+        _idle[0].start()
+    _trimmed()
+
+
+def _give_up() -> None:
+    _cleared()
+    _trimmed()
+
+
+def _cleared() -> None:
+    """What was kept goes, cycles among it too."""
+    _held.clear()
+    gc.collect()
+
+
+def _trimmed() -> None:
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
@@ -92,11 +136,13 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
     struct = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
     prepared(df)
+    name = f"{getattr(fn, '__module__', '')}.{getattr(fn, '__qualname__', type(fn).__name__)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun(name)
         for batch in batches:
             for columns in fn(batch):
-                yield record_batch(columns, arrow)
+                yield from bounded(record_batch(columns, arrow))
         released()
 
     return df.mapInArrow(run, struct)
@@ -110,15 +156,24 @@ def map_stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     struct = _parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
     prepared(df)
+    name = f"{getattr(fn, '__module__', '')}.{getattr(fn, '__qualname__', type(fn).__name__)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun(name)
         for columns in fn(batches):
-            yield record_batch(columns, arrow)
+            yield from bounded(record_batch(columns, arrow))
         released()
 
     return df.mapInArrow(run, struct)
 
 
+def bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of about OUTPUT_BYTES at most: what an executor reads at a time is direct memory, which it does not soon give back."""
+    step = max(1, int(batch.num_rows * OUTPUT_BYTES / max(batch.nbytes, OUTPUT_BYTES)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for field in schema:

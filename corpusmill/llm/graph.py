@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.lineage import dropped, written
+from corpusmill.operators.joins import spread_join
+
+#: Tasks that one node's neighbours are dealt out over.
+SALTS = 8
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -17,17 +21,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until the edges stand still: each node's larger neighbours, then its
     smaller ones, are joined to its smallest neighbour. Minima are combined before they are shuffled and no neighbourhood
-    is gathered, so a node with very many neighbours is only a skewed join key. Each round's edges are written out.
+    is gathered; a node's neighbours are dealt out over SALTS tasks where they meet its minimum. Each round's edges are written
+    out.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while not edges.isEmpty():
         both = _both(edges)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = spread_join(both.where("b > a"), least, "a", by="b", salts=SALTS).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b")))
+        small = spread_join(large, small_least, "a", by="b", salts=SALTS).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_least.select("a", F.col("m").alias("b")))
         before, edges = edges, written(small.where("a <> b").distinct())
         dropped(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

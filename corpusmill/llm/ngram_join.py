@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm.batches import map_batches, map_stream, slices
 from corpusmill.llm.graph import components
 from corpusmill.llm.hashing import LOWER, gram_hashes, mix, signed, word_hashes, word_spans
-from corpusmill.llm.lineage import dropped, written
+from corpusmill.llm.lineage import dropped, swept, written
 from corpusmill.llm.repeats import NULL_ID
+from corpusmill.operators.joins import spread_join
 
 #: Frequent shingles that are sent to all tasks: 16 bytes each, 16 MB at most.
 MAX_FREQUENT = 1 << 20
@@ -87,18 +88,11 @@ class Order:
     tokens: np.ndarray
     counts: np.ndarray
 
-    def __post_init__(self) -> None:
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.tokens >> np.uint64(42)).astype(np.int64)] = True
-
     def frequencies(self, tokens: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(tokens), np.int64)
-        maybe = np.flatnonzero(self.filter[(tokens >> np.uint64(42)).astype(np.int64)])
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.tokens, tokens[maybe]), len(self.tokens) - 1)
-            hit = self.tokens[at] == tokens[maybe]
-            out[maybe[hit]] = self.counts[at[hit]]
-        return out
+        if not len(self.tokens):
+            return np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.counts[at], 0).astype(np.int64)
 
 
 def shingle_sets(flat: np.ndarray, offs: np.ndarray, words: int) -> list[np.ndarray]:
@@ -176,7 +170,7 @@ def frequent_shingles(docs: DataFrame, join: Join) -> Order:
     table = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toArrow()
     token, n = table.column("token").to_numpy().view(np.uint64), table.column("n").to_numpy()
     by = np.argsort(token)
-    return Order(token[by], n[by])
+    return Order(token[by], np.minimum(n[by], np.iinfo(np.int32).max).astype(np.int32))
 
 
 def _prefix_rows(join: Join, sent):
@@ -363,7 +357,7 @@ def _routed_sets(join: Join, sent):
                         out[n].append(r[n])
                     out["node"].append(node)
                     out["tokens"].append(data)
-                    if len(data) * len(out["tokens"]) > 1 << 23:
+                    if len(data) * len(out["tokens"]) > 1 << 22:
                         yield out
                         out = {n: [] for n in out}
             yield out
@@ -503,7 +497,7 @@ def node_components(docs: DataFrame, table: DataFrame, join: Join, sent) -> Data
     short = written(counted.where("c >= need"))
     best = short.groupBy("b").agg(F.max(F.struct("c", "a", "need")).alias("k")).select("k.a", "b", "k.need")
     waiting = short.select("a", "b", "need")
-    labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    labels = docs.sparkSession.range(0).select(F.col("id").alias("node"), F.col("id").alias("label"))
     tried = None
     due = best.unionByName(_with_hubs(lists))
     for level in range(1, LEVELS + 2):
@@ -546,8 +540,12 @@ def similar_groups(df: DataFrame, join: Join = Join(), id_col: str = "doc_id", t
     sent = spark.sparkContext.broadcast(frequent_shingles(docs, join))
     table = written(map_batches(docs, _prefix_rows(join, sent), "doc long, n int, node long, need int, prefix binary"))
     labels = node_components(docs, table, join, sent)
+    swept(spark)
     own = table.select("doc", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.where("label is not null").groupBy("label").agg(F.min("doc").alias("component"))
-    out = own.join(least, "label", "left")
+    joined = spread_join(own.where("label is not null"), least, "label", by="doc")
+    out = joined.unionByName(own.where("label is null").withColumn("component", F.col("doc")))
     null_id = lambda c: F.when(c != NULL_ID, c)
-    return out.select(null_id(F.col("doc")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null_id(F.coalesce("component", "doc")).alias("component_id"))
+    out = written(out.select(null_id(F.col("doc")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null_id(F.col("component")).alias("component_id")))
+    dropped(table), dropped(labels)
+    return out

@@ -37,7 +37,7 @@ NULL_ID = (1 << 63) - 1
 #: Contexts of one gram beyond which it is split by whole windows.
 MANY_CONTEXTS = 10_000
 #: Units of context that one index holds.
-INDEX_UNITS = 1 << 19
+INDEX_UNITS = 1 << 18
 
 ANCHOR_SCHEMA = "gram long, ctx long, doc long, th int, pos int, l short, r short, hi int"
 MARK_SCHEMA = "gram long, doc long, th int, pos int, l short, r short, hi int, classes int"

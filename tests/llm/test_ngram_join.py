@@ -65,7 +65,7 @@ def corpus(seed, chain=40):
 #: Short lists, pairs a member, rows a task holds of a list, rows of a part of a frequent list, levels.
 @pytest.mark.parametrize(
     ("join", "bounds"),
-    [(Join(3, 90, 100), (16, 8, 1000, 2048, 3)), (Join(), (16, 8, 1000, 2048, 3)), (Join(5, 80, 100), (3, 0, 1000, 2048, 3)), (Join(3, 90, 100), (2, 0, 9, 5, 2)), (Join(5, 80, 100), (2, 0, 9, 5, 1))],
+    [(Join(3, 90, 100), (16, 8, 1000, 2048, 3)), (Join(), (3, 0, 1000, 2048, 3)), (Join(3, 90, 100), (2, 0, 9, 5, 2)), (Join(5, 80, 100), (2, 0, 9, 5, 1))],
 )
 def test_against_brute_force(spark, join, bounds, monkeypatch):
     for name, value in zip(("SHORT_LIST", "FEW_PAIRS", "LIST_ROWS", "PART_ROWS", "LEVELS"), bounds, strict=True):
