@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe_stream, bwt_merge, decontam, ngram_join, ppm
-from corpusmill.llm.lineage import dropped, written
+from corpusmill.llm.lineage import dropped, swept, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -78,12 +78,22 @@ def bpe_roundtrip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return bpe_stream.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def alone(stage: Stage) -> Stage:
+    """The stage without the memory of the one before it: executors live on and would hold both."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        swept(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", language_id),
-    ("ngram_jaccard_join", near_duplicates),
-    ("suffix_array_dedup", suffix_array_dedup),
-    ("benchmark_decontamination", decontamination),
-    ("bpe_roundtrip", bpe_roundtrip),
+    ("language_id", alone(language_id)),
+    ("ngram_jaccard_join", alone(near_duplicates)),
+    ("suffix_array_dedup", alone(suffix_array_dedup)),
+    ("benchmark_decontamination", alone(decontamination)),
+    ("bpe_roundtrip", alone(bpe_roundtrip)),
 ]
 #: SQL has no byte-context models, merges or windows of hashes; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.batches import keyed_text, map_batches, slices
+from corpusmill.llm.batches import array_of, keyed_text, map_batches, slices
 from corpusmill.llm.hashing import LOWER, gram_hashes, in_one_text, word_hashes, word_spans
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 20
@@ -182,7 +182,7 @@ def _item_shingles(batch: pa.RecordBatch) -> Iterator[dict]:
         found = shingles_of(flat, offs)
         sets = [x for i in range(len(offs) - 1) if len(x := np.unique(own_shingles(i, *found)))]
         if sets:
-            own = pa.array(np.concatenate(sets).view(np.int64))
+            own = array_of(np.concatenate(sets).view(np.int64), pa.int64())
             yield {"shingle": pa.chunked_array([own, pa.nulls(len(sets), pa.int64())])}
 
 
@@ -255,7 +255,7 @@ def _clean_rows(sent, similarity: float, names: list[str]):
         for i, _, flat, offs in slices(batch.column(1)):
             for text, *_ in matches_in(*shingles_of(flat, offs), sent.value, similarity):
                 ok[i + text] = False
-        kept = batch.filter(pa.array(ok))
+        kept = batch.filter(array_of(ok, pa.bool_()))
         yield {n: kept.column(k) for k, n in enumerate(names)}
 
     return run

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
@@ -46,9 +47,12 @@ def dropped(df: DataFrame | None) -> None:
 
 
 def swept(spark: SparkSession) -> None:
-    """Lets the driver find the shuffles of frames that are gone, whose files executors keep until it does."""
+    """Lets the driver find the shuffles of frames that are gone, whose files executors keep until it does; executors then
+    collect what they no longer use and give it back to the machine, which else they keep beside what comes next."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    others = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    spark.range(0, others, 1, others).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

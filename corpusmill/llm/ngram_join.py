@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.batches import map_batches, map_stream, slices
+from corpusmill.llm.batches import map_batches, map_stream, numbers, slices
 from corpusmill.llm.graph import components
 from corpusmill.llm.hashing import LOWER, gram_hashes, mix, signed, word_hashes, word_spans
 from corpusmill.llm.lineage import dropped, swept, written
@@ -211,7 +211,7 @@ def _postings(sent):
         prefixes = batch.column(3).to_pylist()
         times = np.array([len(p) // 8 for p in prefixes], np.int64)
         token = np.frombuffer(b"".join(prefixes), np.uint64)
-        node, n, need = (np.repeat(batch.column(i).to_numpy(), times) for i in (0, 1, 2))
+        node, n, need = (np.repeat(numbers(batch.column(i)), times) for i in (0, 1, 2))
         parts = order.frequencies(token) // PART_ROWS + 1
         salt = np.where(parts > 1, mix(node.astype(np.uint64)) % parts.astype(np.uint64) + np.uint64(1), 0)
         yield {"token": signed(token), "salt": salt, "node": node, "n": n, "d": n, "pos": _counting(times), "need": need, "label": node}
@@ -247,7 +247,7 @@ class Lists:
         held: list[dict[str, np.ndarray]] = []
         size, spilled = 0, None  # a list of too many rows to hold goes on as members at once
         for batch in batches:
-            a = {name: batch.column(i).to_numpy() for i, name in enumerate(_COLUMNS)}
+            a = {name: numbers(batch.column(i)) for i, name in enumerate(_COLUMNS)}
             if spilled is not None:
                 own = (a["token"] == spilled[0]) & (a["salt"] == spilled[1])
                 yield from self._members({k: x[own] for k, x in a.items()})
@@ -449,7 +449,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, join: Join,
 
 def _difference_postings(batch: pa.RecordBatch) -> Iterator[dict]:
     """The prefix elements of differences, each with its hub one key."""
-    hub, node, n, d, label = (batch.column(i).to_numpy() for i in range(5))
+    hub, node, n, d, label = (numbers(batch.column(i)) for i in range(5))
     prefixes = batch.column(5).to_pylist()
     times = np.array([len(p) // 8 for p in prefixes], np.int64)
     token = np.frombuffer(b"".join(prefixes), np.uint64)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.batches import flat_utf8, map_batches, map_stream, slices
+from corpusmill.llm.batches import flat_utf8, map_batches, map_stream, numbers, slices
 from corpusmill.llm.hashing import BASES, BYTE_VALUE, PrimeSums, in_one_text, mix, powers, prefix_sums, signed, span_hashes, word_hashes, word_spans
 from corpusmill.llm.lineage import written
 
@@ -105,7 +105,7 @@ def anchors_of(flat: np.ndarray, offs: np.ndarray, spec: Spec) -> dict[str, np.n
 
 def _anchor_rows(spec: Spec) -> Callable[[pa.RecordBatch], Iterator[dict]]:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        doc, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        doc, th = numbers(batch.column(0)), numbers(batch.column(1))
         parts = []
         for i, _, flat, offs in slices(batch.column(2)):
             found = anchors_of(flat, offs, spec)
@@ -186,7 +186,7 @@ def _class_rows(spec: Spec) -> Callable[[Iterator[pa.RecordBatch]], Iterator[dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: list[dict[str, np.ndarray]] = []
         for batch in batches:
-            a = {n: batch.column(i).to_numpy() for i, n in enumerate(names)}
+            a = {n: numbers(batch.column(i)) for i, n in enumerate(names)}
             if not len(a["gram"]):
                 continue
             cut = int(np.searchsorted(a["gram"], a["gram"][-1]))
@@ -258,7 +258,7 @@ def _window_rows(spec: Spec) -> Callable[[pa.RecordBatch], Iterator[dict]]:
     """Two hashes of each window of each context: of 61 bits modulo a prime under a random base, and of 64 bits."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        doc, th, start = (batch.column(i).to_numpy() for i in (1, 2, 3))
+        doc, th, start = (numbers(batch.column(i)) for i in (1, 2, 3))
         for i, _, flat, offs in slices(batch.column(4).cast(pa.string()) if spec.words else batch.column(4).cast(pa.large_binary()).view(pa.large_string())):
             values, first = _units(flat, offs, spec)
             ok = np.flatnonzero(in_one_text(first, spec.window))

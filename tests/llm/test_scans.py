@@ -3,6 +3,9 @@
 import math
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 from re import _constants as sre
 from re import _parser as sre_parser
 
@@ -377,3 +380,42 @@ def test_short_items_and_texts_are_one_shingle(spark):
     got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in decontam.contaminated(docs, items).collect()}
     assert got == {(10, 1, 1.0), (12, 2, 1.0), (15, None, 1.0)}
     assert sorted(r["doc_id"] for r in decontam.clean(docs, items).collect()) == [11, 13, 14]
+
+
+def test_each_stage_begins_without_the_memory_of_the_one_before(spark):
+    """Each stage has executors collect what they no longer use: their collections are counted, the driver's own is one more."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    runs = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("suffix_array_dedup", "bpe_roundtrip"):
+            before = runs()
+            stage(spark, docs, "")
+            assert runs() >= before + 2
+
+
+WITHOUT_PANDAS = """
+import sys
+import numpy as np, pyarrow as pa
+from corpusmill.llm.batches import flat_utf8, numbers, record_batch
+schema = pa.schema([("a", pa.int64()), ("b", pa.int32()), ("c", pa.bool_()), ("d", pa.string()), ("e", pa.binary()), ("f", pa.float64()), ("g", pa.int16())])
+columns = {"a": np.arange(5), "b": np.array([3.0, 2, 1, 0, -1]), "c": np.array([1, 0, 0, 1, 1], bool), "d": ["x", None, "", "é", "yy"], "e": [b"", b"1", b"3", None, b"2"], "f": np.array([0, 0.5, 1, np.nan, 2]), "g": [1, 2, 3, 4, 5]}
+batch = record_batch(columns, schema)
+assert numbers(batch.slice(1, 3).column(1)).tolist() == [2, 1, 0] and numbers(batch.column(0)).tolist() == [0, 1, 2, 3, 4]
+assert flat_utf8(batch.column(3))[0].tobytes().decode() == "xéyy"
+rows = batch.to_pylist()
+assert "pandas" not in sys.modules
+assert [str(r) for r in rows] == [str(r) for r in pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema).to_pylist()]
+assert record_batch({k: [] for k in columns}, schema).num_rows == record_batch({k: v[:0] for k, v in columns.items()}, schema).num_rows == 0
+for wrong in (np.array([0.5]), np.array([1 << 40])):
+    try:
+        record_batch({"b": wrong}, pa.schema([("b", pa.int32())]))
+    except ValueError:
+        continue
+    raise AssertionError("a number that does not fit went through")
+"""
+
+
+def test_batches_of_workers_do_without_pandas():
+    """pandas takes 27 MB of each Python worker, and nothing here needs it."""
+    subprocess.run([sys.executable, "-c", WITHOUT_PANDAS], check=True, cwd=Path(corpus_pipeline.__file__).parent)
