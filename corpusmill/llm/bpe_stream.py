@@ -37,8 +37,9 @@ class Borders:
 
     def __init__(self, vocab: Vocabulary, limit: int = 200_000) -> None:
         self.vocab = vocab
-        self.known: dict[int, bool] = {}
-        self.limit = limit
+        #: By the right token: whether the left one may stand before it; `limit` answers at most.
+        self.known: list[dict[int, bool] | None] = [None] * len(vocab.lengths)
+        self.held, self.limit = 0, limit
         self.rights: dict[int, list[tuple[int, int]]] = {}
         self.lefts: dict[int, list[tuple[int, int]]] = {}
 
@@ -53,12 +54,16 @@ class Borders:
             token = self.vocab.parts[token][side]
 
     def fit(self, left: int, right: int) -> bool:
-        key = left << 32 | right
-        known = self.known.get(key)
+        answers = self.known[right]
+        known = answers.get(left) if answers else None
         if known is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            known = self.known[key] = self._fit(left, right)
+            if self.held >= self.limit:
+                self.known[:] = [None] * len(self.known)
+                self.held = 0
+            if self.known[right] is None:
+                self.known[right] = {}
+            known = self.known[right][left] = self._fit(left, right)
+            self.held += 1
         return known
 
     def _fit(self, left: int, right: int) -> bool:
@@ -100,12 +105,17 @@ def sufficient_lookahead(vocab: Vocabulary) -> int:
     return best + longest
 
 
+#: First bytes of a short piece after which the state is kept, and such states at most (about 8 MB).
+HEAD, HEADS = 5, 30_000
+
+
 class Transducer:
     """Takes the bytes of one piece in any portions and emits its tokens as they become stable."""
 
     def __init__(self, vocab: Vocabulary, borders: Borders, lookahead: int | None = None) -> None:
         self.vocab, self.borders = vocab, borders
         self.lookahead = sufficient_lookahead(vocab) if lookahead is None else lookahead
+        self.heads: dict[bytes, list[int]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -127,25 +137,36 @@ class Transducer:
         self.reset()
         return out
 
+    def whole(self, data: bytes) -> list[int]:
+        """The tokens of a short piece at once: nothing of it would be emitted before its end. What stands at the places of
+        its first bytes does not depend on the others, and is kept for pieces that start alike."""
+        head = data[:HEAD]
+        if (lasts := self.heads.get(head)) is not None:
+            self.lasts, self.tail = lasts.copy(), head
+        else:
+            self._advance(head)
+            if len(self.heads) >= HEADS:
+                self.heads.clear()
+            self.heads[head] = self.lasts.copy()
+        if len(data) > HEAD:
+            self._advance(data[HEAD:])
+        return self.finish()
+
     def _advance(self, data: bytes) -> None:
         done, tail, lasts = len(self.tail), self.tail + data, self.lasts
         merged, known, fit = self.vocab.merged, self.borders.known, self.borders.fit
-        lengths_by_end, few = self.vocab.lengths_by_end, (2, 1)
+        lengths_by_end, endings, few = self.vocab.lengths_by_end, self.vocab.endings, (2, 1)
         for end in range(done + 1, len(tail) + 1):
+            # The longest token that ends here; all others that do are its own endings.
             for length in lengths_by_end.get(tail[end - 3 : end], few) if end > 2 else few:
-                start = end - length
-                if start < 0:
-                    continue
-                token = merged.get(tail[start:end])
-                if token is None:
-                    continue
-                last = lasts[start]
-                if last < 0:
-                    fits = start == 0
-                else:
-                    fits = known.get(last << 32 | token)
-                    if fits is None:
-                        fits = fit(last, token)
+                if length <= end and (token := merged.get(tail[end - length : end])) is not None:
+                    break
+            for length, token in endings[token]:
+                last = lasts[end - length]
+                if last < 0:  # the piece starts here
+                    fits = True
+                elif (answers := known[token]) is None or (fits := answers.get(last)) is None:
+                    fits = fit(last, token)
                 if fits:
                     lasts.append(token)
                     break
@@ -154,10 +175,11 @@ class Transducer:
         self.tail = tail
 
     def _back(self, place: int) -> list[int]:
-        out = []
+        out, lasts, lengths = [], self.lasts, self.vocab.lengths
         while place > 0:
-            out.append(self.lasts[place])
-            place -= len(self.vocab.strings[self.lasts[place]])
+            token = lasts[place]
+            out.append(token)
+            place -= lengths[token]
         return out[::-1]
 
     def _stable(self) -> list[int]:
@@ -219,7 +241,11 @@ class Encoder:
         self.memo = Memo(self._piece)
 
     def _piece(self, piece: bytes | str) -> bytes:
-        return b"".join(self._portions(piece))
+        data = piece_utf8(piece)
+        if len(data) >= self.vocab.longest:
+            return b"".join(self._portions(piece))
+        out = self.transducer.whole(data)
+        return pack(f"<{len(out)}I", *out)
 
     def _portions(self, piece: bytes | str) -> Iterator[bytes]:
         data = piece_utf8(piece)

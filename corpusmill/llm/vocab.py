@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -82,9 +83,20 @@ class Vocabulary:
                 ends.setdefault(token[-3:], {2, 1}).add(len(token))
         self.lengths_by_end = {end: tuple(sorted(x, reverse=True)) for end, x in ends.items()}
         size = max(self.strings) + 1
+        self.lengths = [len(self.strings.get(i, b"")) for i in range(size)]
         self.flat_strings = np.frombuffer(b"".join(self.strings.get(i, b"") for i in range(size)), np.uint8), np.cumsum([0, *(len(self.strings.get(i, b"")) for i in range(size))])
         self._special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    @cached_property
+    def endings(self) -> list[tuple[tuple[int, int], ...]]:
+        """For each token that merging can give: (length, token) of itself and of all such tokens that it ends with, longest first."""
+        out: list[tuple[tuple[int, int], ...]] = [()] * len(self.lengths)
+        for token in sorted(self.merged, key=len):
+            shorter = next((x for k in range(1, len(token)) if (x := self.merged.get(token[k:])) is not None), None)
+            own = self.merged[token]
+            out[own] = ((len(token), own), *(out[shorter] if shorter is not None else ()))
+        return out
+
     def segments(self, text: str) -> list[str]:
         """Ordinary text and special strings in turn; special strings stand at odd places."""
         if not self._special_split or not any(s in text for s in self.special):

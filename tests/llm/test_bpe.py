@@ -9,8 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from corpusmill.llm.bpe_count import merged_count, token_counts
-from corpusmill.llm.bpe_stream import Borders, Transducer, decode_ids, encode_decode, sufficient_lookahead
-from corpusmill.llm.vocab import Memo, read_vocabulary, vocabulary
+from corpusmill.llm.bpe_stream import Borders, Encoder, Transducer, decode_ids, encode_decode, sufficient_lookahead
+from corpusmill.llm.vocab import Memo, Vocabulary, read_vocabulary, vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -108,3 +108,38 @@ def test_a_text_of_many_megabytes(spark):
     assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     (c,) = token_counts(df, PATH).collect()
     assert c["n_tokens"] == len(ids)
+
+
+def test_few_lookups_for_each_byte_and_none_for_known_starts(vocab):
+    """Of the tokens that end at a place only the longest is looked up; what stands at a piece's first bytes is kept."""
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *key):
+            self.n += 1
+            return super().get(*key)
+
+    rng = random.Random(8)
+    data = [bytes(rng.choice(b"etaoinshr") for _ in range(20)) for _ in range(300)]
+    own = read_vocabulary(PATH)
+    enc, want = Encoder(Vocabulary(own)), expected([x.decode() for x in data])
+    getattr(enc.vocab, "endings", None)  # built by lookups of its own
+    counted = enc.vocab.merged = Counted(enc.vocab.merged)
+    assert [np.frombuffer(enc._piece(x), "<u4").tolist() for x in data] == want
+    assert counted.n < 2.8 * sum(map(len, data))
+    counted.n = 0
+    assert [np.frombuffer(enc._piece(x), "<u4").tolist() for x in data] == want
+    assert counted.n < 2.5 * sum(map(len, data))
+
+
+def test_answers_and_kept_starts_are_bounded(vocab, monkeypatch):
+    from corpusmill.llm import bpe_stream
+
+    monkeypatch.setattr(bpe_stream, "HEADS", 7)
+    rng = random.Random(9)
+    data = [bytes(rng.choice(b"etaoinshr \xc3\xa9") for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+    t = Transducer(vocab, Borders(vocab, limit=50))
+    for x in data:
+        assert len(t.whole(x)) == merged_count(vocab, x)
+        assert len(t.heads) <= 7 and t.borders.held == sum(len(a) for a in t.borders.known if a) <= 50
