@@ -7,14 +7,18 @@ adds a ranker's boost to the similarity and keeps the k best of each query.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from corpusmill.arrow import map_values
 from corpusmill.functions.text import e6
-from corpusmill.operators.joins import spread_join
 from corpusmill.operators.retrieve import lexical_boost, trigram_counts
 
 #: An encoder turns a text into its sparse vector, an array of (bucket, n); a ranker gives what is added to a similarity.
@@ -118,22 +122,91 @@ class Store:
         return asked.join(held, "doc_id").withColumn("similarity_e6", e6(sparse_cosine(F.col("q"), F.col("v")))).drop("q", "v")
 
     def _by_tfidf(self, queries: DataFrame) -> DataFrame:
-        """Each document is an index of its own: frequencies are those among its chunks, and grams it lacks do not count."""
-        held = gram_counts(self.chunks.select("doc_id", F.col("chunk_id").alias("item"), "text"))
-        spread = held.groupBy("doc_id", "gram").agg(F.count("*").alias("df"))
+        """Each document is an index of its own: frequencies are those among its chunks, and grams it lacks do not count.
+
+        A document's texts are brought together and scored in one task, so no gram is shuffled; the grams of documents of
+        over LARGE chunks are spread over tasks instead.
+        """
+        asked = queries.select("query_id", "doc_id", "question")
         sizes = self.chunks.groupBy("doc_id").agg(F.count("*").alias("docs"))
-        idf = spread.join(sizes, "doc_id").select("doc_id", "gram", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-        asked = gram_counts(queries.select("doc_id", F.col("query_id").alias("item"), F.col("question").alias("text")))
-        v = weighted(held, idf).select("doc_id", F.col("item").alias("chunk_id"), "gram", F.col("w").alias("v"))
-        q = weighted(asked, idf).select("doc_id", F.col("item").alias("query_id"), "gram", F.col("w").alias("q"))
-        inner = q.join(v, ["doc_id", "gram"]).groupBy("query_id", "doc_id", "chunk_id").agg(F.sum(F.col("q") * F.col("v")).alias("s"))
-        pairs = queries.select("query_id", "doc_id", "question").join(self.chunks, "doc_id")
-        return pairs.join(inner, ["query_id", "doc_id", "chunk_id"], "left").withColumn("similarity_e6", e6(F.coalesce("s", F.lit(0.0)))).drop("s")
+        large = sizes.where(F.col("docs") > LARGE)
+        if large.isEmpty():
+            return _tfidf_within(asked, self.chunks)
+        small = _tfidf_within(asked, self.chunks.join(large, "doc_id", "left_anti"))
+        return small.unionByName(_tfidf_across(asked, self.chunks.join(large.select("doc_id"), "doc_id", "left_semi"), large))
+
+
+#: Chunks of a document that is searched by TF-IDF in one task.
+LARGE = 2000
+
+
+def _lowered(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s\s+", " ")
+
+
+def _tfidf_within(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The pairs of queries and chunks of a document with their similarity_e6, a document at a time."""
+    def of_document(df: DataFrame, name: str, low: str) -> DataFrame:
+        row = F.struct(_lowered(F.col(low)).alias("low"), *[c for c in df.columns if c != "doc_id"])
+        return df.groupBy("doc_id").agg(F.collect_list(row).alias(name))  # LARGE chunks at most
+
+    both = of_document(chunks, "held", "text").join(of_document(asked, "asked", "question"), "doc_id").select("doc_id", "asked", "held")
+    queries, rows = (StructType(both.schema[c].dataType.elementType.fields[1:]) for c in ("asked", "held"))
+    schema = StructType([both.schema["doc_id"], *queries, *rows, StructField("similarity_e6", LongType())])
+    q_id, c_id, q_names, c_names = "query_id", "chunk_id", queries.names, rows.names
+
+    def scored(doc_id, asked: list[dict], held: list[dict]) -> Iterator[tuple]:
+        counts = _counted(held, c_id)
+        df = Counter(g for c in counts.values() for g in c)
+        idf = {g: math.log((1 + len(held)) / (1 + n)) + 1 for g, n in df.items()}
+        wanted = {k: _weights(c, idf) for k, c in _counted(asked, q_id).items()}
+        norms = {k: _norm(c, idf) for k, c in counts.items()}
+        for q in asked:
+            own = wanted[q[q_id]]
+            for row in held:
+                c, norm = counts[row[c_id]], norms[row[c_id]]
+                s = math.fsum(w * ((1 + math.log(n)) * idf[g] / norm) for g, w in own.items() if (n := c.get(g)))
+                yield (doc_id, *[q[n] for n in q_names], *[row[n] for n in c_names], math.floor(s * 1_000_000 + 0.5))
+
+    return map_values(both, scored, schema)
+
+
+def _counted(rows: list[dict], key: str, low: int = 1, high: int = 4) -> dict:
+    """The grams of each item's texts, counted."""
+    out: dict = {}
+    for row in rows:
+        t = row["low"]
+        found = Counter(chain.from_iterable(map("".join, zip(*(t[i:] for i in range(n)), strict=False)) for n in range(low, high + 1)))
+        out[row[key]] = out[row[key]] + found if row[key] in out else found
+    return out
+
+
+def _norm(counts: Counter, idf: dict[str, float]) -> float:
+    return math.sqrt(math.fsum(((1 + math.log(n)) * idf[g]) ** 2 if n > 1 else idf[g] ** 2 for g, n in counts.items() if g in idf))
+
+
+def _weights(counts: Counter, idf: dict[str, float]) -> dict[str, float]:
+    """Sublinear frequencies times the document's idf, to length 1, without grams that the document lacks."""
+    norm = _norm(counts, idf)
+    return {g: (1 + math.log(n)) * idf[g] / norm for g, n in counts.items() if g in idf}
+
+
+def _tfidf_across(asked: DataFrame, chunks: DataFrame, sizes: DataFrame) -> DataFrame:
+    """As `_tfidf_within`, a gram of a document at a time."""
+    held = gram_counts(chunks.select("doc_id", F.col("chunk_id").alias("item"), "text"))
+    spread = held.groupBy("doc_id", "gram").agg(F.count("*").alias("df"))
+    idf = spread.join(sizes, "doc_id").select("doc_id", "gram", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    wanted = gram_counts(asked.select("doc_id", F.col("query_id").alias("item"), F.col("question").alias("text")))
+    v = weighted(held, idf).select("doc_id", F.col("item").alias("chunk_id"), "gram", F.col("w").alias("v"))
+    q = weighted(wanted, idf).select("doc_id", F.col("item").alias("query_id"), "gram", F.col("w").alias("q"))
+    inner = q.join(v, ["doc_id", "gram"]).groupBy("query_id", "doc_id", "chunk_id").agg(F.sum(F.col("q") * F.col("v")).alias("s"))
+    pairs = asked.join(chunks, "doc_id")
+    return pairs.join(inner, ["query_id", "doc_id", "chunk_id"], "left").withColumn("similarity_e6", e6(F.coalesce("s", F.lit(0.0)))).drop("s")
 
 
 def gram_counts(df: DataFrame, low: int = 1, high: int = 4) -> DataFrame:
     """doc_id, item, gram, c: lower-cased character n-grams of (doc_id, item, text); runs of white space are one blank."""
-    t = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"(?U)\s\s+", " ")
+    t = _lowered(F.col("text"))
 
     def grams_of(n: int) -> Column:
         places = F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1)))
@@ -145,7 +218,7 @@ def gram_counts(df: DataFrame, low: int = 1, high: int = 4) -> DataFrame:
 
 def weighted(counts: DataFrame, idf: DataFrame) -> DataFrame:
     """doc_id, item, gram, w: sublinear frequency times the document's idf, each item to length 1."""
-    x = spread_join(counts, idf, "doc_id", "gram", by="item").withColumn("w", (1 + F.log("c")) * F.col("idf"))
+    x = counts.join(idf, ["doc_id", "gram"]).withColumn("w", (1 + F.log("c")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", "item")))
     return x.select("doc_id", "item", "gram", (F.col("w") / norm).alias("w"))
 
