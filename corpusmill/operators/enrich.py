@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import fixed as K
-from corpusmill.functions.text import dedupe_ci, find_all, norm_ws
+from corpusmill.functions.text import dedupe_ci, find_all, first_ci, norm_ws
 from corpusmill.operators.joins import spread_join
 
 
@@ -21,15 +21,23 @@ def lead_summary(text: Column, limit: int = K.SUMMARY_CHARS) -> Column:
 
 
 def entity_tags(text: Column, limit: int = K.MAX_ENTITIES) -> Column:
-    """Dates, versions, quoted terms, organisations and technical terms, in that order, without repeats."""
-    t = norm_ws(text)
-    found = [find_all(t, K.ENTITY_DATE), find_all(t, K.ENTITY_VERSION), *[find_all(t, p, 1) for p in K.QUOTED]]
+    """Dates, versions, quoted terms, organisations and technical terms, in that order, without repeats.
+
+    The text and its lower case are elements of arrays, so that they are worked out once and not for each pattern.
+    """
     none = F.array().cast("array<string>")
-    found += [F.when(F.contains(t, F.lit(s)), find_all(t, f"[一-鿿A-Za-z0-9]{{2,20}}{s}")).otherwise(none) for s in K.ORG_SUFFIXES]
-    low = F.lower(t)
-    terms = [F.when(F.contains(t, F.lit(term)) | (F.contains(low, F.lit(term.lower())) & t.rlike(rf"(?iU)\b{term}\b")), F.lit(term)) for term in K.TECH_TERMS]
-    every = F.filter(F.transform(F.flatten(F.array(*found, F.array_compact(F.array(*terms)))), F.trim), lambda x: x != "")
-    return F.slice(dedupe_ci(every), 1, limit)
+
+    def of(t: Column, low: Column) -> Column:
+        # What every match holds is looked for first.
+        quoted = [F.when(F.contains(t, F.lit(p.removeprefix("(")[0])), find_all(t, p, 1)).otherwise(none) for p in K.QUOTED]
+        found = [find_all(t, K.ENTITY_DATE), F.when(F.contains(t, F.lit(".")), find_all(t, K.ENTITY_VERSION)).otherwise(none), *quoted]
+        found += [F.when(F.contains(t, F.lit(s)), find_all(t, f"[一-鿿A-Za-z0-9]{{2,20}}{s}")).otherwise(none) for s in K.ORG_SUFFIXES]
+        terms = [F.when(F.contains(t, F.lit(term)) | (F.contains(low, F.lit(term.lower())) & t.rlike(rf"(?iU)\b{term}\b")), F.lit(term)) for term in K.TECH_TERMS]
+        return F.filter(F.transform(F.flatten(F.array(*found, F.array_compact(F.array(*terms)))), lambda x: F.trim(x)), lambda x: x != "")
+
+    every = F.get(F.transform(F.array(norm_ws(text)), lambda t: F.get(F.transform(F.array(F.lower(t)), lambda low: of(t, low)), 0)), 0)
+    # Whole repeats go by a hash first: the rest is compared with what was kept before, `limit` at most.
+    return first_ci(F.array_distinct(every), limit)
 
 
 def typed_entities(text: Column) -> Column:

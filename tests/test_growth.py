@@ -1,6 +1,8 @@
 """What larger tables need: results that stay the same when a job is dealt out, and plans without the steps that grew."""
 
-from corpusmill.operators import search
+from pyspark.sql import functions as F
+
+from corpusmill.operators import enrich, search
 
 
 def plan(df):
@@ -16,3 +18,12 @@ def test_tfidf_search_shuffles_no_grams(spark, monkeypatch):
     within = rows(found)
     monkeypatch.setattr(search, "LARGE", 2)
     assert within == rows(search.Store.of(chunks, "tfidf", rank="none").search(asked, 9)) and len(within) == 12
+
+
+def test_entity_tags_normalise_a_text_once(spark):
+    tags = enrich.entity_tags(F.col("text"))
+    text = " ".join(f'v{i}.{i}.1 "Term {i}" "TERM {i}" 2024-0{i}-01' for i in range(1, 8)) + " RAG python 向量数据库"
+    got = spark.createDataFrame([(text,), (None,), ("python API",)], "text string").select(tags.alias("t"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    dates = [f"2024-0{i}-01" for i in range(1, 8)]
+    assert [r["t"] for r in got.collect()] == [[*dates, "v1.1.1", "v2.2.1", "v3.3.1"], [], ["API", "Python"]]
