@@ -1,8 +1,11 @@
 """What larger tables need: results that stay the same when a job is dealt out, and plans without the steps that grew."""
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
-from corpusmill.operators import enrich, search
+from corpusmill.operators import enrich, retrieve, search
 
 
 def plan(df):
@@ -27,3 +30,32 @@ def test_entity_tags_normalise_a_text_once(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
     dates = [f"2024-0{i}-01" for i in range(1, 8)]
     assert [r["t"] for r in got.collect()] == [[*dates, "v1.1.1", "v2.2.1", "v3.3.1"], [], ["API", "Python"]]
+
+
+def test_nearest_makes_no_pairs_and_keeps_ties(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice((-1.0, 0.0, 0.5, 1.1)) for _ in range(3)]) for i in range(300)] + [(300, None), (301, [0.0, 0.0, 0.0]), (302, [1.0]), (303, [1.0, None, 0.0])]
+    rng.shuffle(rows)
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<float>")
+    asked = vectors.where("vec_id % 50 = 0 OR vec_id > 300").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    monkeypatch.setattr(retrieve, "PRODUCTS", 60)
+    monkeypatch.setattr(retrieve, "PAIRS", 7)
+
+    def score(q, v, cosine):
+        fit = q is not None and v is not None and len(q) == len(v) == 3 and None not in q + v
+        if not cosine:
+            return -math.floor(sum((x - y) ** 2 for x, y in zip(q, v, strict=True)) * 1e6 + 0.5) if fit else None
+        norm = math.sqrt(sum(x * x for x in q)) * math.sqrt(sum(x * x for x in v)) if fit else 0
+        return math.floor(sum(x * y for x, y in zip(q, v, strict=True)) / norm * 1e6 + 0.5) if norm else 0
+
+    held, queries = [tuple(r) for r in vectors.collect()], [tuple(r) for r in asked.collect()]
+    for measure in ("cosine", "l2"):
+        for k in (5, 400):
+            found = retrieve.nearest(asked, vectors, k, measure)
+            assert "NestedLoop" not in plan(found)
+            want = []
+            for query_id, q in queries:
+                scores = [(vec_id, score(q, v, measure == "cosine")) for vec_id, v in held]
+                scores.sort(key=lambda x: (math.inf if x[1] is None else -x[1], x[0]))
+                want += [(query_id, vec_id, s, n) for n, (vec_id, s) in enumerate(scores[:k], 1)]
+            assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
