@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import enrich, retrieve, search
+from corpusmill.operators import clean, enrich, parse, retrieve, search, segment
 
 
 def plan(df):
@@ -59,3 +59,50 @@ def test_nearest_makes_no_pairs_and_keeps_ties(spark, monkeypatch):
                 scores.sort(key=lambda x: (math.inf if x[1] is None else -x[1], x[0]))
                 want += [(query_id, vec_id, s, n) for n, (vec_id, s) in enumerate(scores[:k], 1)]
             assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+LINES = (
+    "# Head", "## 1. x", "第1章 总则", "一、概述", "1.1 验收标准", "introduction", "| a | b |", "| --- | ---: |", "|a|", "x||", "•", "-", "- item", "```", "x```", "$$", "x = y", "![f](u)", "", "", "  ", "\u3000", "plain line.",
+    "1. contents .... 5", "引言\t12", "foo - 3 -", "1 a  7", "wide    12", "目 录", "目录", "姓名：某", "学号", "2024 年", "2024年1月2日", "标题: 值值值", "key:\tvalue", "label    value text  ..", "实习报告", "| " + "长 " * 700 + "| b |", "#\u3000T", "١ abc", "a\x85b: c", "日期", "5 - ",
+)
+
+
+def texts(spark, n=400, lines=LINES):
+    rng = random.Random(5)
+    some = ["\n".join(rng.choice(lines) + rng.choice(("", " ")) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+    return spark.createDataFrame([(i, t) for i, t in enumerate([None, "", *some, "\n\n".join(f"word {i}. " * 40 for i in range(30))])], "doc_id long, text string")
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_line_classes_are_counted_before_a_shuffle(spark):
+    df = texts(spark)
+    found = parse.class_counts(df)
+    assert "rlike" not in plan(found).lower()
+    assert rows(found) == rows(parse.lines(df).groupBy("k").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars")))
+
+
+def test_documents_are_cleaned_without_a_window(spark):
+    df = texts(spark)
+    blocks = parse.blocks(df)
+    was = F.col("metadata")["original_block_type"].alias("was")
+    for found, want in (
+        (clean.cleaned_of(df), clean.cleaned(blocks).select("doc_id", "raw", "last_raw", "text", "block_type", was)),
+        (clean.report_of(df), clean.report(blocks)),
+        (clean.flat_tables_of(df), blocks.where("block_type = 'table'").select("doc_id", "raw", clean.flatten_table(F.col("text")).alias("flat"))),
+    ):
+        assert "Window" not in plan(found) and "Exchange" not in plan(found)
+        assert rows(found) == rows(want)
+    fates = {r["fate"] for r in clean.classified(blocks).select("fate").distinct().collect()}
+    assert fates == {"cover", "toc", "flat", "keep"}
+
+
+def test_documents_are_chunked_without_gathering_them(spark):
+    # Levels of headings that are marked by white space or digits beyond ASCII are those of `title_paths`.
+    df = texts(spark, 150, [x for x in LINES if x not in ("#\u3000T", "١ abc")])
+    for config in (None, segment.SegmentConfig.headings_only()):
+        found = segment.segmented_of(df, config)
+        assert "Exchange" not in plan(found) and "ArrowEvalPython" not in plan(found)
+        assert rows(found) == rows(segment.segmented(parse.blocks(df), config))
