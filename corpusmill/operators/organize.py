@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
+from itertools import islice, pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.arrow import bounded
 from corpusmill.functions import fixed as K
 from corpusmill.functions.text import find_all
 from corpusmill.operators.enrich import typed_entities
@@ -36,6 +38,29 @@ def tags(df: DataFrame, limit: int = K.MAX_TAGS, text_col: str = "text") -> Data
     return firsts.select("doc_id", F.row_number().over(w).alias("nth"), "tag").where(F.col("nth") <= limit)
 
 
+def _tags(limit: int):
+    """`tags` of one text."""
+    token, stop = re.compile("[一-鿿]{2,}|[A-Za-z0-9_]{2,}"), frozenset(K.TAG_STOPWORDS)
+
+    def of(text: str | None) -> list[str]:
+        found = Counter(token.findall(text or ""))  # in order of first places
+        terms = sorted(((t, n) for t, n in found.items() if t.lower() not in stop), key=lambda x: -x[1])
+        best: dict[str, tuple[int, int]] = {}
+        for place, ((a, n), (b, m)) in enumerate(pairwise(terms)):
+            if len(tag := a + b) <= K.BIGRAM_CHARS:
+                down, first = best.get(tag, (0, place))
+                best[tag] = min(down, -n - m), first
+        out = sorted(best, key=best.__getitem__)[:limit]
+        return out + [t for t, _ in islice((x for x in terms if x[0] not in best), limit - len(out))]
+
+    return of
+
+
+def rule_tags(text: Column, limit: int = K.MAX_TAGS) -> Column:
+    """The tags of each text by itself, best first: nothing is shuffled."""
+    return F.udf(_tags(limit), "array<string>", useArrow=True)(text)
+
+
 def _summary(limit: int):
     sentence, token, stop = re.compile(K.SENTENCE), re.compile(K.TAG_TOKEN), frozenset(K.TAG_STOPWORDS)
 
@@ -98,10 +123,9 @@ def organized(chunks: DataFrame, model: Model | None = None) -> DataFrame:
     text = F.coalesce("content", F.lit(""))
     blank = ~text.rlike(r"(?U)\S")
     none = F.array().cast("array<string>")
-    by_rule = tags(chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")))
-    by_rule = by_rule.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "tag"))), lambda x: x["tag"]).alias("rule_tags")).withColumnRenamed("doc_id", "chunk_id")  # MAX_TAGS at most
+    bounded(chunks)
     ask = lambda what: F.nullif(F.trim(model(F.concat(F.lit(what + ":\n"), text))), F.lit("")) if model else F.lit(None).cast("string")
-    x = chunks.join(by_rule, "chunk_id", "left").select("chunk_id", "doc_id", "nth", text.alias("content"), blank.alias("blank"), F.coalesce("rule_tags", none).alias("rule_tags"), ask("tags").alias("m_tags"), ask("summary").alias("m_summary"), ask("entities").alias("m_entities"))
+    x = chunks.select("chunk_id", "doc_id", "nth", text.alias("content"), blank.alias("blank"), rule_tags(text).alias("rule_tags"), ask("tags").alias("m_tags"), ask("summary").alias("m_summary"), ask("entities").alias("m_entities"))
     m_tags, m_entities = parse_tags(F.col("m_tags")), parse_entities(F.col("m_entities"))
     given = lambda xs: F.coalesce(F.size(xs) > 0, F.lit(False))
     entities = typed_entities(F.col("content"))

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import clean, enrich, parse, retrieve, search, segment
+from corpusmill.operators import clean, enrich, organize, parse, retrieve, search, segment
 
 
 def plan(df):
@@ -106,3 +106,23 @@ def test_documents_are_chunked_without_gathering_them(spark):
         found = segment.segmented_of(df, config)
         assert "Exchange" not in plan(found) and "ArrowEvalPython" not in plan(found)
         assert rows(found) == rows(segment.segmented(parse.blocks(df), config))
+
+
+def test_chunks_are_organised_where_they_stand(spark):
+    rng = random.Random(7)
+    words = ("检索", "分块", "the", "The", "API", "api", "alpha", "beta_1", "长的词语在此", "x", "ab", "a", "b2", "abab", "，", "。", "7", "77")
+    some = [(i, 1, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for i in range(200)] + [(200, 1, None), (201, 1, "abc 检索 検索。一一 ab")]
+    df = spark.createDataFrame(some, "chunk_id long, nth int, content string").withColumn("doc_id", F.col("chunk_id"))
+    found = organize.organized(df)
+    assert "Exchange" not in plan(found) and "Window" not in plan(found)
+    tags = organize.tags(df.select("doc_id", F.col("content").alias("text"))).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("nth", "tag"))).alias("t"))
+    want = {r["doc_id"]: [x["tag"] for x in r["t"]] for r in tags.collect()}
+    assert {r["chunk_id"]: r["tags"] for r in found.collect()} == {i: want.get(i, []) for i, _, _ in some}
+
+
+def test_chunking_takes_bounded_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = spark.createDataFrame([(i, f"word {i}. " * 20_000) for i in range(40)], "doc_id long, text string")
+    found = segment.segmented_of(long)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert found.select("doc_id").distinct().count() == 40
