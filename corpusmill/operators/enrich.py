@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from heapq import nlargest
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from corpusmill.arrow import bounded, map_values
 from corpusmill.functions import fixed as K
 from corpusmill.functions.text import dedupe_ci, find_all, first_ci, norm_ws
-from corpusmill.operators.joins import spread_join
 
 
 def lead_summary(text: Column, limit: int = K.SUMMARY_CHARS) -> Column:
@@ -67,15 +74,94 @@ def keywords_freq(df: DataFrame, k: int, text_col: str = "text") -> DataFrame:
     return _terms(df, text_col).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Terms whose frequencies go to all tasks; and terms that a task counts at a time.
+FREQUENT, COUNTED = 200_000, 500_000
+
+
 def keywords_tfidf(df: DataFrame, k: int, text_col: str = "text") -> DataFrame:
-    """doc_id, rank, term, n, df: by n * ln((1 + N) / (1 + df)) in millionths, ties by term; frequencies of this corpus."""
-    terms = _terms(df, text_col)
-    spread = terms.groupBy("term").agg(F.count("*").alias("df"))
-    total = df.agg(F.count("*").alias("docs"))
-    weight = F.floor(F.col("n") * F.log((1 + F.col("docs")) / (1 + F.col("df"))) * 1_000_000 + 0.5).cast("long")
-    scored = spread_join(terms, spread, "term", by="doc_id").join(F.broadcast(total)).withColumn("weight_e6", weight)  # one row is broadcast
+    """doc_id, rank, term, n, df: by n * ln((1 + N) / (1 + df)) in millionths, ties by term; frequencies of this corpus.
+
+    The frequencies of the most frequent terms go to all tasks. With them, and as the others are no more frequent than
+    these, each document leaves out what cannot be among its k best, so only few of its terms are shuffled.
+    """
+    total = df.count()
+    texts = df.select("doc_id", F.col(text_col).alias("text"))
+    if not texts.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
+        texts = texts.groupBy("doc_id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))  # rows of one id are one document
+    bounded(texts)
+    spread = texts.select("text").mapInArrow(_frequencies, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).persist()
+    held = {r["df"]: r["n"] for r in spread.groupBy(F.least("df", F.lit(1000)).alias("df")).agg(F.count("*").alias("n")).collect()}
+    least, n = max(held, default=1) + 1, 0
+    while least > 1 and n + held.get(least - 1, 0) <= FREQUENT:
+        least -= 1
+        n += held.get(least, 0)
+    frequent = {r["term"]: r["df"] for r in spread.where(F.col("df") >= least).collect()}  # FREQUENT at most
+    kept = map_values(texts, _Best(k, total, frequent, least), StructType([texts.schema["doc_id"], *_KEPT]))
+    rare = kept.where("df IS NULL").drop("df").join(spread.where(F.col("df") < least), "term").select("doc_id", "term", "n", "df")
+    weight = F.floor(F.col("n") * F.log(F.lit(1 + total) / (1 + F.col("df"))) * 1_000_000 + 0.5).cast("long")
+    scored = kept.where("df IS NOT NULL").unionByName(rare).withColumn("weight_e6", weight)
     w = Window.partitionBy("doc_id").orderBy(F.desc("weight_e6"), "term")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("docs")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+_KEPT = (StructField("term", StringType()), StructField("n", LongType()), StructField("df", LongType()))
+_RUN, _HAN = re.compile(r"[一-鿿]+|\w+"), re.compile("[一-鿿]{3,}")
+_STOPWORDS = frozenset(K.KEYWORD_STOPWORDS)
+
+
+def _is_keyword(t: str) -> bool:
+    low = t.lower()
+    if low in _STOPWORDS or len(t) < 2 or len(low) <= 2 and low.isascii() and low.isalpha():
+        return False
+    return t.isalpha() or not any(c.isdecimal() for c in t) and t.strip("_") != ""
+
+
+def _keywords(text: str | None) -> dict[str, int]:
+    """`keyword_tokens` of one text, counted."""
+    out: dict[str, int] = {}
+    for run, n in Counter(_RUN.findall(text or "")).items():
+        if "一" <= run[0] <= "鿿" and _HAN.fullmatch(run):
+            for i in range(len(run) - 1):
+                if _is_keyword(t := run[i : i + 2]):
+                    out[t] = out.get(t, 0) + n
+        elif _is_keyword(run):
+            out[run] = out.get(run, 0) + n
+    return out
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, df: in how many of a partition's documents each term is; COUNTED terms at most are held, and then given out."""
+    counts: Counter[str] = Counter()
+    schema = pa.schema([("term", pa.string()), ("df", pa.int64())])
+
+    def parts() -> Iterator[pa.RecordBatch]:
+        items = iter(counts.items())
+        while part := list(islice(items, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), schema, strict=True)], schema=schema)
+        counts.clear()
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            counts.update(_keywords(text).keys())
+            if len(counts) >= COUNTED:
+                yield from parts()
+    yield from parts()
+
+
+class _Best:
+    """The terms of a document that can be among its k best: their df, or none where only `spread` has it."""
+
+    def __init__(self, k: int, total: int, frequent: dict[str, int], least: int) -> None:
+        self.k, self.frequent = k, frequent
+        weight = lambda df: math.log((1 + total) / (1 + df))
+        self.weights = {df: weight(df) for df in set(frequent.values())}
+        self.low, self.high = weight(least - 1), weight(1)  # of terms that are not frequent
+
+    def __call__(self, doc_id, text: str | None) -> list[tuple]:
+        terms = [(t, n, self.frequent.get(t)) for t, n in _keywords(text).items()]
+        lows = nlargest(self.k, (n * (self.low if df is None else self.weights[df]) for _, n, df in terms))
+        bar = lows[-1] - 1e-5 if len(lows) == self.k else -math.inf  # a weight is compared in millionths
+        return [(doc_id, t, n, df) for t, n, df in terms if n * (self.high if df is None else self.weights[df]) >= bar]
 
 
 #: Named keyword strategies: DataFrame and k to ranked terms.

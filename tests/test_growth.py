@@ -126,3 +126,26 @@ def test_chunking_takes_bounded_batches(spark):
     found = segment.segmented_of(long)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     assert found.select("doc_id").distinct().count() == 40
+
+
+def test_keywords_shuffle_only_what_can_be_best(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in ("x", "xyz", "Word", "中文检索词", "_", "7", "é")] + ["about", "chunk", "__", "标题", "the", "²x", "ǅa"]
+    docs = [(i, " ".join(words[int(len(words) * rng.random() ** 3)] for _ in range(rng.randint(0, 60)))) for i in range(150)] + [(150, None), (3, "twice xyz xyz"), (None, "no id"), (None, "id none")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    terms = df.select("doc_id", F.explode(enrich.keyword_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    counts, spread = {}, {}
+    for d, term, n in map(tuple, terms.collect()):
+        counts.setdefault(d, {})[term] = n
+        spread[term] = spread.get(term, 0) + 1
+    want = []
+    for d, own in counts.items():
+        scored = sorted((-math.floor(n * math.log((1 + len(docs)) / (1 + spread[t])) * 1e6 + 0.5), t, n) for t, n in own.items())
+        want += [(d, rank, t, n, spread[t], -w) for rank, (w, t, n) in enumerate(scored[:4], 1)]
+    for frequent, counted in ((200_000, 500_000), (20, 7), (0, 1)):
+        monkeypatch.setattr(enrich, "FREQUENT", frequent)
+        monkeypatch.setattr(enrich, "COUNTED", counted)
+        found = enrich.keywords_tfidf(df, 4)
+        assert "Generate" not in plan(found) and "_salt" not in plan(found)
+        assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["rank"], r["term"], r["n"], r["df"], r["weight_e6"])) for r in found.collect())
+    spark.catalog.clearCache()
