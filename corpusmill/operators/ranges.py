@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from corpusmill.arrow import map_values
+from corpusmill.functions.text import WHITE
+from corpusmill.operators.parse import raw_texts
 
-from corpusmill.functions.text import norm_ws
+#: White space that is not one blank already.
+_SPACE = re.compile(f"[{WHITE}]{{2,}}|[{WHITE.replace(' ', '')}]")
 
 RANGE = "array<struct<start:int,stop:int>>"
 
@@ -77,27 +87,57 @@ def records(blocks: DataFrame, ranges: DataFrame, max_chars: int) -> DataFrame:
     A range longer than `max_chars` gives several records, from the second on with the part's number in the title; blank
     blocks go. chunk_id counts within the document.
     """
-    text = norm_ws(F.col("text"))
-    b, r = blocks.select("doc_id", "i", F.struct("i", "block_id", text.alias("text")).alias("b")), ranges.select("doc_id", "nth", "start", "stop", "title", "reason")
-    x = b.join(r, "doc_id").where("i BETWEEN start AND stop").select("doc_id", "nth", "title", "reason", "b")
-    x = x.groupBy("doc_id", "nth", "title", "reason").agg(F.array_sort(F.collect_list("b")).alias("bs"))  # a range's blocks, as its text needs them
-    parts = split_parts(F.transform("bs", lambda b: F.length(b["text"])), max_chars)
-    x = x.select("doc_id", "nth", "title", "reason", F.explode(F.arrays_zip("bs", parts.alias("part"))).alias("z")).where("z.part > 0")
-    x = x.groupBy("doc_id", "nth", "title", "reason", F.col("z.part").alias("part")).agg(
-        F.expr("listagg(z.bs.text, '\n\n') WITHIN GROUP (ORDER BY z.bs.i)").alias("content"),
-        F.expr("listagg(z.bs.block_id, ',') WITHIN GROUP (ORDER BY z.bs.i)").alias("block_ids"),
-    )
-    title = F.coalesce(F.nullif("title", F.lit("")), F.lit("未命名分段"))
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("nth", "part"))
-    return x.select(
-        "doc_id",
-        F.format_string("%s_ai_chunk_%04d", F.col("doc_id").cast("string"), index).alias("chunk_id"),
-        F.when(F.col("part") > 1, F.concat(title, F.lit("（续"), F.col("part").cast("string"), F.lit("）"))).otherwise(title).alias("chunk_title"),
-        F.coalesce("reason", F.lit("")).alias("chunk_summary"),
-        F.length("content").alias("char_count"),
-        "content",
-        "block_ids",
-    )
+    b = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("i", "block_id", "text")).alias("blocks"))
+    r = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("nth", "start", "stop", "title", "reason")).alias("ranges"))
+    x = b.join(r, "doc_id").select("doc_id", F.col("doc_id").cast("string").alias("name"), "blocks", "ranges")
+    values = lambda rows: [tuple(r.values()) for r in rows]
+    return map_values(x, lambda doc_id, name, blocks, ranges: ((doc_id, *r) for r in document_records(name, values(blocks), values(ranges), max_chars)), _record(x))
+
+
+def records_of(df: DataFrame, ranges: Callable[[int], list[tuple]], max_chars: int) -> DataFrame:
+    """`records` of the raw blocks of texts (doc_id, text), named b0 and so on, by the ranges that their number gives: a
+    document is parsed and cut at once, and nothing is shuffled."""
+
+    def rows(doc_id, name: str | None, text: str | None) -> Iterator[tuple]:
+        blocks = [(i, f"b{i}", t) for i, t in enumerate(raw_texts(text or ""))]
+        for r in document_records(name, blocks, ranges(len(blocks)), max_chars):
+            yield doc_id, *r
+
+    return map_values(df.select("doc_id", F.col("doc_id").cast("string").alias("name"), "text"), rows, _record(df))
+
+
+def _record(df: DataFrame) -> StructType:
+    text = [StructField(n, StringType()) for n in ("chunk_id", "chunk_title", "chunk_summary", "content", "block_ids")]
+    return StructType([df.schema["doc_id"], *text[:3], StructField("char_count", IntegerType()), *text[3:]])
+
+
+def document_records(name: str | None, blocks: list[tuple], ranges: list[tuple], max_chars: int) -> Iterator[tuple]:
+    """(chunk_id, chunk_title, chunk_summary, char_count, content, block_ids) of one document."""
+    rows = sorted(((i, block_id, _SPACE.sub(" ", text or "").strip(" ")) for i, block_id, text in blocks if i is not None), key=lambda b: b[0])
+    places = [b[0] for b in rows]
+    spans: dict[tuple, list[tuple]] = {}
+    for nth, start, stop, title, reason in ranges:
+        if start is not None and stop is not None:
+            found = rows[bisect_left(places, start) : bisect_right(places, stop)]
+            if found:
+                spans.setdefault((nth, title, reason), []).extend(found)
+    index = 0
+    for (_, title, reason), found in sorted(spans.items(), key=lambda x: (x[0][0] is not None, x[0][0])):
+        parts: list[list[tuple]] = []
+        size = 0
+        for b in sorted(found, key=lambda b: b[0]):
+            n = len(b[2])
+            if n and (not parts or size + n + 2 > max_chars):
+                parts.append([b])
+                size = n
+            elif n:
+                parts[-1].append(b)
+                size += n + 2
+        for part, held in enumerate(parts, 1):
+            index += 1
+            content = "\n\n".join(b[2] for b in held)
+            head = title or "未命名分段"
+            yield f"{'null' if name is None else name}_ai_chunk_{index:04d}", f"{head}（续{part}）" if part > 1 else head, reason or "", len(content), content, ",".join(b[1] for b in held if b[1] is not None)
 
 
 def parsed_ranges(answer: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import clean, enrich, organize, parse, retrieve, search, segment
+from corpusmill.operators import clean, enrich, organize, parse, ranges, retrieve, search, segment
 
 
 def plan(df):
@@ -149,3 +149,12 @@ def test_keywords_shuffle_only_what_can_be_best(spark, monkeypatch):
         assert "Generate" not in plan(found) and "_salt" not in plan(found)
         assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["rank"], r["term"], r["n"], r["df"], r["weight_e6"])) for r in found.collect())
     spark.catalog.clearCache()
+
+
+def test_range_records_are_cut_where_texts_are_parsed(spark):
+    df = texts(spark, 100)
+    found = ranges.records_of(df, lambda n: [(i // 4, i, i + 3, None if i % 8 else f"part {i}", "rule") for i in range(0, n, 4)], 120)
+    assert "Exchange" not in plan(found) and "Join" not in plan(found)
+    blocks = parse.raw_blocks(df).select("doc_id", F.col("raw").alias("i"), F.concat(F.lit("b"), "raw").alias("block_id"), "text")
+    spans = blocks.where("i % 4 = 0").select("doc_id", F.expr("int(i / 4)").alias("nth"), F.col("i").alias("start"), (F.col("i") + 3).alias("stop"), F.when(F.col("i") % 8 == 0, F.concat(F.lit("part "), "i")).alias("title"), F.lit("rule").alias("reason"))
+    assert rows(found) == rows(ranges.records(blocks, spans, 120)) and found.count() > 100
