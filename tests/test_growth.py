@@ -12,12 +12,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
 def test_tfidf_search_shuffles_no_grams(spark, monkeypatch):
     chunks = spark.createDataFrame([(d, i, f"{d}{i}", t, "normal") for d in "de" for i, t in enumerate(("alpha beta", "Beta  gamma delta", "", "alpha alpha"))], "doc_id string, ordinal int, chunk_id string, content string, chunk_type string")
     asked = spark.createDataFrame([("q1", "d", "beta alpha"), ("q2", "e", "GAMMA"), ("q3", "e", ""), ("q4", "none", "x")], "query_id string, doc_id string, question string")
     found = search.Store.of(chunks, "tfidf", rank="none").search(asked, 9)
     assert "gram" not in plan(found)
-    rows = lambda df: sorted(map(tuple, df.collect()))
     within = rows(found)
     monkeypatch.setattr(search, "LARGE", 2)
     assert within == rows(search.Store.of(chunks, "tfidf", rank="none").search(asked, 9)) and len(within) == 12
@@ -34,9 +37,9 @@ def test_entity_tags_normalise_a_text_once(spark):
 
 def test_nearest_makes_no_pairs_and_keeps_ties(spark, monkeypatch):
     rng = random.Random(3)
-    rows = [(i, [rng.choice((-1.0, 0.0, 0.5, 1.1)) for _ in range(3)]) for i in range(300)] + [(300, None), (301, [0.0, 0.0, 0.0]), (302, [1.0]), (303, [1.0, None, 0.0])]
-    rng.shuffle(rows)
-    vectors = spark.createDataFrame(rows, "vec_id long, v array<float>")
+    some = [(i, [rng.choice((-1.0, 0.0, 0.5, 1.1)) for _ in range(3)]) for i in range(300)] + [(300, None), (301, [0.0, 0.0, 0.0]), (302, [1.0]), (303, [1.0, None, 0.0])]
+    rng.shuffle(some)
+    vectors = spark.createDataFrame(some, "vec_id long, v array<float>")
     asked = vectors.where("vec_id % 50 = 0 OR vec_id > 300").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     monkeypatch.setattr(retrieve, "PRODUCTS", 60)
     monkeypatch.setattr(retrieve, "PAIRS", 7)
@@ -59,6 +62,9 @@ def test_nearest_makes_no_pairs_and_keeps_ties(spark, monkeypatch):
                 scores.sort(key=lambda x: (math.inf if x[1] is None else -x[1], x[0]))
                 want += [(query_id, vec_id, s, n) for n, (vec_id, s) in enumerate(scores[:k], 1)]
             assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+    named = vectors.select(F.format_string("%03d", "vec_id").alias("vec_id"), "v")
+    got = retrieve.nearest(asked, named, 5).select("query_id", F.col("vec_id").cast("long"), "score_e6", "rank")
+    assert rows(got) == rows(retrieve.nearest(asked, vectors, 5).select("query_id", "vec_id", "score_e6", "rank"))
 
 
 LINES = (
@@ -73,10 +79,6 @@ def texts(spark, n=400, lines=LINES):
     return spark.createDataFrame([(i, t) for i, t in enumerate([None, "", *some, "\n\n".join(f"word {i}. " * 40 for i in range(30))])], "doc_id long, text string")
 
 
-def rows(df):
-    return sorted(map(str, df.collect()))
-
-
 def test_line_classes_are_counted_before_a_shuffle(spark):
     df = texts(spark)
     found = parse.class_counts(df)
